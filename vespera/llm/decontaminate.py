@@ -30,15 +30,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(lowered, F.lit("")), SEPARATORS), lambda w: w != "")
 
 
-def _gram(w: Column, at: Column, k: int) -> Column:
-    return F.xxhash64(*[F.get(w, at + j) for j in range(k)])
+def _hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def _packed(w: Column, k: int) -> Column:
-    """The k-grams of words as packed hash and position, in order."""
-    n = F.size(w) - k
+def _packed(h: Column, k: int) -> Column:
+    """The k-grams of words, given by their hashes, as packed hash and position in order. h is a column, not an expression: it is read for every word."""
+    n = F.size(h) - k
     at = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.shiftleft(F.shiftrightunsigned(_gram(w, i, k), 32), POSITION).bitwiseOR(i.cast("long")))
+    gram = lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])
+    return F.transform(at, lambda i: F.shiftleft(F.shiftrightunsigned(gram(i), 32), POSITION).bitwiseOR(i.cast("long")))
 
 
 def _winnowed(grams: Column, n: int) -> Column:
@@ -48,19 +49,19 @@ def _winnowed(grams: Column, n: int) -> Column:
 
 
 def _with_prints(texts: DataFrame, window: int, k: int) -> DataFrame:
-    """texts with __kept, the winnowed k-grams of __w."""
-    return texts.withColumn("__g", _packed(F.col("__w"), k)).withColumn("__kept", _winnowed(F.col("__g"), window - k + 1)).drop("__g")
+    """texts with __kept, the winnowed k-grams of the words whose hashes are __h."""
+    return texts.withColumn("__g", _packed(F.col("__h"), k)).withColumn("__kept", _winnowed(F.col("__g"), window - k + 1)).drop("__g")
 
 
 def _prints(words_of: DataFrame, keys: list[str], lengths: list[int], whole: bool) -> DataFrame:
     """keys, kind (0: winnowed, else the words of a short item), hash, pos; documents also get a row of kind -1 each."""
     lists = [F.transform(F.col("__kept"), lambda v: F.struct(F.lit(0).alias("kind"), v.alias("v")))]
-    short = [F.transform(_packed(F.col("__w"), n), lambda v, n=n: F.struct(F.lit(n).alias("kind"), v.alias("v"))) for n in lengths]
+    short = [F.transform(_packed(F.col("__h"), n), lambda v, n=n: F.struct(F.lit(n).alias("kind"), v.alias("v"))) for n in lengths]
     if whole:
-        short = [F.when(F.size("__w") == n, x).otherwise(F.slice(x, 1, 0)) for n, x in zip(lengths, short)]
+        short = [F.when(F.size("__h") == n, x).otherwise(F.slice(x, 1, 0)) for n, x in zip(lengths, short)]
         end = []
     else:
-        end = [F.array(F.struct(F.lit(-1).alias("kind"), F.size("__w").cast("long").alias("v")))]
+        end = [F.array(F.struct(F.lit(-1).alias("kind"), F.size("__h").cast("long").alias("v")))]
     rows = words_of.select(*keys, F.explode(F.concat(*lists, *short, *end)).alias("__p"))
     v = F.col("__p.v")
     return rows.select(*keys, F.col("__p.kind").alias("kind"), F.shiftright(v, POSITION).cast("long").alias("hash"), v.bitwiseAND(F.lit((1 << POSITION) - 1)).cast("int").alias("pos"))
@@ -85,7 +86,7 @@ def _extended(w: Column, hit: Column, window: int, k: int) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """docs with n_words, n_hit, n_items, item_ids (sorted as strings) and contaminated."""
     items = benchmark.select(F.col("item_id"), words(F.col("text")).alias("__w")).filter(F.size("__w") > 0).distinct()
-    items = _with_prints(items, window, k)
+    items = _with_prints(items.withColumn("__h", _hashes(F.col("__w"))), window, k)
     lengths = sorted(r.n for r in items.select(F.size("__w").alias("n")).filter(F.col("n") < window).distinct().collect())  # under ten values
     marks = _prints(items.withColumn("__at", F.col("__w")), ["item_id", "__at"], lengths, whole=True)
     size = F.when(F.col("kind") > 0, F.col("kind")).otherwise(F.lit(k))
@@ -100,7 +101,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     small = keys.limit(BROADCAST_PRINTS + 1).count() <= BROADCAST_PRINTS
 
     # The first pass finds which fingerprints of a document the benchmark has; kind -1 carries its word count.
-    source = docs.select(id_key("doc_id").alias("__doc"), F.xxhash64(text).alias("__text"), words(F.col(text)).alias("__w"))
+    source = docs.select(id_key("doc_id").alias("__doc"), F.xxhash64(text).alias("__text"), _hashes(words(F.col(text))).alias("__h"))
     source = _with_prints(source, window, k)
     own = _prints(source, ["__doc", "__text"], lengths, whole=False)
     known = keys.withColumn("__known", F.lit(True))
