@@ -115,7 +115,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     texts = docs.select(id_key("doc_id").alias("__doc"), F.xxhash64(text).alias("__text"), F.col(text).alias("__t"))
     spans = hits.join(texts, ["__doc", "__text"]).withColumn("__w", words(F.col("__t")))
     spans = spans.withColumn("__s", F.filter(F.transform("__hits", lambda h: _extended(F.col("__w"), h, window, k)), lambda s: s["start"].isNotNull()))
-    spans = spans.filter(F.size("__s") > 0).select(
+    # No filter on __s here: it would be pushed below the projections and read the text's words anew for every hit.
+    spans = spans.select(
         "__doc", "__text",
         F.size(F.array_distinct(F.flatten(F.transform("__s", lambda s: F.sequence(s["start"], s["end"] - 1))))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.transform("__s", lambda s: s["item_id"].cast("string")))).alias("item_ids"),
@@ -125,5 +126,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     return out.join(result, ["__doc", "__text"]).drop("__doc", "__text").select(
         *[c for c in out.columns if c not in ("__doc", "__text")], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        F.col("n_hit").isNotNull().alias("contaminated"),
+        (F.coalesce("n_hit", F.lit(0).cast("long")) > 0).alias("contaminated"),
     )
