@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from vespera.llm.common import bounded_batches, durable
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
-MAX_BUCKET = 4096
+MAX_BUCKET = 2048
 SEGMENT = (1 << 32) - 1
 
 
@@ -92,24 +92,43 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET
     else:
         extra = None
     r = right.withColumnRenamed("fp", "other")
-    pairs = left.join(r, "key").filter((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits))
-    pairs = pairs.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v"))
+    # A pair within 2 bits of the first segment meets there under one of two keys, or under the whole ball if those are equal: one
+    # meeting counts. The second segment's ball finds a pair once, and counts if the first has not.
+    apart = F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("other")), 32)
+    first = F.col("key") <= SEGMENT
+    own = F.when(apart == 0, F.col("key") == F.shiftrightunsigned("fp", 32)).otherwise(F.col("key") <= F.col("key").bitwiseXOR(apart))
+    once = F.when(first, own).otherwise(F.bit_count(apart) > 2)
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits
+    pairs = left.join(r, "key").filter((F.col("fp") < F.col("other")) & close & once).select(F.col("fp").alias("u"), F.col("other").alias("v"))
     if extra is not None:
         pairs = pairs.union(extra.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
     return pairs.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node that edges (u, v) reach, by joins with neighbours' labels and labels' labels."""
-    both = durable(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
-    labels = durable(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels")
+    """node, label: the least node that edges (u, v) reach. Empty of nodes without edges.
+
+    Each round points nodes at their least neighbour, follows the pointers to their ends, and contracts the
+    edges to those ends, of which there are at most half as many as nodes; so rounds shrink quickly.
+    """
+    edges, labels = durable(edges.select("u", "v"), "edges"), None
     while True:
-        seen = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("near")), "v").groupBy(F.col("u").alias("node")).agg(F.min("near").alias("near"))
-        step = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = durable(step.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
-        labels = new.select("node", "label")
-        if not new.filter("label <> old").limit(1).count():
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = durable(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("up")), "ends")
+        while True:
+            above = ends.select(F.col("node").alias("up"), F.col("up").alias("next"))
+            moved = durable(ends.join(above, "up").select("node", F.col("up").alias("old"), F.col("next").alias("up")), "ends")
+            ends = moved.select("node", "up")
+            if not moved.filter("old <> up").limit(1).count():
+                break
+        if labels is None:
+            labels = ends.select("node", F.col("up").alias("label"))
+        else:
+            labels = durable(labels.join(ends.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+        to = lambda c: ends.select(F.col("node").alias(c), F.col("up").alias(f"{c}_end"))
+        left = edges.join(to("u"), "u").join(to("v"), "v").filter("u_end <> v_end")
+        edges = durable(left.select(F.least("u_end", "v_end").alias("u"), F.greatest("u_end", "v_end").alias("v")).distinct(), "edges")
+        if not edges.limit(1).count():
             return labels
 
 
