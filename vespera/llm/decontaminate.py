@@ -55,8 +55,9 @@ def _with_prints(texts: DataFrame, window: int, k: int) -> DataFrame:
 
 def _prints(words_of: DataFrame, keys: list[str], lengths: list[int], whole: bool) -> DataFrame:
     """keys, kind (0: winnowed, else the words of a short item), hash, pos; documents also get a row of kind -1 each."""
-    lists = [F.transform(F.col("__kept"), lambda v: F.struct(F.lit(0).alias("kind"), v.alias("v")))]
-    short = [F.transform(_packed(F.col("__h"), n), lambda v, n=n: F.struct(F.lit(n).alias("kind"), v.alias("v"))) for n in lengths]
+    tagged = lambda values, kind: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
+    lists = [tagged(F.col("__kept"), 0)]
+    short = [tagged(_packed(F.col("__h"), n), n) for n in lengths]
     if whole:
         short = [F.when(F.size("__h") == n, x).otherwise(F.slice(x, 1, 0)) for n, x in zip(lengths, short)]
         end = []
