@@ -48,9 +48,14 @@ def propagate(cells: DataFrame, n_shards: int, capacity: int, total: int, rounds
     for k in range(rounds):
         loads = {s: 0 for s in range(n_shards)} | {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = {s: max(0, capacity - v) for s, v in loads.items()}
-        best = F.max_by("shard", F.struct("n", F.xxhash64(*GROUP, "shard")))
-        wants = cells.filter(_per_shard(room, F.col("shard")) >= least).groupBy(*GROUP).agg(best.alias("to"), F.max("n").alias("there"))
-        moves = cells.join(wants, GROUP, "left").withColumn("goes", (F.col("to") != F.col("shard")) & (F.col("n") <= F.col("there")))
+        roomy = _per_shard(room, F.col("shard")) >= least
+        # A group settles in as many of its fullest shards with room as its members need; those elsewhere are dealt to them.
+        place = F.when(roomy, F.struct("n", F.xxhash64(*GROUP, "shard").alias("h"), "shard"))
+        wants = cells.groupBy(*GROUP).agg(F.sort_array(F.collect_list(place), asc=False).alias("places"), F.sum(F.when(roomy, F.col("n"))).alias("there"))  # n_shards at most in a list
+        wants = wants.filter(F.size("places") > 0).withColumn("homes", F.slice("places", 1, F.greatest(F.lit(1), F.ceil(F.col("there") / max(1, capacity)).cast("int"))))
+        moves = cells.join(wants.select(*GROUP, "homes"), GROUP, "left").withColumn("home", F.get("homes", F.pmod(F.col("shard"), F.size("homes"))))
+        settled = F.exists("homes", lambda h: h["shard"] == F.col("shard"))
+        moves = moves.withColumn("to", F.col("home.shard")).withColumn("goes", F.coalesce(~settled & (F.col("n") <= F.col("home.n")), F.lit(False)))
         asked = {r["to"]: r["n"] for r in moves.filter("goes").groupBy("to").agg(F.sum("n").alias("n")).collect()}
         if sum(min(v, room[s]) for s, v in asked.items()) <= LEAST_MOVED * total:
             break
