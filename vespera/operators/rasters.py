@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from vespera.config import BitLayout
@@ -79,3 +81,54 @@ def cover(boxes: DataFrame) -> DataFrame:
     """boxes (south, north, west, east) with a row for each one-degree tile (lat, lon) they touch: a range join becomes an equi-join."""
     cells = lambda a, b: F.explode(F.sequence(F.floor(a).cast("int"), F.floor(F.col(b) - 1e-9).cast("int")))
     return boxes.withColumn("lat", cells("south", "north")).withColumn("lon", cells("west", "east"))
+
+
+def touched(edges: DataFrame, height: int, width: int) -> DataFrame:
+    """poly, row, col of the pixels that polygons touch at all: their interior and every cell an edge passes through.
+
+    An edge is expanded to its rows, and in each row to the columns between its ends there.
+    """
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    rows = edges.withColumns({"first": F.greatest(F.floor(low), F.lit(0)).cast("int"), "last": F.least(F.floor(high), F.lit(height - 1)).cast("int")}).filter("first <= last")
+    rows = rows.withColumn("row", F.explode(F.sequence("first", "last")))
+    tall = F.col("y1") - F.col("y0")
+    at = lambda y: F.when(tall == 0, F.lit(None)).otherwise(F.col("x0") + (F.least(F.greatest(y, low), high) - F.col("y0")) * F.try_divide(F.col("x1") - F.col("x0"), tall))
+    a, b = at(F.col("row").cast("double")), at(F.col("row") + F.lit(1.0))
+    left, right = F.coalesce(F.least(a, b), F.least("x0", "x1")), F.coalesce(F.greatest(a, b), F.greatest("x0", "x1"))
+    spans = rows.select("poly", "row", F.greatest(F.floor(left), F.lit(0)).cast("int").alias("a"), F.least(F.floor(right), F.lit(width - 1)).cast("int").alias("b")).filter("a <= b")
+    grazed = spans.select("poly", "row", F.explode(F.sequence("a", "b")).alias("col"))
+    return grazed.union(fill(edges, height, width)).distinct()
+
+
+def clip(pixels: DataFrame, inside: DataFrame, words: list[str]) -> DataFrame:
+    """pixels (row, col, words) with nothing outside the cells (row, col) inside."""
+    kept = inside.select("row", "col").distinct().withColumn("__in", F.lit(True))
+    out = pixels.join(kept, ["row", "col"], "left")
+    return out.withColumns({w: F.when(F.col("__in"), F.col(w)).otherwise(F.lit(0).cast("long")) for w in words}).drop("__in")
+
+
+def reproject(pixels: DataFrame, south: float, west: float, north: float, east: float, per_degree: float, zoom: int, words: list[str], size: int = 512) -> DataFrame:
+    """z, row, col and words of the map's pixels at a zoom, each the nearest of pixels (row, col; row 0 in the south, points on the grid).
+
+    The map's rows depend on latitude alone and its columns on longitude alone, so two narrow tables and two
+    equi-joins carry the pixels over; their lengths are a raster's height and width.
+    """
+    spark, n = pixels.sparkSession, size * 2**zoom
+    half = 0.5 / per_degree
+    unit_x = lambda lon: (lon + 180) / 360
+    unit_y = lambda lat: 0.5 - math.log((1 + math.sin(math.radians(lat))) / (1 - math.sin(math.radians(lat)))) / (4 * math.pi)
+    cols = spark.range(max(0, math.floor(unit_x(west - half) * n) - 1), min(n, math.ceil(unit_x(east + half) * n) + 1)).select(F.col("id").alias("__col"), ((F.col("id") + 0.5) / n * 360 - 180).alias("lon"))
+    rows = spark.range(max(0, math.floor(unit_y(north + half) * n) - 1), min(n, math.ceil(unit_y(south - half) * n) + 1))
+    lat = F.degrees(F.atan(F.sinh((F.lit(0.5) - (F.col("id") + 0.5) / n) * 2 * math.pi)))
+    rows = rows.select(F.col("id").alias("__row"), lat.alias("lat"))
+    nearest = lambda degrees, origin: F.floor((degrees - F.lit(float(origin))) * F.lit(float(per_degree)) + 0.5)
+    rows, cols = rows.select("__row", nearest(F.col("lat"), south).alias("row")), cols.select("__col", nearest(F.col("lon"), west).alias("col"))
+    out = pixels.join(rows, "row").join(cols, "col")
+    return out.select(F.lit(zoom).alias("z"), F.col("__row").alias("row"), F.col("__col").alias("col"), *words)
+
+
+def without_cells(cells: DataFrame, *others: DataFrame) -> DataFrame:
+    """Cells (row, col) that none of the others hold: the difference of polygons on the grid."""
+    for other in others:
+        cells = cells.join(other.select("row", "col"), ["row", "col"], "left_anti")
+    return cells
