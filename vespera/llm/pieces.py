@@ -28,6 +28,7 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ from vespera.llm.common import bounded_batches, durable, without
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Documents over GIANT code points are cut into chunks of about CHUNK; runs without a space are encoded whole up to RUN.
 GIANT, CHUNK, RUN = 65_536, 16_384, 2_048
-CACHE = 250_000
+CACHE = 100_000
+#: Characters of text that are split into stretches at once.
+SLICE = 1 << 20
 BPE, UNIGRAM = 2, 1
 SPACE = "▁"
 COLUMNS = ("ids", "n_ids")
@@ -209,9 +212,18 @@ class Encoder:
         self.model, self.run, self.known = PieceModel(model), run, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit numbers. What is new in the texts is encoded once, all together."""
+        """Ids of each text as 32-bit numbers. What is new in a slice of the texts is encoded once, all together."""
         if not self.model.dummy:
             return [array("i", ids).tobytes() for ids in self.model.library.encode(texts, num_threads=1)]
+        out, begin, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= SLICE or i == len(texts) - 1:
+                out += self._encode(texts[begin : i + 1])
+                begin, size = i + 1, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         lists = [split_stretches(t) if t else [] for t in texts]
         if len(self.known) > CACHE:
             self.known = {}
@@ -232,6 +244,17 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[bytes, Encoder] = {}
+
+
+def encoder_of(key: bytes, model) -> Encoder:
+    """The process's encoder of a broadcast model: tasks that a worker runs one after the other share it, and only the last model's is kept."""
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(model.value)
+    return _ENCODERS[key]
+
+
 def split_stretches(text: str) -> list[str]:
     if "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
         return text.split(" ")
@@ -257,13 +280,11 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL, giant
     """docs with ids (array of int) and n_ids."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(load_model(model))  # a vocabulary file, which no input makes larger
-    held: dict = {}
+    data = load_model(model)
+    shared, key = spark.sparkContext.broadcast(data), sha256(data).digest()  # a vocabulary file, which no input makes larger
 
     def encoder() -> Encoder:
-        if "encoder" not in held:
-            held["encoder"] = Encoder(shared.value)
-        return held["encoder"]
+        return encoder_of(key, shared)
 
     @F.arrow_udf("array<int>")
     def whole(texts: pa.Array) -> pa.Array:
@@ -384,13 +405,12 @@ def decode_pieces(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> D
     """encoded with decoded: the text of ids."""
     spark = encoded.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(load_model(model))
-    held: dict = {}
+    data = load_model(model)
+    shared, key = spark.sparkContext.broadcast(data), sha256(data).digest()
 
     @F.arrow_udf("string")
     def decoded(column: pa.Array) -> pa.Array:
-        if "model" not in held:
-            held["model"] = PieceModel(shared.value)
-        return pa.array([held["model"].decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in column], pa.string())
+        decode = encoder_of(key, shared).model.decode
+        return pa.array([decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in column], pa.string())
 
     return encoded.withColumn("decoded", decoded(F.col(ids)))
