@@ -37,8 +37,9 @@ from pyspark.sql import DataFrame, functions as F
 from vespera.llm.common import bounded_batches, durable, without
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Documents over GIANT code points are cut into chunks of about CHUNK; runs without a space are encoded whole up to RUN.
-GIANT, CHUNK, RUN = 65_536, 16_384, 2_048
+#: Documents over GIANT code points are cut into chunks of about CHUNK; runs without a space are encoded whole by the library
+#: up to RUN, and remembered up to REMEMBERED.
+GIANT, CHUNK, RUN, REMEMBERED = 65_536, 16_384, 65_536, 1_024
 CACHE = 100_000
 #: Characters of text that are split into stretches at once.
 SLICE = 1 << 20
@@ -237,10 +238,11 @@ class Encoder:
             known[s] = array("i", ids).tobytes()
         long = [s for s in new if len(s) > self.run]
         for s in long:
-            known[s] = array("i", self.model.scan(self.model.prepared(s), self.run)).tobytes()
+            known[s] = array("i", self.model.scan(self.model.prepared(s), CHUNK)).tobytes()
         out = [b"".join(map(known.__getitem__, x)) for x in lists]
-        for s in long:
-            del known[s]
+        for s in new:
+            if len(s) > REMEMBERED:
+                del known[s]
         return out
 
 
