@@ -152,6 +152,16 @@ def test_simhash(docs, none):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect() if r.doc_id is not None) == sorted(set(least.values()))
 
 
+def test_unrelated_rows_with_null_or_reused_ids_stay(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    lost, reused, copied = [text() for _ in range(6)], [text() for _ in range(3)], text()
+    rows = [(None, t, "en") for t in lost] + [(7, t, "en") for t in reused] + [(9, copied, "en"), (8, copied, "en"), (None, copied, "en"), (8, copied, "en"), (None, lost[0], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = sorted([(None, t) for t in lost] + [(7, t) for t in reused] + [(8, copied)], key=repr)
+    assert by_row(simhash.drop_near_duplicates(df), "doc_id", "text") == want
+
+
 @pytest.mark.parametrize("crowd", [2048, 3])
 def test_links_and_crowded_buckets(spark, crowd):
     rng = random.Random(5)

@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vespera.llm.common import bounded_batches, durable
 
@@ -132,22 +132,40 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def simhash_components(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the least doc_id that links reach)."""
+def row_digest(docs: DataFrame) -> Column:
+    """Tells rows of one id apart: a digest of all columns, nulls included."""
+    return F.xxhash64(*[c for name in docs.columns for c in (F.col(name), F.col(name).isNull())])
+
+
+def _labelled(docs: DataFrame, row: Column, text: str, shingle: int, max_bits: int, max_bucket: int) -> DataFrame:
+    """doc_id, row, fp, label (the least fingerprint that links reach), component_id."""
     bounded_batches(docs.sparkSession)
-    marked = durable(docs.select(F.col("doc_id"), _fingerprints(shingle)(F.col(text)).alias("fp")), "fingerprints")
+    marked = durable(docs.select(F.col("doc_id"), row.alias("row"), _fingerprints(shingle)(F.col(text)).alias("fp")), "fingerprints")
     nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "nodes")
     labels = components(links(nodes.select("fp"), max_bits, max_bucket))
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     heads = named.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-    of = named.join(heads, "label").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(named.join(heads, "label").select("fp", "label", "component_id"), "fp")
+
+
+def simhash_components(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the least doc_id that links reach)."""
+    found = _labelled(docs, F.lit(0).cast("long"), text, shingle, max_bits, max_bucket)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_label(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """docs with one row of each label of labelled (doc_id, row: their row_digest, label): the least real doc_id, then the least digest."""
+    counts = labelled.groupBy("label", "doc_id", "row").agg(F.count("*").alias("n"))
+    least = counts.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("h"))
+    heads = durable(least.select(F.col("h.doc_id").alias("__id"), F.col("h.row").alias("__head"), F.col("h.n").alias("__n")), "heads")
+    rows = docs.withColumn("__row", row_digest(docs))
+    of = lambda h: rows.join(h, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__head")), "left_semi").drop("__row")
+    if not heads.filter("__n > 1").limit(1).count():
+        return of(heads)
+    return of(heads.filter("__n = 1")).union(of(heads.filter("__n > 1")).dropDuplicates())
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component: the one that names it. Repeated rows of it become one."""
-    found = durable(simhash_components(docs, **options), "components")
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__head"))
-    repeated = heads.groupBy("__head").count().filter("count > 1").limit(1).count()
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("__head")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+def drop_near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """docs with one row of each component: the one whose doc_id names it, or any one if no row has an id. Repeated rows of it become one."""
+    return one_per_label(docs, durable(_labelled(docs, row_digest(docs), text, shingle, max_bits, max_bucket).select("doc_id", "row", "label"), "components"))
