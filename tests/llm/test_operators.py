@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vespera.llm import decontaminate, html_text, line_dedup, pieces, pii, quality, sharding, simhash, toxicity, warc
+from vespera.llm import decontaminate, html_text, line_dedup, near_copies, pieces, pii, quality, sharding, simhash, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, hash string, pos int"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -162,6 +162,37 @@ def test_unrelated_rows_with_null_or_reused_ids_stay(spark):
     assert by_row(simhash.drop_near_duplicates(df), "doc_id", "text") == want
 
 
+def shingles(text):
+    words = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("frequent", [200, 3])
+def test_near_dedup_stage_is_brute_force_jaccard(spark, frequent):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(12)]
+    texts = ["", None, " ", "one two", "One  TWO", "one two three four five"]
+    for _ in range(20):
+        base = [word() for _ in range(rng.randint(8, 120))] + rng.choice([[], passage])
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(rng.randint(0, 6)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy[rng.randint(0, 3) :]))
+    sets = [shingles(t) for t in texts]
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if alike(sets[i], sets[j])]
+    want = sorted(set(closed(pairs, range(len(texts))).values()))
+    far = [1 for i, j in pairs if (fingerprint(texts[i]) ^ fingerprint(texts[j])).bit_count() > 4]
+    assert len(far) > 20  # 4 bits of SimHash miss these
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(df, frequent=frequent).collect()) == want
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()) == want
+
+
 @pytest.mark.parametrize("crowd", [2048, 3])
 def test_links_and_crowded_buckets(spark, crowd):
     rng = random.Random(5)
