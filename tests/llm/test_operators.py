@@ -290,6 +290,16 @@ def test_html():
     assert render("") == "" and len(render("<div>" * 20000 + "deep")) == 4 and render("<p style='display: none'>a</p>b") == "b"
 
 
+def test_html_controls_raw_text_and_pictures():
+    render = lambda s: html_text.render(s)[0]
+    assert render("a<select><option>x<option>y</select>b") == "a\nx\ny\nb"
+    assert render("a<textarea>\n1 &lt; 2\n  z</textarea>b") == "a\n1 < 2\n  z\nb"
+    assert render("a<xmp><b> &lt;</xmp>b") == "a\n\n<b> &lt;\n\nb" and render("a<plaintext>x</p>\ny") == "a\n\nx</p>\ny"
+    assert render("a<svg><path/><defs/><desc>no</desc><text>one</text><text>two</text></svg>b") == "a one two b"
+    assert render("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>") == "x=1"
+    assert render("<map><area><a href=x>link</a></map>") == "link" and render("<div hidden><textarea>no</textarea></div>b") == "b"
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, "x"), (2, "<p>a</p>", "x"), (2, "<p>a</p>", "x")], "page_id long, html string, text string")
     assert by_row(html_text.extract_text(pages), "page_id", "text") == [(1, None), (2, "a"), (2, "a")]

@@ -4,6 +4,9 @@ A tree builder reads tags, closes elements whose end tags are implied, and track
 visible. Blocks stand on lines of their own, with blank lines where their margins are; lists get
 bullets or numbers and are indented; table cells are aligned in columns; pre keeps its spaces.
 
+Unseen are UNSEEN (scripts, templates, and what shows only if something else fails to), FOREIGN_UNSEEN, and what is hidden by
+an attribute or its own style. All options of a select are rendered, a line each; so are textarea, xmp and plaintext.
+
 Null pages have null text and empty pages the empty text. Anything can follow a "<": what is no tag is
 text. Nesting depth and page length are not limited: there is no recursion, each piece of a page is read
 once, and blanks that indentation and alignment add are bounded by MAX_INDENT and MAX_CELL. Rows are
@@ -24,12 +27,15 @@ COLUMNS = ("text", "title", "n_blocks", "n_links")
 #: Element groups as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-UNSEEN = frozenset("head script style template title noscript noframes noembed iframe object audio video canvas svg math datalist select textarea map".split())
+UNSEEN = frozenset("head script style template title noscript noframes noembed iframe object audio video canvas datalist".split())
+#: Raw text that a reader sees, and what is unseen in pictures and formulas.
+RAW_SEEN = frozenset("textarea xmp plaintext".split())
+FOREIGN_UNSEEN = {"svg": frozenset("defs desc metadata symbol".split()), "math": frozenset("annotation annotation-xml".split())}
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody thead tfoot tr td th caption ul".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody thead tfoot tr td th caption ul textarea xmp plaintext".split()
 )
-MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr".split())
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
+MARGIN = frozenset("xmp plaintext p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr".split())
+CLOSES_P = frozenset("xmp plaintext address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
 #: start tag -> open elements it ends, and elements that this search does not leave.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir", "table", "td", "th"}), "dt": ({"dt", "dd"}, {"dl", "table", "td", "th"}), "dd": ({"dt", "dd"}, {"dl", "table", "td", "th"}),
@@ -148,7 +154,12 @@ class _Page:
         if rule := ENDS.get(name):
             while any(self.counts.get(x) for x in rule[0]) and self.pop_until(*rule):
                 pass
-        seen = self.seen() and name not in UNSEEN
+        foreign = [x for x in FOREIGN_UNSEEN if self.counts.get(x)]
+        if closed and (foreign or name in FOREIGN_UNSEEN):
+            return
+        seen = self.seen() and name not in UNSEEN and not any(name in FOREIGN_UNSEEN[x] for x in foreign)
+        if name == "text" and foreign and seen:
+            self.characters(" ")
         link = False
         start = 1
         kind = "disc"
@@ -310,11 +321,17 @@ def render(page: str) -> tuple[str, str | None, int, int]:
             name = m[2].lower()
             if m[1]:
                 p.end(name)
+                if name == "text" and p.counts.get("svg"):
+                    p.characters(" ")
                 continue
             p.start(name, m[3], m[3].endswith("/"))
             if name in RAW:
                 close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at) if name != "plaintext" else None
                 inner = page[at : close.start() if close else n]
+                if name in RAW_SEEN:
+                    p.pre += 1
+                    p.characters(re.sub(r"\A\r?\n", "", html.unescape(inner)) if name == "textarea" else inner)
+                    p.pre -= 1
                 if name == "title" and not p.title:
                     p.title.append(_SPACES.sub(" ", html.unescape(inner)).strip())
                 at = close.end() if close else n
