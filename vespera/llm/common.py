@@ -16,9 +16,16 @@ NULL_ID = -(2**63)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: A key that more than one in HOT of all rows have is frequent. So there are fewer than HOT frequent keys, whatever the input.
+HOT = 10_000
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Lowers the session's bounds on Arrow batches to these where they are higher. Plans read them when they run, so they stay lowered."""
+    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = (spark.conf.get(key) or "").strip().lower().rstrip("b")
+        if not held.isdigit() or not 0 < int(held) <= bound:
+            spark.conf.set(key, str(bound))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,13 +44,56 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Paths of the tables that durable() has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
-    """df as a table written in the shared folder: lineage ends there and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """df as a table written in the shared folder: lineage ends there and lost executors lose nothing. release() removes it."""
+    path = kept_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, known to release()."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what the operators have written in the shared folder and returns the number of paths. For when all results are stored: DataFrames that operators returned can't be read afterwards."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], total: int, n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined on keys with facts, which has one small row for each key and in n how many of the total rows have it.
+
+    Facts of frequent keys are broadcast, fewer than HOT of them, so that their rows stay where they are; the others are
+    shuffled. Both are read twice. Keys must not be null.
+    """
+    hot = F.col(n) * HOT > total
+    found, mark = facts.drop(n), unused(rows, "hot")
+    frequent = F.broadcast(facts.filter(hot).drop(n).withColumn(mark, F.lit(True)))
+    other = rows.join(F.broadcast(facts.filter(hot).select(*on)), on, "left_anti").join(facts.filter(~hot).drop(n), on, how)
+    return rows.join(frequent, on).drop(mark).select(*rows.columns, *[c for c in found.columns if c not in on]).unionByName(other)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name behind underscores, as many as make it no column of df: for a column that is dropped again."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def without(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """df without the columns an operator is about to add: the operator's columns win over clashing ones."""
     return df.drop(*names)

@@ -1,76 +1,59 @@
 """Line dedup: lines that recur across documents stay only in the document with the largest id.
 
-Lines are exploded as hashes of their normalised form, distinct documents are counted per hash, hashes
-over the threshold lose their lines, and each text is put together again by position.
+Lines are exploded with their positions as hashes of their normalised form, distinct documents are counted
+per hash, hashes over the threshold give up the positions that hold them, and each text is put together
+again from the lines at the positions that stay. All of it is DataFrame functions; texts move once, to meet
+the positions they lose, and the lists of positions are the side that is hashed.
+
+A line that is found everywhere is one key with a large part of all rows: its counts are combined before
+they are shuffled, and the verdicts on such keys are broadcast (see spread_join).
 
 Null and empty texts have one empty line and become the empty text. Rows that share a doc_id are one
-document, and null ids are one document whose id is less than all others. A line is known by a 128-bit
-hash. Input columns that clash with the operator's are replaced.
+document, and null ids are one document whose id is less than all others; repeated rows lose the same
+lines. A line is known by a 128-bit hash, a row by its doc_id and a 64-bit hash of its text. Input columns
+that clash with the operator's are replaced.
 """
 
 from __future__ import annotations
 
-from hashlib import blake2b
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from vespera.llm.common import bounded_batches, durable, id_key, without
+from vespera.llm.common import LOWER, UPPER, durable, id_key, spread_join, unused, without
 
 STRIP = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
 COLUMNS = ("n_lines", "n_dropped")
 
 
-def key_of(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
-    """The hash of a line's key; None for keys that are too short to count."""
-    line = line.strip(STRIP)
-    return blake2b(line.encode().lower(), digest_size=16).digest() if len(line) >= min_chars else None  # bytes lower A-Z only
-
-
-def _explode_keys(min_chars: int):
-    @F.arrow_udf("array<binary>")
-    def keys(text: pa.Array) -> pa.Array:
-        return pa.array([list(dict.fromkeys(k for x in (t.as_py() or "").split("\n") if (k := key_of(x, min_chars)))) for t in text], pa.list_(pa.binary()))
+def exploded(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc, row, pos, h1, h2: the lines whose keys are long enough."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    lines = docs.select(id_key("doc_id").alias("doc"), F.xxhash64(t).alias("row"), F.posexplode(F.split(t, "\n", -1)).alias("pos", "line"))
+    lines = lines.filter(F.octet_length("line") >= min_chars).withColumn("key", F.btrim("line", F.lit(STRIP))).filter(F.length("key") >= min_chars)
+    key = F.when(F.octet_length("key") == F.length("key"), F.lower("key")).otherwise(F.translate("key", UPPER, LOWER))  # both lower A-Z only
+    return lines.select("doc", "row", "pos", key.alias("key")).select("doc", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
 
-    return keys
 
-
-def _reassemble(min_chars: int):
-    fields = [pa.field("text", pa.string()), pa.field("n_lines", pa.int64()), pa.field("n_dropped", pa.int64())]
-
-    @F.arrow_udf("struct<text:string,n_lines:long,n_dropped:long>")
-    def reassemble(text: pa.Array, drops: pa.Array) -> pa.Array:
-        texts, counts, dropped = [], [], []
-        for t, d in zip(text, drops):
-            t = t.as_py() or ""
-            lines = t.split("\n")
-            if d.is_valid:
-                gone = set(d.as_py())
-                kept = [x for x in lines if key_of(x, min_chars) not in gone]
-                t = "\n".join(kept)
-            else:
-                kept = lines
-            texts.append(t)
-            counts.append(len(lines))
-            dropped.append(len(lines) - len(kept))
-        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], fields=fields)
-
-    return reassemble
+def _put_together(text: Column, lines: str, gone: str) -> Column:
+    """The lines that are not at the ascending positions gone: the runs between those, one after the other."""
+    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(gone, i - 1) + 1)
+    end = lambda i: F.coalesce(F.get(gone, i), F.size(lines))
+    runs = F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(lines, begin(i) + 1, end(i) - begin(i)))
+    return F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.flatten(runs), "\n"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs (doc_id, text, ...) with text rebuilt, and n_lines before and n_dropped.
-
-    Only hashes are exploded; texts move once, to meet their list of dropped hashes.
-    """
-    bounded_batches(docs.sparkSession)
-    lines = durable(docs.select(id_key("doc_id").alias("doc"), F.explode(_explode_keys(min_chars)(F.col("text"))).alias("line")), "lines")
-    over = (
-        lines.groupBy("line", "doc").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("n"), F.max("doc").alias("keeper"))
-        .filter(F.col("n") >= min_docs).select("line", "keeper")
-    )
-    drops = lines.join(over, "line").filter(F.col("doc") != F.col("keeper")).groupBy("doc").agg(F.collect_set("line").alias("__drops")).withColumnRenamed("doc", "__doc")
-    out = without(docs, COLUMNS).withColumn("__doc", id_key("doc_id")).join(drops, "__doc", "left").withColumn("__r", _reassemble(min_chars)(F.col("text"), F.col("__drops")))
-    names = [c for c in out.columns if c not in ("__doc", "__drops", "__r")]
-    return out.select(*[F.col("__r.text").alias("text") if c == "text" else c for c in names], "__r.n_lines", "__r.n_dropped")
+    """docs (doc_id, text, ...) with text rebuilt, and n_lines before and n_dropped."""
+    lines, key = durable(exploded(docs, "text", min_chars), "lines"), ["h1", "h2"]
+    often = lines.groupBy(*key, "doc").agg(F.count("*").alias("n")).groupBy(*key).agg(F.count("*").alias("docs"), F.max("doc").alias("keeper"), F.sum("n").alias("n"))
+    often = durable(often.filter(F.col("docs") >= min_docs).select(*key, "keeper", "n"), "often")
+    lost = spread_join(lines, often, key, lines.count()).filter(F.col("doc") != F.col("keeper"))
+    out = without(docs, COLUMNS)
+    doc, row, gone, cut = (unused(out, c) for c in ("doc", "row", "gone", "lines"))
+    gaps = lost.groupBy(F.col("doc").alias(doc), F.col("row").alias(row)).agg(F.sort_array(F.collect_set("pos")).alias(gone))
+    names, t = out.columns, F.coalesce(F.col("text"), F.lit(""))
+    out = out.withColumns({doc: id_key("doc_id"), row: F.xxhash64(t)}).join(gaps.hint("shuffle_hash"), [doc, row], "left")
+    out = out.withColumn(cut, F.when(F.col(gone).isNotNull(), F.split(t, "\n", -1)))
+    n_lines = (F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    kept = _put_together(t, cut, gone).alias("text")
+    return out.select(*[kept if c == "text" else c for c in names], n_lines.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
