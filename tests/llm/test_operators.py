@@ -317,7 +317,7 @@ def test_max_plus_scan_is_the_library():
 
 def test_pieces(docs, none):
     model = pieces.PieceModel(pieces.load_model())
-    for options in ({}, {"giant": 50, "chunk": 16}):
+    for options in ({}, {"chunk": 16, "fan": 3}):
         out = pieces.decode_pieces(pieces.encode_pieces(docs, **options)).collect()
         assert len(out) == len(corpus())
         for r in out:

@@ -1,19 +1,22 @@
 """SentencePiece encoding and decoding, with a max-plus parallel scan for giant documents.
 
-A segmentation is a best path through the lattice of a text's pieces. A giant document is cut into
-chunks; each chunk, on its own, yields a transfer matrix over max and plus from the states at its left
-boundary to those at its right one, a state being the piece that crosses or touches the boundary.
-Products of the matrices are associative; scanned in both directions they fix the state at every
-boundary, and then each chunk is backtraced by itself.
+A segmentation is a best path through the lattice of a text's pieces. A document of more than CHUNK code
+points is cut at every multiple of CHUNK, mostly inside a word. Each chunk, on its own, yields a transfer
+matrix over max and plus from the states at its left boundary to those at its right one, a state being the
+piece that crosses or touches the boundary. The matrices are combined associatively, FAN at a time, up a
+tree; down the tree the states at every boundary follow, and then each chunk is backtraced by itself.
 
 Weights are such that the path is the library's own segmentation. Unigram models add piece scores. BPE
 models are merges, not scores; but a sequence of pieces is what the merges make of a text exactly if
 every two neighbours are what they make of those two pieces' text, so an edge weighs 0 if its two pieces
 stand that test and has no weight (minus infinity) otherwise, and one path is left.
 
-No piece goes on across a space that follows another character (the model is checked for that), so most
-cuts fall there and have a single state; only longer runs without a space need real matrices. Stretches
-between such places are encoded by the library, and remembered.
+No piece goes on across a space that follows another character (the model is checked for that). Inside a
+chunk the lattice therefore narrows to one state at each such place: the matrix is the sweep from the left
+boundary to the first of them, plus the weight of the words in between, plus the sweep from the last of
+them to the right boundary. Words in between are segmented by the merges (long ones and those of unigram
+models by a sweep) and remembered. A chunk without such a place is swept whole. The library encodes
+documents of CHUNK code points or fewer, and those alone.
 
 Null texts have null ids, empty texts none. Encoding is that of the model's options (dummy prefix, byte
 fallback); decoding gives the text back if the model's normalisation is the identity, except that a
@@ -32,21 +35,24 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from vespera.llm.common import bounded_batches, durable, without
+from vespera.llm.common import bounded_batches, durable, unused, without
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Documents over GIANT code points are cut into chunks of about CHUNK; runs without a space are encoded whole by the library
-#: up to RUN, and remembered up to REMEMBERED.
-GIANT, CHUNK, RUN, REMEMBERED = 65_536, 16_384, 65_536, 1_024
-CACHE = 100_000
-#: Characters of text that are split into stretches at once.
-SLICE = 1 << 20
+#: Documents over CHUNK code points are cut into chunks of that size; FAN matrices are combined at a time.
+CHUNK, FAN = 16_384, 64
+#: Words that an encoder remembers, and the longest remembered; words up to SHORT are segmented by the merges alone.
+CACHE, REMEMBERED, SHORT = 200_000, 256, 48
+#: Chunks that a task of the scan takes, and up to how many chunks their states, 20 bytes each, are broadcast.
+CHUNKS_A_TASK, BROADCAST_CHUNKS = 64, 500_000
 BPE, UNIGRAM = 2, 1
 SPACE = "▁"
 COLUMNS = ("ids", "n_ids")
 
+_NARROW = re.compile(f"(?<=[^{SPACE}]){SPACE}")
+
 State = tuple[int, int, str]  # code points past the boundary, id (-1: unknown), text of the piece
 START: State = (0, -2, "")
 
@@ -75,7 +81,12 @@ class PieceModel:
         self.worst = min(s for s, _ in self.scores.values()) - 10.0  # the library's penalty of an unknown character
         self.raw = [bytes([int(p[3:5], 16)]) if t == 6 else b"" if t == 3 else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, self.types)]
         self.raw[self.unknown] = " ⁇ ".encode()
+        self.raw_bytes = pa.array(self.raw, pa.binary())
         self.fits = lru_cache(1 << 16)(self._fits)
+        self._stable: dict[str, bool] = {}
+        self.words: dict[str, tuple[float, bytes]] = {}
+        #: whether a piece begins with the space
+        self.heads = np.array([p.startswith(SPACE) for p in self.pieces])
 
     # The lattice
 
@@ -103,13 +114,21 @@ class PieceModel:
     def weight(self, left: State, piece: str, score: float) -> float | None:
         if self.kind != BPE:
             return score
-        return 0.0 if (self.merged(piece) == [piece] if left == START else self.fits(left[2], piece)) else None
+        return 0.0 if (self.stable(piece) if left == START else self.fits(left[2], piece)) else None
+
+    def stable(self, s: str) -> bool:
+        """Whether a piece can stand in a segmentation at all: BPE makes it of its own text."""
+        if self.kind != BPE:
+            return True
+        if s not in self._stable:
+            self._stable[s] = self.merged(s) == [s]
+        return self._stable[s]
 
     def states(self, text: str, at: int) -> list[State]:
         """The states a boundary at a place in text can have: pieces that start before it and end there or later."""
         if at == 0:
             return [START]
-        return [(b + len(s) - at, i, s) for b in range(max(0, at - self.longest), at) for s, i, _ in self.starting(text, b) if b + len(s) >= at]
+        return [(b + len(s) - at, i, s) for b in range(max(0, at - self.longest), at) for s, i, _ in self.starting(text, b) if b + len(s) >= at and self.stable(s)]
 
     def sweep(self, text: str, begin: int, end: int, entries: list[State]) -> dict[int, dict[State, tuple[dict[int, float], dict[int, tuple[int, State]]]]]:
         """Nodes by place: last piece -> best weight by entry, and the node before. Paths stop at the first piece that reaches end."""
@@ -129,9 +148,63 @@ class PieceModel:
                             to[e], back[e] = x + w, (at, left)
         return nodes
 
-    def transfer(self, text: str, begin: int, end: int) -> tuple[list[State], list[State], np.ndarray]:
-        """States at both boundaries of a chunk and the matrix of best weights between them; text reaches beyond both."""
+    def narrow(self, text: str, begin: int, end: int) -> tuple[int, int] | None:
+        """The first and the last place from begin on and before end that no piece crosses."""
+        first = _NARROW.search(text, max(begin, 1), end)
+        if not first:
+            return None
+        last = text.rfind(SPACE, first.start(), end)
+        while text[last - 1] == SPACE and last > first.start():
+            last = text.rfind(SPACE, first.start(), last)
+        return first.start(), last
+
+    def inside(self, text: str, begin: int, end: int) -> tuple[float, list[bytes]]:
+        """Weight and ids of the words between two places that no piece crosses."""
+        total, parts, at = 0.0, [], begin
+        while at < end:
+            m = _NARROW.search(text, at + 1, end)
+            stop = m.start() if m else end
+            weight, ids = self.word(text[at:stop])
+            total += weight
+            parts.append(ids)
+            at = stop
+        return total, parts
+
+    def word(self, s: str) -> tuple[float, bytes]:
+        """Weight and ids of a text between two places that no piece crosses; remembered."""
+        if (known := self.words.get(s)) is not None:
+            return known
+        if self.kind == BPE and len(s) <= SHORT:
+            found = 0.0, array("i", [x for p in self.merged(s) for x in self.spelled(self.scores[p][1] if p in self.scores else -1, p)]).tobytes()
+        else:
+            ends = self.sweep(s, 0, len(s), [START])[len(s)]
+            node = max(ends, key=lambda k: ends[k][0][0])
+            found = ends[node][0][0], array("i", self.backtrace(s, 0, len(s), START, node)).tobytes()
+        if len(s) <= REMEMBERED:
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            self.words[s] = found
+        return found
+
+    def transfer(self, text: str, begin: int, end: int) -> np.ndarray:
+        """The matrix of best weights from the states at a chunk's begin to those at its end; text reaches beyond both."""
         entries, exits = self.states(text, begin), self.states(text, end)
+        if (places := self.narrow(text, begin, end)) is None:
+            return self.swept(text, begin, end, entries, exits)
+        first, last = places
+        head, tail = np.full(len(entries), -np.inf), np.full(len(exits), -np.inf)
+        for weights, _ in self.sweep(text, begin, first, entries).get(first, {}).values():
+            for e, x in weights.items():
+                head[e] = max(head[e], x)
+        nodes = self.sweep(text, last, end, [START])
+        for j, (over, i, s) in enumerate(exits):
+            weights, _ = nodes.get(end + over, {}).get((0, i, s), ({}, {}))
+            tail[j] = weights.get(0, -np.inf)
+        between = 0.0 if self.kind == BPE else self.inside(text, first, last)[0]  # the merges' words all weigh 0
+        return head[:, None] + between + tail[None, :]
+
+    def swept(self, text: str, begin: int, end: int, entries: list[State], exits: list[State]) -> np.ndarray:
+        """The matrix of a chunk whose lattice is nowhere narrow."""
         nodes, matrix = self.sweep(text, begin, end, entries), np.full((len(entries), len(exits)), -np.inf)
         for j, (over, i, s) in enumerate(exits):
             if end + over - len(s) < begin:  # one piece spans the chunk: an entry that is the exit itself
@@ -143,10 +216,20 @@ class PieceModel:
             for e, x in weights.items():
                 if begin + entries[e][0] <= end + over - len(s):
                     matrix[e, j] = x
-        return entries, exits, matrix
+        return matrix
 
-    def backtrace(self, text: str, begin: int, end: int, entry: State, exit_: State) -> list[int]:
+    def trace(self, text: str, begin: int, end: int, entry: State, exit_: State) -> bytes:
         """Ids of the pieces that start in the chunk, on the best path between two states."""
+        if (places := self.narrow(text, begin, end)) is None:
+            return array("i", self.backtrace(text, begin, end, entry, exit_)).tobytes()
+        first, last = places
+        ends = self.sweep(text, begin, first, [entry]).get(first, {})
+        node = max(ends, key=lambda k: ends[k][0][0])
+        head = [] if begin + entry[0] == first else self.backtrace(text, begin, first, entry, node)
+        return b"".join([array("i", head).tobytes(), *self.inside(text, first, last)[1], array("i", self.backtrace(text, last, end, START, exit_)).tobytes()])
+
+    def backtrace(self, text: str, begin: int, end: int, entry: State, exit_: State) -> list[int]:
+        """Ids of the pieces that start in a swept stretch, on the best path between two states."""
         if end + exit_[0] - len(exit_[2]) < begin:
             return []
         nodes, at, node, path = self.sweep(text, begin, end, [entry]), end + exit_[0], (0, *exit_[1:]), []
@@ -163,86 +246,95 @@ class PieceModel:
     def prepared(self, text: str) -> str:
         return (SPACE if self.dummy and text else "") + text.replace(" ", SPACE)
 
-    def places(self, text: str, size: int) -> list[int]:
-        """Where a prepared text is cut into chunks of about size: at spaces that follow other characters where there are any."""
-        out = [0]
-        while out[-1] + size < len(text):
-            at = out[-1] + size
-            space = max((m.start() + 1 for m in re.finditer(f"[^{SPACE}]{SPACE}", text[at - size // 2 : at + 1])), default=0)
-            out.append(at - size // 2 + space if space else at)
-        return [*out, len(text)]
-
-    def scan(self, text: str, size: int) -> list[int]:
+    def scan(self, text: str, size: int, fan: int = FAN) -> list[int]:
         """Ids of a prepared text by chunks; what the distributed path does, in one place."""
-        places = self.places(text, size)
-        chunks = list(zip(places, places[1:]))
-        bounds = settle([self.transfer(text, a, b) for a, b in chunks])
-        return [x for (a, b), s, e in zip(chunks, bounds, bounds[1:]) for x in self.backtrace(text, a, b, s, e)]
+        chunks = [(a, min(a + size, len(text))) for a in range(0, len(text), size)]
+        levels = [[self.transfer(text, a, b) for a, b in chunks]]
+        while len(levels[-1]) > 1:
+            levels.append([product(levels[-1][i : i + fan]) for i in range(0, len(levels[-1]), fan)])
+        ends = [(0, int(np.argmax(levels[-1][0][0])))]
+        for level in reversed(levels[:-1]):
+            ends = [x for k, (b, e) in enumerate(ends) for x in between(level[k * fan : (k + 1) * fan], b, e)]
+        ids = [self.trace(text, a, b, self.states(text, a)[s], self.states(text, b)[e]) for (a, b), (s, e) in zip(chunks, ends)]
+        return np.frombuffer(b"".join(ids), np.int32).tolist()
 
     def decode(self, ids) -> str:
         out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return out[1:] if self.dummy and out[:1] == " " else out
 
+    def decoded(self, ids: pa.Array) -> pa.Array:
+        """The texts of lists of ids: their pieces' bytes are taken and joined by Arrow; what is no UTF-8 is decoded one by one."""
+        texts = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, pc.take(self.raw_bytes, ids.values)) if ids.null_count == 0 else ids_to_bytes(ids, self.raw_bytes), b"")
+        try:
+            texts = texts.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([self.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in ids], pa.string())
+        return pc.replace_substring_regex(texts, r"\A ", "") if self.dummy else texts
+
+
+def ids_to_bytes(ids: pa.Array, raw: pa.Array) -> pa.Array:
+    """Lists of ids as lists of their pieces' bytes; null lists stay null."""
+    offsets = pa.array([None if not v else o for v, o in zip(ids.is_valid().to_pylist(), ids.offsets.to_pylist())] + [ids.offsets[-1].as_py()], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pc.take(raw, ids.values))
+
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The matrix product over max and plus."""
     return np.max(a[:, :, None] + b[None, :, :], axis=1, initial=-np.inf)
 
 
-def settle(transfers: list[tuple[list[State], list[State], np.ndarray]]) -> list[State]:
-    """The state at every boundary of the best path, from products of the chunks' matrices in both directions."""
-    ends = [j for j, s in enumerate(transfers[-1][1]) if s[0] == 0]
-    after = [np.zeros((len(ends), 1))]
-    last = transfers[-1][2][:, ends]
-    matrices = [m for _, _, m in transfers[:-1]] + [last]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The product of consecutive matrices, halves first."""
+    if len(matrices) == 1:
+        return matrices[0]
+    half = len(matrices) // 2
+    return times(product(matrices[:half]), product(matrices[half:]))
+
+
+def between(matrices: list[np.ndarray], begin: int, end: int) -> list[tuple[int, int]]:
+    """For consecutive chunks, the states at both ends of each on the best path from the state begin to the state end."""
+    after = [np.where(np.arange(matrices[-1].shape[1]) == end, 0.0, -np.inf)]
     for m in reversed(matrices):
-        after.append(times(m, after[-1]))
-    after.reverse()
-    states, at = [transfers[0][0][0]], 0
-    for k, (_, exits, _) in enumerate(transfers):
-        exits = [exits[j] for j in ends] if k == len(transfers) - 1 else exits
-        at = int(np.argmax(matrices[k][at] + after[k + 1][:, 0]))
-        states.append(exits[at])
-    return states
+        after.append(np.max(m + after[-1][None, :], axis=1))
+    out, at = [], begin
+    for m, rest in zip(matrices, reversed(after[:-1])):
+        to = int(np.argmax(m[at] + rest))
+        out.append((at, to))
+        at = to
+    return out
 
 
 class Encoder:
-    """Encodes texts with a model; a bounded number of stretches between spaces is remembered."""
+    """Encodes texts by the library; the ids of a bounded number of words are remembered."""
 
-    def __init__(self, model: bytes, run: int = RUN):
-        self.model, self.run, self.known = PieceModel(model), run, {}
+    def __init__(self, model: bytes):
+        self.model, self.known = PieceModel(model), {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit numbers. What is new in a slice of the texts is encoded once, all together."""
+        """Ids of each text as 32-bit numbers. Words that are new are encoded once, in one text."""
         if not self.model.dummy:
             return [array("i", ids).tobytes() for ids in self.model.library.encode(texts, num_threads=1)]
-        out, begin, size = [], 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= SLICE or i == len(texts) - 1:
-                out += self._encode(texts[begin : i + 1])
-                begin, size = i + 1, 0
-        return out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
         lists = [split_stretches(t) if t else [] for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        known, new = self.known, set()
-        for stretches in lists:
-            new.update(stretches)
-        new = [s for s in new if s not in known]
+        words = set().union(*lists)
+        if len(self.known) > CACHE:  # what these texts have is kept
+            self.known = {w: ids for w in words if (ids := self.known.get(w)) is not None}
+        known, library = self.known, self.model.library
         known[""] = array("i", [self.model.scores[SPACE][1]]).tobytes()  # nothing after a space: the space alone
-        short = [s for s in new if s and len(s) <= self.run]
-        for s, ids in zip(short, self.model.library.encode(short, num_threads=1) if short else ()):
-            known[s] = array("i", ids).tobytes()
-        long = [s for s in new if len(s) > self.run]
-        for s in long:
-            known[s] = array("i", self.model.scan(self.model.prepared(s), CHUNK)).tobytes()
+        new = words.difference(known)
+        odd = [w for w in new if " " in w or SPACE in w]
+        plain = list(new.difference(odd)) if odd else list(new)
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
+            ids = np.array(library.encode(" ".join(part)), np.int32)
+            at = 4 * np.flatnonzero(self.model.heads[ids])  # each word's first piece begins with the space, no other does
+            raw = ids.tobytes()
+            known.update((w, raw[a:b]) for w, a, b in zip(part, at.tolist(), [*at[1:].tolist(), len(raw)], strict=True))
+        for w, ids in zip(odd, library.encode(odd, num_threads=1) if odd else ()):
+            known[w] = array("i", ids).tobytes()
         out = [b"".join(map(known.__getitem__, x)) for x in lists]
-        for s in new:
-            if len(s) > REMEMBERED:
-                del known[s]
+        for w in new:
+            if len(w) > REMEMBERED:
+                del known[w]
         return out
 
 
@@ -278,8 +370,8 @@ def _ids(parts: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(p for p in parts if p), np.int32)))
 
 
-def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """docs with ids (array of int) and n_ids."""
+def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """docs with ids (array of int) and n_ids. Documents over chunk code points go through the scan."""
     spark = docs.sparkSession
     bounded_batches(spark)
     data = load_model(model)
@@ -294,113 +386,88 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL, giant
         return _ids([x if t.is_valid else None for x, t in zip(found, texts)])
 
     out = without(docs, COLUMNS)
-    big = F.coalesce(F.length(text) > giant, F.lit(False))
+    row = unused(out, "row")
+    big = F.coalesce(F.length(text) > chunk, F.lit(False))
     small = out.filter(~big).withColumn("ids", whole(F.col(text)))
-    rows = durable(out.filter(big).withColumn("__row", F.monotonically_increasing_id()), "giants")
-    parts = _scan_giants(rows.select("__row", F.col(text).alias("__t")), encoder, chunk)
-    large = rows.join(parts, "__row").drop("__row")
-    both = small.unionByName(large)
-    return both.withColumn("n_ids", F.size("ids").cast("long")).withColumn("n_ids", F.when(F.col("ids").isNotNull(), F.col("n_ids")))
+    rows = durable(out.filter(big).withColumn(row, F.monotonically_increasing_id()), "giants")
+    parts = scan_giants(rows.select(F.col(row).alias("row"), F.col(text).alias("t")), encoder, chunk, fan)
+    both = small.unionByName(rows.join(parts.withColumnRenamed("row", row), row).drop(row))
+    return both.withColumn("n_ids", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")))
 
 
-def _scan_giants(rows: DataFrame, encoder, chunk: int) -> DataFrame:
-    """__row, ids of giant texts: chunks, their matrices, the states they fix, and each chunk's backtrace."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def cut_chunks(rows: DataFrame, encoder, chunk: int) -> DataFrame:
+    """row, k, t, a, b: the chunks of giant texts (row, t), each with the text around it that pieces at its ends can reach."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 m = encoder().model
                 s = m.prepared(t.as_py())
-                places = m.places(s, chunk)
-                for k, (a, b) in enumerate(zip(places, places[1:])):
-                    left = max(0, a - m.longest)
-                    yield pa.RecordBatch.from_pylist(
-                        [{"row": row, "k": k, "t": s[left : b + m.longest], "a": a - left, "b": b - left, "plain": [_plain(s, a), _plain(s, b)]}],
-                        schema=pa.schema([("row", pa.int64()), ("k", pa.int32()), ("t", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("plain", pa.list_(pa.bool_()))]),
-                    )
-
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if all(r["plain"]):  # one state on either side: a 1 x 1 matrix
-                    entries, exits, matrix = [SIMPLE], [SIMPLE], np.zeros((1, 1))
-                else:
-                    entries, exits, matrix = _opened(encoder().model, r)
-                out.append({"row": r["row"], "k": r["k"], "entries": [list(map(str, s)) for s in entries], "exits": [list(map(str, s)) for s in exits], "m": matrix.ravel().tolist()})
-            texts = pa.list_(pa.list_(pa.string()))
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row", pa.int64()), ("k", pa.int32()), ("entries", texts), ("exits", texts), ("m", pa.list_(pa.float64()))]))
-
-    @F.arrow_udf("array<array<string>>")
-    def boundaries(chunks: pa.Array) -> pa.Array:
-        out = []
-        for row in chunks.to_pylist():
-            of = lambda s: (int(s[0]), int(s[1]), s[2])
-            transfers = [([*map(of, c["entries"])], [*map(of, c["exits"])], np.array(c["m"]).reshape(len(c["entries"]), len(c["exits"]))) for c in sorted(row, key=lambda c: c["k"])]
-            out.append([list(map(str, s)) for s in settle(transfers)])
-        return pa.array(out, pa.list_(pa.list_(pa.string())))
+                for k, a in enumerate(range(0, len(s), chunk)):
+                    # A place's states depend on LONGEST code points before it, and whether it is narrow on one more.
+                    left, b = max(0, a - m.longest - 1), min(a + chunk, len(s))
+                    yield pa.RecordBatch.from_pylist([{"row": row, "k": k, "t": s[left : b + m.longest], "a": a - left, "b": b - left}], schema=schema)
 
-    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, e = [], encoder()
-            for r in batch.to_pylist():
-                if all(r["plain"]):
-                    ids += e.encode([_unprepared(e.model, r["t"][r["a"] : r["b"]])])
-                else:
-                    begin, end = ((int(s[0]), int(s[1]), s[2]) for s in (r["begin"], r["end"]))
-                    ids.append(np.array(_traced(e.model, r, begin, end), np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ids(ids)], names=["row", "k", "part"])
+    schema = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("t", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
+    return rows.mapInArrow(cut, "row long, k int, t string, a int, b int")
 
-    chunks = rows.mapInArrow(cut, "row long, k int, t string, a int, b int, plain array<boolean>").repartition(n, "row", "k")
-    chunks = durable(chunks, "chunks")
-    small = chunks.mapInArrow(matrices, "row long, k int, entries array<array<string>>, exits array<array<string>>, m array<double>")
-    bounds = small.groupBy("row").agg(F.collect_list(F.struct("k", "entries", "exits", "m")).alias("c")).select("row", boundaries(F.col("c")).alias("s"))
-    placed = chunks.join(bounds, "row").select("row", "k", "t", "a", "b", "plain", F.get("s", F.col("k")).alias("begin"), F.get("s", F.col("k") + 1).alias("end"))
-    parts = placed.mapInArrow(traced, "row long, k int, part array<int>")
-    whole = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "part"))).alias("p"))
-    return whole.select(F.col("row").alias("__row"), F.flatten("p.part").alias("ids"))
 
+def chunk_matrices(chunks: DataFrame, encoder) -> DataFrame:
+    """row, k, wide, m: the transfer matrix of each chunk, row by row as 64-bit floats, and its number of columns."""
 
-#: The one state of a boundary that no piece crosses.
-SIMPLE: State = START
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [encoder().model.transfer(r["t"], r["a"], r["b"]) for r in batch.select(["t", "a", "b"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m.shape[1] for m in found], pa.int32()), pa.array([m.tobytes() for m in found], pa.binary())], names=["row", "k", "wide", "m"])
 
+    return chunks.mapInArrow(matrices, "row long, k int, wide int, m binary")
 
-def _unprepared(model: PieceModel, text: str) -> str:
-    """The text that is prepared as a stretch of a prepared text between plain boundaries."""
-    return text[1:] if model.dummy else text
 
+def _read(c: dict) -> np.ndarray:
+    return np.frombuffer(c["m"], np.float64).reshape(-1, c["wide"])
 
-def _plain(text: str, at: int) -> bool:
-    return at in (0, len(text)) or text[at] == SPACE and text[at - 1] != SPACE
 
+def scan_giants(rows: DataFrame, encoder, chunk: int, fan: int) -> DataFrame:
+    """row, ids of giant texts (row, t): chunks, their matrices, products up a tree, states down it, and each chunk's backtrace."""
 
-def _window(r: dict) -> tuple[str, int, int]:
-    """The chunk's text with context on the sides that are not plain."""
-    t, a, b = r["t"], r["a"], r["b"]
-    if r["plain"][1]:
-        t = t[:b]
-    if r["plain"][0]:
-        t, a, b = t[a:], 0, b - a
-    return t, a, b
+    @F.arrow_udf("struct<wide:int,m:binary>")
+    def combined(groups: pa.Array) -> pa.Array:
+        found = [product([_read(c) for c in g]) for g in groups.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([m.shape[1] for m in found], pa.int32()), pa.array([m.tobytes() for m in found], pa.binary())], names=["wide", "m"])
 
+    @F.arrow_udf("int")
+    def best(wide: pa.Array, m: pa.Array) -> pa.Array:
+        return pa.array([int(np.argmax(np.frombuffer(x.as_py(), np.float64)[: w.as_py()])) for w, x in zip(wide, m)], pa.int32())
 
-def _opened(model: PieceModel, r: dict):
-    t, a, b = _window(r)
-    entries, exits, matrix = model.transfer(t, a, b)
-    if r["plain"][1]:  # nothing crosses the end: its states come down to one
-        ends = [j for j, s in enumerate(exits) if s[0] == 0]
-        exits, matrix = [SIMPLE], matrix[:, ends].max(axis=1, initial=-np.inf)[:, None]
-    return entries, exits, matrix
+    @F.arrow_udf("array<struct<begin:int,end:int>>")
+    def settled(groups: pa.Array, begin: pa.Array, end: pa.Array) -> pa.Array:
+        out = [between([_read(c) for c in g], b, e) for g, b, e in zip(groups.to_pylist(), begin.to_pylist(), end.to_pylist())]
+        return pa.array([[{"begin": b, "end": e} for b, e in x] for x in out], pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
 
+    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, m = [], encoder().model
+            for r in batch.to_pylist():
+                ids.append(m.trace(r["t"], r["a"], r["b"], m.states(r["t"], r["a"])[r["begin"]], m.states(r["t"], r["b"])[r["end"]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ids(ids)], names=["row", "k", "part"])
 
-def _traced(model: PieceModel, r: dict, begin: State, end: State) -> list[int]:
-    t, a, b = _window(r)
-    if r["plain"][1]:
-        entries, exits, matrix = model.transfer(t, a, b)
-        row, ends = entries.index(begin), [j for j, s in enumerate(exits) if s[0] == 0]
-        end = exits[max(ends, key=lambda j: matrix[row, j])]
-    return model.backtrace(t, a, b, begin, end)
+    def groups(level: DataFrame, what: str) -> DataFrame:
+        """The matrices of a level by their parent, in order: fan at most in a list."""
+        put = F.sort_array(F.collect_list(F.struct("k", "wide", "m")))
+        return level.groupBy("row", F.floor(F.col("k") / fan).cast("int").alias(what)).agg(put.alias("g"))
+
+    count = rows.agg(F.sum(F.ceil((F.length("t") + 1) / chunk))).first()[0] or 0
+    chunks = durable(cut_chunks(rows, encoder, chunk).repartition(max(1, -(-count // CHUNKS_A_TASK)), "row", "k"), "chunks")
+    levels = [durable(chunk_matrices(chunks, encoder), "matrices")]
+    while (levels[-1].agg(F.max("k")).first()[0] or 0) > 0:
+        levels.append(durable(groups(levels[-1], "k").withColumn("p", combined("g")).select("row", "k", "p.wide", "p.m"), "products"))
+    ends = levels[-1].select("row", "k", F.lit(0).alias("begin"), best("wide", "m").alias("end"))
+    for level in reversed(levels[:-1]):
+        ends = groups(level, "k").join(ends, ["row", "k"]).select("row", F.transform("g", lambda c: c["k"]).alias("ks"), settled("g", "begin", "end").alias("s"))
+        ends = ends.select("row", F.explode(F.arrays_zip("ks", "s")).alias("z")).select("row", F.col("z.ks").alias("k"), "z.s.begin", "z.s.end")
+    ends = F.broadcast(ends) if count <= BROADCAST_CHUNKS else ends
+    parts = chunks.join(ends, ["row", "k"]).select("row", "k", "t", "a", "b", "begin", "end").mapInArrow(traced, "row long, k int, part array<int>")
+    return parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "part"))).alias("p")).select("row", F.flatten("p.part").alias("ids"))
 
 
 def decode_pieces(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -412,7 +479,6 @@ def decode_pieces(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> D
 
     @F.arrow_udf("string")
     def decoded(column: pa.Array) -> pa.Array:
-        decode = encoder_of(key, shared).model.decode
-        return pa.array([decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in column], pa.string())
+        return encoder_of(key, shared).model.decoded(column)
 
     return encoded.withColumn("decoded", decoded(F.col(ids)))
