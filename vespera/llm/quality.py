@@ -1,7 +1,8 @@
 """Quality rules, judged per document and per host.
 
 Base rules look at one text. Host rules aggregate base failures by host, shrink each host's failure
-rate towards the corpus with an empirical beta prior, and join the verdict back to the documents.
+rate towards the corpus with an empirical beta prior, and join the verdict back to the documents: a host
+goes where its rate stands out from the prior and most of its documents fail.
 
 Null and empty texts have no words and fail the base rules. A null host is a host of its own. Repeated
 rows are judged like any other row. Input columns that clash with the operator's are replaced.
@@ -14,15 +15,17 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vespera.llm.common import bounded_batches, durable, without
+from vespera.llm.common import bounded_batches, durable, unused, without
 
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = b" \t\n\x0b\x0c\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COLUMNS = (*COUNTS, "base_failed", "host_rate", "kept")
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: A host goes when its shrunk failure rate reaches this; well above what a mixed host can reach.
-MAX_HOST_RATE = 0.9
+#: A host goes when its shrunk failure rate is over the prior's mean by this many of the prior's standard deviations. That
+#: limit is kept between these rates: where most of its documents fail, those that pass are not trusted either, and a prior
+#: so wide that no rate stands out from it excuses no host that fails nearly always.
+MAX_SPREAD, LEAST_RATE, MOST_RATE = 3.0, 0.5, 0.9
 #: Verdicts are broadcast up to this many rejected hosts, and joined by a shuffle beyond.
 BROADCAST_HOSTS = 50_000
 
@@ -71,39 +74,46 @@ def _measures():
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts of the base rules and base_failed."""
     bounded_batches(docs.sparkSession)
-    out = without(docs, COLUMNS).withColumn("__m", _measures()(F.col(text)))
-    out = out.select(*[c for c in out.columns if c != "__m"], *[F.col(f"__m.{c}").alias(c) for c in COUNTS])
+    out = without(docs, COLUMNS)
+    names, m = out.columns, unused(out, "measures")
+    out = out.withColumn(m, _measures()(F.col(text))).select(*names, *[F.col(m)[c].alias(c) for c in COUNTS])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
 
-def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
-    """host, host_docs, host_failed, host_rate: failure rates shrunk with a beta prior fitted to all hosts.
+def host_rates(judged: DataFrame, host: str = "source") -> tuple[DataFrame, float]:
+    """(host, host_docs, host_failed, host_rate: failure rates shrunk with a beta prior fitted to all hosts), and the rate from which a host goes.
 
-    The prior's mean is the corpus rate and its strength comes from the spread of the hosts' own rates
-    (method of moments), between 1 and 1,000 pseudo-documents.
+    The prior's mean is the corpus rate. Its variance is that of the hosts' own rates less what sampling alone puts into
+    them, mean * (1 - mean) / documents of a host; its strength is mean * (1 - mean) / variance - 1, between 1 and 1,000
+    pseudo-documents, and 1,000 where sampling explains all of the spread.
     """
     hosts = judged.groupBy(F.col(host).alias("host")).agg(
         F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")
     )
+    hosts = durable(hosts, "hosts")
     rate = F.col("host_failed") / F.col("host_docs")
-    total = hosts.agg(F.sum("host_failed").alias("f"), F.sum("host_docs").alias("n"), F.var_pop(rate).alias("v")).first()
+    total = hosts.agg(F.sum("host_failed").alias("f"), F.sum("host_docs").alias("n"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("host_docs")).alias("w")).first()
     mean = total.f / total.n if total.n else 0.0
-    strength = min(1000.0, max(1.0, mean * (1 - mean) / total.v - 1)) if total.v else 1000.0
-    return hosts.withColumn("host_rate", (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength)))
+    binomial = mean * (1 - mean)
+    spread = max(0.0, total.v - binomial * total.w) if total.n else 0.0
+    strength = min(1000.0, max(1.0, binomial / spread - 1)) if spread else 1000.0
+    limit = min(MOST_RATE, max(LEAST_RATE, mean + MAX_SPREAD * (binomial / (strength + 1)) ** 0.5))
+    return hosts.withColumn("host_rate", (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))), limit
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float | None = None) -> DataFrame:
     """docs with the base counts, base_failed, host_rate (of rejected hosts, else null) and kept.
 
-    The rules run once for the hosts' counts and once for the rows, so no text is shuffled or stored.
+    max_host_rate: the rate from which hosts go; None: that of the fitted prior, see host_rates. The rules run once for
+    the hosts' counts and once for the rows, so no text is shuffled or stored.
     """
-    host = host if host in docs.columns else None
-    key = F.col(host) if host else F.lit(None).cast("string")
-    bad = host_rates(base_rules(docs.select(F.col(text).alias("text"), key.alias("__host"))), "__host").filter(F.col("host_rate") >= max_host_rate)
-    bad = bad.select(F.col("host").alias("__host"), F.col("host_rate"))
-    bad = durable(bad, "hosts")
+    out = without(docs, COLUMNS)
+    of, key = unused(out, "host"), unused(out, "key")
+    host_of = F.col(host) if host in docs.columns else F.lit(None).cast("string")
+    rates, limit = host_rates(base_rules(docs.select(F.col(text).alias("text"), host_of.alias("host"))), "host")
+    bad = rates.filter(F.col("host_rate") >= (limit if max_host_rate is None else max_host_rate)).select(F.col("host").alias(of), "host_rate")
     small = bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    judged = base_rules(docs, text).withColumn("__key", key)
-    out = judged.join(F.broadcast(bad) if small else bad, F.col("__key").eqNullSafe(F.col("__host")), "left")
-    return out.drop("__key", "__host").withColumn("kept", ~F.col("base_failed") & F.col("host_rate").isNull())
+    judged = base_rules(docs, text).withColumn(key, host_of)
+    out = judged.join(F.broadcast(bad) if small else bad, F.col(key).eqNullSafe(F.col(of)), "left")
+    return out.drop(key, of).withColumn("kept", ~F.col("base_failed") & F.col("host_rate").isNull())
