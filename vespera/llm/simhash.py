@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vespera.llm.common import bounded_batches, durable
+from vespera.llm.common import bounded_batches, durable, spread_join
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 MAX_BUCKET = 2048
@@ -83,6 +83,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET
         raise ValueError("the tables serve 0 to 4 differing bits")
     if max_bits < MAX_BITS:
         max_bucket = 2**62  # centres serve 4 bits only
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # 65 rows come of each
     left, right = _probes(fps, True), _probes(fps, False)
     crowded = durable(right.groupBy("key").count().filter(F.col("count") > max_bucket).select("key"), "crowded")
     if crowded.limit(1).count():
@@ -114,19 +115,26 @@ def components(edges: DataFrame) -> DataFrame:
     edges, labels = durable(edges.select("u", "v"), "edges"), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        ends = durable(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("up")), "ends")
+        least = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v"), F.count("*").alias("degree"))
+        ends = durable(least.select("node", F.least("node", "v").alias("up"), "degree"), "ends")
+        nodes, links = ends.count(), 2 * edges.count()
         while True:
-            above = ends.select(F.col("node").alias("up"), F.col("up").alias("next"))
-            moved = durable(ends.join(above, "up").select("node", F.col("up").alias("old"), F.col("next").alias("up")), "ends")
-            ends = moved.select("node", "up")
+            pointed = ends.groupBy("up").agg(F.count("*").alias("n")).join(ends.select(F.col("node").alias("up"), F.col("up").alias("next")), "up")
+            moved = spread_join(ends, durable(pointed, "pointed"), ["up"], nodes)  # many may point at one node
+            moved = durable(moved.select("node", F.col("up").alias("old"), F.col("next").alias("up"), "degree"), "ends")
+            ends = moved.select("node", "up", "degree")
             if not moved.filter("old <> up").limit(1).count():
                 break
         if labels is None:
             labels = ends.select("node", F.col("up").alias("label"))
         else:
-            labels = durable(labels.join(ends.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
-        to = lambda c: ends.select(F.col("node").alias(c), F.col("up").alias(f"{c}_end"))
-        left = edges.join(to("u"), "u").join(to("v"), "v").filter("u_end <> v_end")
+            counts = labels.groupBy("label").agg(F.count("*").alias("n"))
+            ups = durable(counts.join(ends.select(F.col("node").alias("label"), "up"), "label"), "ups")
+            labels = spread_join(labels, ups, ["label"], labels.count(), how="left")
+            labels = durable(labels.select("node", F.coalesce("up", "label").alias("label")), "labels")
+        to = lambda c: ends.select(F.col("node").alias(c), F.col("up").alias(f"{c}_end"), F.col("degree").alias("n"))
+        left = spread_join(edges, to("u"), ["u"], links)
+        left = spread_join(left, to("v"), ["v"], links).filter("u_end <> v_end")  # a node with many neighbours is a key of many edges
         edges = durable(left.select(F.least("u_end", "v_end").alias("u"), F.greatest("u_end", "v_end").alias("v")).distinct(), "edges")
         if not edges.limit(1).count():
             return labels
@@ -141,11 +149,12 @@ def _labelled(docs: DataFrame, row: Column, text: str, shingle: int, max_bits: i
     """doc_id, row, fp, label (the least fingerprint that links reach), component_id."""
     bounded_batches(docs.sparkSession)
     marked = durable(docs.select(F.col("doc_id"), row.alias("row"), _fingerprints(shingle)(F.col(text)).alias("fp")), "fingerprints")
-    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "nodes")
+    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n")), "nodes")
     labels = components(links(nodes.select("fp"), max_bits, max_bucket))
-    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    heads = named.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-    return marked.join(named.join(heads, "label").select("fp", "label", "component_id"), "fp")
+    named = durable(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "named")
+    heads = named.groupBy("label").agg(F.min("least_doc").alias("component_id"), F.count("*").alias("n"))
+    found = durable(spread_join(named.select("fp", "label", F.col("n").alias("docs")), durable(heads, "heads"), ["label"], named.count()), "found")
+    return spread_join(marked, found.withColumnRenamed("docs", "n"), ["fp"], marked.count())
 
 
 def simhash_components(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
