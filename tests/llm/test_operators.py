@@ -232,17 +232,25 @@ def test_decontamination(docs, none, spark):
 
 def test_block_max_index_is_exact():
     rng = random.Random(1)
+
     def vector():
-        v = {t: rng.random() for t in rng.sample(range(30), rng.randint(1, 6))}
-        n = sum(x * x for x in v.values()) ** 0.5
-        return {t: x / n for t, x in v.items()}
+        terms = sorted(rng.sample(range(30), rng.randint(0, 6)))
+        w = np.array([rng.choice([0.5, rng.random() + 0.01]) for _ in terms])
+        return np.array(terms, np.int64), w / (np.sqrt(w @ w) or 1)
+
     rows = [vector() for _ in range(300)]
-    index = toxicity.BlockMaxIndex(rows, block=8)
-    for _ in range(50):
-        q = vector()
-        want = sorted(((sum(q[t] * v[t] for t in q if t in v), -i) for i, v in enumerate(rows)), reverse=True)
-        got = index.search(q, 7)
-        assert np.allclose([s for s, _ in got], [s for s, _ in want if s > 0][:7])
+    rows += rows[:20]  # equal cosines
+    dense = np.zeros((len(rows), 30))
+    for i, (t, w) in enumerate(rows):
+        dense[i, t] = w
+    for block in (1, 8, 500):
+        index = toxicity.BlockMaxIndex(rows, 30, block=block)
+        for i in range(60):
+            t, w = vector()
+            cosine, skip = dense[:, t] @ w, i if i % 2 else -1
+            want = sorted([(-round(c, 9), j) for j, c in enumerate(cosine) if c > 0 and j != skip])[:7]
+            assert [(-round(s, 9), j) for s, j in index.search(t, w, 7, skip)] == want
+    assert toxicity.BlockMaxIndex([], 30).search(np.array([3]), np.array([1.0]), 5) == []
 
 
 def test_toxicity(spark, none):

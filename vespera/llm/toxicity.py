@@ -1,204 +1,245 @@
 """Toxicity by the nearest labelled examples.
 
-Training picks terms (words and their 4 to 6 byte prefixes) that mark the toxic class, on a bounded
-sample of labelled documents. Every text becomes a TF-IDF vector over those terms, with document
-frequencies counted over all documents. Examples are kept in an inverted index whose postings are cut
-into blocks with the greatest weight of each, so that blocks that cannot reach the best K are skipped
-while the K largest cosines stay exact. Similarity-weighted votes, with each class weighted as it occurs
-and smoothed by the rate of examples without any term, give a score between 0 and 1, and the neighbours
-are its evidence.
-
-Only the text enters a score. Null and empty texts have no terms and get the smoothed rate, as does
-every text if nothing is labelled. Of several labels of a doc_id the largest holds; null labels and null
-ids are not learnt from. Ties between equal cosines go to the smaller example number. Rows are scored
+Texts are TF-IDF vectors over all words of a bounded sample of labelled documents. A word's weight is
+(1 + ln tf) * idf * |delta|: idf from document frequencies over all documents, and delta the smoothed log
+ratio of the word's document frequencies in the two classes, as in Delta TF-IDF. No word of the sample
+is left out, and any other word has a delta of zero. Examples are kept in an inverted index whose
+postings are cut into blocks with the greatest weight of each, so that blocks that cannot reach the best
+K are skipped while the K largest cosines stay exact. The neighbours' votes, weighted by squared cosine
+and by how often their class occurs, are their evidence.
+
+A logistic curve maps votes to scores. It is fitted on the examples, each voted on by the others, so a
+score estimates the chance of label 1.
+
+Only the text enters a score. Null and empty texts have no words; a text without neighbours gets the
+score of a vote at the rate of label 1, and every text 0 if nothing is labelled. Of several labels of a
+doc_id the largest holds, of several texts the least; null labels and null ids are not learnt from, and
+a null id is not held out. Ties between equal cosines go to the smaller example number. Rows are scored
 independently, so repeated rows get equal scores. Columns that clash with the operator's are replaced.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
-from heapq import heappush, heapreplace
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vespera.llm.common import bounded_batches, durable, without
+from vespera.llm.common import bounded_batches, durable, unused, without
 
-#: Bounds of the training sample, by class, and of the terms that are picked.
-MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 3000, 6000, 4096
-#: A term must be in so many examples, so much likelier in toxic ones, with a chi-square of at least this.
-MIN_EXAMPLES, MIN_LIFT, MIN_CHI2 = 4, 3.0, 20.0
-PREFIXES = (4, 5, 6)
-K, BLOCK, SMOOTHING, THRESHOLD = 16, 64, 0.1, 0.7
+#: Bounds of the labelled sample, by class.
+MAX_TOXIC, MAX_CLEAN = 1500, 3000
+#: Examples that a class frequency is smoothed with; neighbours; examples in a block of the index.
+SMOOTHING, K, BLOCK, THRESHOLD = 5.0, 16, 64, 0.7
 COLUMNS = ("held_out", "score", "predicted", "evidence")
-CACHE = 200_000
-_SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-
-
-def terms(word: bytes) -> tuple[bytes, ...]:
-    return (word, *(word[:n] + b"*" for n in PREFIXES if len(word) >= n))
+#: Bytes that belong to words: digits, lower-case letters and all of other scripts.
+_SPACED = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
+#: Votes that a worker remembers, for copies of texts.
+REMEMBERED = 5_000
 
 
 def split_words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_SPACED).split()
 
 
-class _Lookup(dict):
-    """word -> numbers of its picked terms, remembered for a bounded number of words."""
-
-    def __init__(self, picked: dict[bytes, int]):
-        super().__init__()
-        self.picked = picked
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= CACHE:
-            self.clear()
-        found = self[word] = tuple(self.picked[t] for t in terms(word) if t in self.picked)
-        return found
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of consecutive ranges, one range after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over sparse unit vectors: postings in blocks, each with its greatest weight."""
-
-    def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK):
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                postings[t].append((i, w))
-        self.size, self.block = len(vectors), block
-        # term -> block number -> greatest weight, and the block's postings
-        self.blocks = {t: {b: (max(w for _, w in rows), dict(rows)) for b, rows in _by_block(p, block).items()} for t, p in postings.items()}
-
-    def search(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """(cosine, example) of the k greatest cosines over 0, best first; equal ones by example."""
-        bounds: dict[int, float] = defaultdict(float)
-        for t, w in query.items():
-            for b, (most, _) in self.blocks.get(t, {}).items():
-                bounds[b] += w * most
-        heap: list[tuple[float, int]] = []
-        for b, bound in sorted(bounds.items(), key=lambda x: (-x[1], x[0])):
-            if len(heap) == k and bound * (1 + 1e-9) < heap[0][0]:
+    """Exact top-k cosine over sparse unit vectors: each term's postings in blocks of examples, each block with its greatest weight."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
+        """vectors: terms and weights of each example."""
+        sizes = [len(t) for t, _ in vectors]
+        term = np.concatenate([np.empty(0, np.int64), *[t for t, _ in vectors]])
+        example = np.repeat(np.arange(len(vectors)), sizes)
+        weight = np.concatenate([np.empty(0), *[w for _, w in vectors]])
+        order = np.lexsort((example, term))
+        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
+        number = self.example // block
+        starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (number[1:] != number[:-1])]) if len(term) else np.empty(0, np.int64)
+        self.begin, self.length = starts, np.diff(np.r_[starts, len(term)])
+        self.number = number[starts]
+        self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.empty(0)
+        self.first = np.searchsorted(term[starts], np.arange(n_terms + 1))  # a term's blocks
+        self.n, self.blocks, self.block = len(vectors), -(-len(vectors) // block), block
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
+        """(cosine, example) of the k greatest cosines over 0, best first; equal ones by example. skip: an example that is left out."""
+        size = self.first[terms + 1] - self.first[terms]
+        parts, scale = _spread(self.first[terms], size), np.repeat(weights, size)
+        bound = np.bincount(self.number[parts], self.most[parts] * scale, self.blocks) * (1 + 1e-9)
+        order = np.argsort(-bound, kind="stable")
+        found, scores, at, step = np.empty(0, np.int64), np.empty(0), 0, max(1, -(-4 * k // self.block))
+        while at < len(order) and bound[order[at]] > 0:
+            least = scores[-1] if len(found) == k else 0.0
+            if bound[order[at]] < least:
                 break  # no block that follows can reach the best k
-            found: dict[int, float] = defaultdict(float)
-            for t, w in query.items():
-                if part := self.blocks.get(t, {}).get(b):
-                    for i, x in part[1].items():
-                        found[i] += w * x
-            for i, s in found.items():
-                if len(heap) < k:
-                    heappush(heap, (s, -i))
-                elif (s, -i) > heap[0]:
-                    heapreplace(heap, (s, -i))
-        return [(s, -i) for s, i in sorted(heap, reverse=True)]
-
-
-def _by_block(postings: list[tuple[int, float]], block: int) -> dict[int, list[tuple[int, float]]]:
-    out: dict[int, list[tuple[int, float]]] = defaultdict(list)
-    for i, w in postings:
-        out[i // block].append((i, w))
-    return out
+            chosen = np.zeros(self.blocks, bool)
+            chosen[order[at : at + step]] = True
+            keep = chosen[self.number[parts]] & (bound[self.number[parts]] >= least)
+            own = parts[keep]
+            places = _spread(self.begin[own], self.length[own])
+            cosine = np.bincount(self.example[places], self.weight[places] * np.repeat(scale[keep], self.length[own]), self.n)
+            if 0 <= skip < self.n:
+                cosine[skip] = 0.0
+            new = np.flatnonzero(cosine)
+            found, scores = np.r_[found, new], np.r_[scores, cosine[new]]
+            best = np.lexsort((found, -scores))[:k]
+            found, scores = found[best], scores[best]
+            at, step = at + step, self.blocks  # what can still reach them, at once
+        return list(zip(scores.tolist(), found.tolist()))
 
 
 class NearestExamples:
-    """The fitted model: examples (doc_id, label, counts of terms), inverse document frequencies, class weights."""
-
-    def __init__(self, examples: list[tuple[int, int, dict[int, int]]], idf: dict[int, float], class_weight: tuple[float, float], k: int = K):
-        self.idf, self.k, self.class_weight = idf, k, class_weight
-        weight = lambda keep: sum(class_weight[y] for _, y, c in examples if keep(y, c))
-        none, toxic = weight(lambda y, c: not c), weight(lambda y, c: not c and y)
-        self.rate = (toxic + 0.5) / (none + 1.0) if examples else 0.0
-        self.examples = [e for e in examples if e[2]]
-        self.index = BlockMaxIndex([self.vector(c) for _, _, c in self.examples])
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm else {}
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, int, float]]]:
-        near = [(self.examples[i], s) for s, i in self.index.search(self.vector(counts), self.k)]
-        votes = [(y, s * s * self.class_weight[y]) for (_, y, _), s in near]
-        score = (sum(w for y, w in votes if y) + SMOOTHING * self.rate) / (sum(w for _, w in votes) + SMOOTHING)
-        return min(1.0, max(0.0, score)), [(d, y, s) for (d, y, _), s in near]
+    """The fitted model: words, their weights, examples (doc_id, label, terms, counts), class weights, and the curve from votes to scores."""
+
+    def __init__(self, words: list[bytes], weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], class_weight: tuple[float, float], k: int = K):
+        self.words, self.weight, self.k, self.class_weight = {w: i for i, w in enumerate(words)}, weight, k, class_weight
+        # Examples whose heaviest words are alike share blocks, whose bounds are the tighter for it.
+        vectors = [self.vector(t, n) for _, _, t, n in examples]
+        heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
+        order = sorted(range(len(examples)), key=lambda i: (examples[i][1], heaviest[i], examples[i][0]))
+        self.labels = [(examples[i][0], examples[i][1]) for i in order]
+        vectors = [vectors[i] for i in order]
+        self.index = BlockMaxIndex(vectors, len(words))
+        mass = [sum(class_weight[y] for _, y in self.labels if y == label) for label in (0, 1)]
+        self.rate = mass[1] / sum(mass) if self.labels else 0.0
+        self.slope, self.offset = self.fitted(vectors) if all(mass) else (1.0, 0.0)
+
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        found = [i for i in map(self.words.get, split_words(text)) if i is not None]
+        return np.unique(np.array(found, np.int64), return_counts=True)
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.weight[terms]
+        heavy = w > 0
+        norm = math.sqrt(float(w @ w))
+        return terms[heavy], w[heavy] / norm if norm else w[heavy]
+
+    def vote(self, vector: tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float, list[tuple[int, int, float]]]:
+        near = [(*self.labels[i], s) for s, i in self.index.search(*vector, self.k, skip)]
+        votes = [(y, s * s * self.class_weight[y]) for _, y, s in near]
+        whole = sum(w for _, w in votes)
+        return (sum(w for y, w in votes if y) / whole if whole else self.rate), near
+
+    @staticmethod
+    def logit(vote):
+        return np.log((vote + 0.01) / (1.01 - vote))
+
+    def fitted(self, vectors) -> tuple[float, float]:
+        """Slope and offset of the logistic curve: a few steps of Newton's method on the examples' votes without themselves."""
+        x = self.logit(np.array([self.vote(v, i)[0] for i, v in enumerate(vectors)]))
+        y, w = np.array([y for _, y in self.labels], float), np.array([self.class_weight[y] for _, y in self.labels])
+        design, curve = np.c_[x, np.ones(len(x))], np.array([1.0, 0.0])
+        for _ in range(25):
+            p = 1 / (1 + np.exp(-np.clip(design @ curve, -30, 30)))
+            slope = design.T @ (w * (p - y)) + 1e-3 * (curve - [1.0, 0.0])
+            curve = curve - np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), slope)
+        return float(max(curve[0], 1e-3)), float(curve[1])
+
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
+        if not self.labels:
+            return 0.0, []
+        vote, near = self.vote(self.vector(terms, counts))
+        return float(1 / (1 + math.exp(-(self.slope * self.logit(vote) + self.offset)))), near
 
 
 def learnable() -> Column:
-    """Whether a row's label may be learnt: crc32 of the id as text, modulo 3, is not 1."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, F.lit(False))
+    """Whether a row's label may be learnt: crc32 of the id as text, modulo 3, is not 1. Null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
 
 
-def _term_counts(picked: dict[bytes, int]):
-    held = {}
+def _counter(words: list[bytes]):
+    known = {w: i for i, w in enumerate(words)}
 
     @F.arrow_udf("struct<term:array<int>,n:array<int>>")
-    def term_counts(text: pa.Array) -> pa.Array:
-        lookup = held.setdefault("lookup", _Lookup(picked))
-        counts = [Counter(t for found in map(lookup.__getitem__, split_words(x.as_py())) if found for t in found) for x in text]
-        parts = [pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
-        return pa.StructArray.from_arrays(parts, names=["term", "n"])
+    def counted(text: pa.Array) -> pa.Array:
+        counts = [np.unique(np.array([i for i in map(known.get, split_words(x.as_py())) if i is not None], np.int64), return_counts=True) for x in text]
+        return pa.StructArray.from_arrays([pa.array([list(a[j]) for a in counts], pa.list_(pa.int32())) for j in (0, 1)], names=["term", "n"])
 
-    return term_counts
+    return counted
 
 
-def _distinct_terms():
+def _distinct_words():
     @F.arrow_udf("array<binary>")
-    def distinct_terms(text: pa.Array) -> pa.Array:
-        return pa.array([list({t for w in set(split_words(x.as_py())) for t in terms(w)}) for x in text], pa.list_(pa.binary()))
+    def distinct_words(text: pa.Array) -> pa.Array:
+        return pa.array([list(set(split_words(x.as_py()))) for x in text], pa.list_(pa.binary()))
+
+    return distinct_words
+
 
-    return distinct_terms
+def frequencies(docs: DataFrame, text: str, words: list[bytes]) -> np.ndarray:
+    """In how many rows of docs each word occurs; each task sends a count for each word at most."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # the sample's words
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {w: i for i, w in enumerate(shared.value)}
+        held = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                held[list({i for i in map(known.get, split_words(x.as_py())) if i is not None})] += 1
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at])], names=["term", "n"])
+
+    found = docs.select(text).mapInArrow(tally, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(words), np.int64)
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN):
-    """The model and a table of all documents' term counts: row columns, then __c. Two passes over the texts."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    known = labels.filter(learnable() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    classes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).filter("toxic in (0, 1)").collect()}
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, k: int = K) -> NearestExamples:
+    """The model of at most max_toxic + max_clean labelled documents; document frequencies are those of all docs."""
+    bounded_batches(docs.sparkSession)
+    known = labels.filter(learnable() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    classes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pick = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
     chosen = F.broadcast(pick[0].union(pick[1]))  # max_toxic + max_clean rows at most
     sample = docs.select("doc_id", F.col(text).alias("__t")).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("__t").alias("__t"))
     sample = durable(sample, "examples")
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    pos, neg = max(1, size.get(1, 0)), max(1, size.get(0, 0))
-    term = sample.select("toxic", F.explode(_distinct_terms()(F.col("__t"))).alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-    a, b, c, d = F.col("a"), F.col("n") - F.col("a"), pos - F.col("a"), neg - (F.col("n") - F.col("a"))
-    chi2 = (a * d - b * c) * (a * d - b * c) * float(pos + neg) / (F.greatest((a + b) * (c + d), F.lit(1)) * float(pos) * float(neg))
-    term = term.withColumn("chi2", chi2).filter((F.col("a") >= MIN_EXAMPLES) & (F.col("a") / pos >= MIN_LIFT * F.greatest(b, F.lit(0.5)) / neg) & (F.col("chi2") >= MIN_CHI2))
-    picked = {bytes(r.term): i for i, r in enumerate(term.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect())}
-
-    counter = _term_counts(picked)
-    counted = durable(docs.withColumn("__c", counter(F.col(text))).drop(text), "terms")
-    total, df = counted.count(), counted.select(F.explode("__c.term").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    idf = {i: 0.0 for i in range(len(picked))} | {r.t: math.log((1 + total) / (1 + r.n)) + 1 for r in df.collect()}  # MAX_TERMS rows at most
-    rows = sample.select("doc_id", "toxic", counter(F.col("__t")).alias("c")).orderBy("doc_id").collect()
-    weight = tuple(classes.get(y, 0) / max(1, size.get(y, 0)) for y in (0, 1))
-    mean = sum(weight[r.toxic] for r in rows) / max(1, len(rows))
-    return NearestExamples([(r.doc_id, r.toxic, dict(zip(r.c.term, r.c.n))) for r in rows], idf, tuple(w / (mean or 1) for w in weight)), counted
+    found = sample.select("toxic", F.explode(_distinct_words()(F.col("__t"))).alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).toArrow()
+    terms = sorted(zip(found.column("term").to_pylist(), found.column("a").to_pylist(), found.column("n").to_pylist()))
+    words, a, n = [t[0] for t in terms], np.array([t[1] for t in terms], float), np.array([t[2] for t in terms], float)
+    toxic, clean = max(1, size.get(1, 0)), max(1, size.get(0, 0))
+    part = toxic / (toxic + clean)
+    delta = np.abs(np.log((a + SMOOTHING * part) / toxic) - np.log((n - a + SMOOTHING * (1 - part)) / clean))
+    idf = np.log((1 + docs.count()) / (1 + frequencies(docs, text, words))) + 1
+    rows = sample.select("doc_id", "toxic", _counter(words)(F.col("__t")).alias("c")).select("doc_id", "toxic", "c.*").orderBy("doc_id").toArrow().to_pylist()
+    examples = [(r["doc_id"], r["toxic"], np.array(r["term"], np.int64), np.array(r["n"], np.int64)) for r in rows]
+    weight = [classes.get(y, 0) / max(1, size.get(y, 0)) for y in (0, 1)]
+    mean = sum(weight[e[1]] for e in examples) / max(1, len(examples)) or 1.0
+    return NearestExamples(words, idf * delta, examples, (weight[0] / mean, weight[1] / mean), k)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD, **bounds) -> DataFrame:
     """docs without text, with held_out, score, predicted and evidence (neighbours' doc_id, label and cosine)."""
-    spark = docs.sparkSession
-    model, counted = fit(without(docs, COLUMNS), labels, text, **bounds)
-    shared = spark.sparkContext.broadcast(model)  # a bounded number of examples and terms
+    docs = without(docs, COLUMNS)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text, **bounds))  # a bounded number of examples
     remembered: dict = {}
 
     @F.arrow_udf("struct<score:double,evidence:array<struct<doc_id:long,label:int,cosine:double>>>")
-    def vote(term: pa.Array, n: pa.Array) -> pa.Array:
-        scores, evidence = [], []
-        for t, c in zip(term.to_pylist(), n.to_pylist()):
-            key = tuple(sorted(zip(t, c)))
+    def voted(texts: pa.Array) -> pa.Array:
+        model, scores, evidence = shared.value, [], []
+        for x in texts:
+            terms, counts = model.count(x.as_py())
+            key = terms.tobytes(), counts.tobytes()
             if key not in remembered:
-                if len(remembered) >= 5_000:
+                if len(remembered) >= REMEMBERED:
                     remembered.clear()
-                score, near = shared.value.score(dict(key))
+                score, near = model.score(terms, counts)
                 remembered[key] = score, [{"doc_id": d, "label": y, "cosine": s} for d, y, s in near]
             scores.append(remembered[key][0])
             evidence.append(remembered[key][1])
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["score", "evidence"])
 
-    out = counted.withColumn("__v", vote(F.col("__c.term"), F.col("__c.n")))
-    names = [c for c in counted.columns if c != "__c"]
-    return out.select(*names, (~learnable()).alias("held_out"), F.col("__v.score").alias("score"), (F.col("__v.score") >= threshold).cast("int").alias("predicted"), F.col("__v.evidence").alias("evidence"))
+    names = [c for c in docs.columns if c != text]
+    out = docs.select(*names, voted(F.col(text)).alias(unused(docs, "vote")))
+    vote = F.col(unused(docs, "vote"))
+    return out.select(*names, F.coalesce(~learnable(), F.lit(False)).alias("held_out"), vote["score"].alias("score"), (vote["score"] >= threshold).cast("int").alias("predicted"), vote["evidence"].alias("evidence"))
