@@ -1,9 +1,11 @@
-"""Personal data in text, with DataFrame functions only.
+"""Personal data and secrets in text, with DataFrame functions only.
 
-Regular expressions propose spans, checksums confirm them (Luhn for cards, mod 97 for IBANs, octets for
-IP addresses, digit counts for phones), and context words nearby raise a span's score. Offsets count code
-points; the end is exclusive. Each pattern gives its leftmost matches that don't overlap; a match that its
-check refuses is dropped and not tried again.
+Regular expressions propose spans, checks confirm them (Luhn for cards, mod 97 for IBANs, octets for IP
+addresses, digit counts for phones, a mix of many characters for secrets), and whole context words on
+either side raise a span's score. Spans of the kinds in LEAST count only from that score on: a long
+string after = or : is a secret if a word nearby says so. Offsets count code points; the end is
+exclusive. Each pattern gives its leftmost matches that don't overlap; a match that its check refuses
+is dropped and not tried again.
 
 The patterns are possessive, and look for a start only where a run of their characters begins or the last
 match ended, so the work grows with the text's length whatever it holds. That changes no match: inside a
@@ -17,24 +19,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vespera.llm.common import without
+from vespera.llm.common import unused, without
 
 #: Encloses matches while they are located; its own occurrences in a text are read as STAND_IN, which no pattern has either.
 MARK, STAND_IN = "\x01", "\x02"
 #: kind -> pattern, text that must occur (contains) or pattern that must match for the kind to be looked for, context words.
 PATTERNS = {
-    "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", "mail|contact|write|kontakt|correo|courriel"),
-    "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", "ip|host|server|address|login|adresse"),
-    "card": (r"[0-9](?:[\x20-]?[0-9])++", None, "card|visa|credit|payment|karte|tarjeta|carte"),
-    "phone": (r"\+[0-9][\x20().0-9-]++(?<=[0-9])|\+[0-9][\x20().0-9-]+[0-9]", "+", "phone|call|tel|mobile|fax|telefon"),
+    "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", "e-?mail|mail|contact|write|kontakt|correo|courriel"),
+    "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", "ip|hosts?|servers?|address|login|adresse"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])++", None, "cards?|visa|credit|payment|karte|tarjeta|carte"),
+    "phone": (r"\+[0-9][\x20().0-9-]++(?<=[0-9])|\+[0-9][\x20().0-9-]+[0-9]", "+", "phone|telephone|call|tel|mobile|fax|telefon|teléfono|téléphone"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", None, "iban|account|bank|konto|cuenta|compte"),
+    "secret": (r"(?<=[=:][\x20\"']{0,3})[A-Za-z0-9+/_-]{20,}+(?![A-Za-z0-9=])", None, "token|secret|password|passwd|credentials?|(?:api|access|private|auth)[_ -]?key|key|passwort|contraseña|schlüssel"),
 }
 KINDS = tuple(PATTERNS)
 BASE = KINDS[:4]
 COLUMNS = ("pii",)
-#: Score of a span by how firmly its check confirms it, and what a context word within NEAR code points before it adds.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.85, "phone": 0.7, "iban": 0.95}
+#: Score of a span by how firmly its check confirms it, and what a context word within NEAR code points on either side adds.
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.85, "phone": 0.7, "iban": 0.95, "secret": 0.5}
 CONTEXT_BONUS, NEAR = 0.1, 40
+#: Least score of spans of the kinds that are not base kinds.
+LEAST = {"iban": 0.95, "secret": 0.6}
 #: Segments are located in groups of this size: work stays in proportion to their number times this.
 GROUP = 1024
 
@@ -70,6 +75,8 @@ def _confirmed(kind: str, s: Column) -> Column:
         return F.length(_digits(s)).between(8, 15)
     if kind == "iban":
         return _mod97(s)
+    if kind == "secret":
+        return s.rlike("[0-9]") & s.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(s, ""))) >= 10)
     return F.lit(True)
 
 
@@ -78,6 +85,8 @@ def _wanted(kind: str, t: Column) -> Column:
         return t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")
     if kind == "iban":
         return t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}")
+    if kind == "secret":
+        return t.rlike(r"[=:][\x20\"']{0,3}[A-Za-z0-9+/_-]{20}")
     return t.contains(PATTERNS[kind][1])
 
 
@@ -92,12 +101,21 @@ def _starts(lengths: Column) -> Column:
 
 
 def _spans(kind: str, cut: Column, starts: Column) -> Column:
-    """array of struct(kind, start, end, score) of a kind's confirmed matches, which are every other segment of cut."""
-    found = F.arrays_zip(cut.alias("s"), starts.alias("at"), F.concat(F.array(F.lit("")), cut).alias("before"))
-    odd = F.filter(found, lambda z, i: (i % 2 == 1) & z["s"].isNotNull() & _confirmed(kind, z["s"]))
-    near = lambda z: F.lower(F.right(z["before"], F.lit(NEAR))).rlike(PATTERNS[kind][2])
-    score = lambda z: F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near(z), CONTEXT_BONUS).otherwise(0.0))
-    spans = F.transform(odd, lambda z: F.struct(F.lit(kind).alias("kind"), z["at"].cast("long").alias("start"), (z["at"] + F.length(z["s"])).cast("long").alias("end"), score(z).alias("score")))
+    """array of struct(kind, start, end, score) of a kind's confirmed matches, which are every other segment of cut.
+
+    Context is looked for in the NEAR code points before and after a match, which may reach over the matches next to it.
+    """
+    piece = lambda i: F.coalesce(F.get(cut, i), F.lit(""))
+    odd = F.filter(F.sequence(F.lit(0), F.size(cut) - 1), lambda i: (i % 2 == 1) & _confirmed(kind, piece(i)))
+    before = lambda i: F.right(F.concat(F.right(piece(i - 3), F.lit(NEAR)), F.right(piece(i - 2), F.lit(NEAR)), F.right(piece(i - 1), F.lit(NEAR))), F.lit(NEAR))
+    after = lambda i: F.left(F.concat(F.left(piece(i + 1), F.lit(NEAR)), F.left(piece(i + 2), F.lit(NEAR)), F.left(piece(i + 3), F.lit(NEAR))), F.lit(NEAR))
+    words = rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{PATTERNS[kind][2]})(?![\p{{L}}\p{{N}}])"
+    near = lambda i: F.concat(before(i), F.lit("\n"), after(i)).rlike(words)
+    score = lambda i: F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near(i), CONTEXT_BONUS).otherwise(0.0))
+    at = lambda i: F.get(starts, i).cast("long")
+    spans = F.transform(odd, lambda i: F.struct(F.lit(kind).alias("kind"), at(i).alias("start"), (at(i) + F.length(piece(i))).alias("end"), score(i).alias("score")))
+    if kind in LEAST:
+        spans = F.filter(spans, lambda s: s["score"] >= LEAST[kind])
     return F.coalesce(spans, _none())
 
 
@@ -108,12 +126,14 @@ def find_pii(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = KINDS
     """
     out = without(docs, COLUMNS)
     names = out.columns
-    out = out.withColumn("__t", F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(STAND_IN)))
-    cut = lambda k: F.split(F.regexp_replace("__t", PATTERNS[k][0], f"{MARK}$0{MARK}"), MARK)
-    out = out.withColumns({f"__cut_{k}": F.when(_wanted(k, F.col("__t")), cut(k)) for k in kinds})
-    out = out.withColumns({f"__len_{k}": F.when(F.size(f"__cut_{k}") > 1, F.transform(f"__cut_{k}", F.length)) for k in kinds})
-    out = out.withColumns({f"__at_{k}": F.when(F.col(f"__len_{k}").isNotNull(), _starts(F.col(f"__len_{k}"))) for k in kinds})
-    spans = [F.when(F.col(f"__at_{k}").isNotNull(), _spans(k, F.col(f"__cut_{k}"), F.col(f"__at_{k}"))).otherwise(_none()) for k in kinds]
+    t = unused(out, "pii_text")
+    at = {(what, k): unused(out, f"pii_{what}_{k}") for what in ("cut", "len", "at") for k in kinds}
+    out = out.withColumn(t, F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(STAND_IN)))
+    cut = lambda k: F.split(F.regexp_replace(t, PATTERNS[k][0], f"{MARK}$0{MARK}"), MARK)
+    out = out.withColumns({at["cut", k]: F.when(_wanted(k, F.col(t)), cut(k)) for k in kinds})
+    out = out.withColumns({at["len", k]: F.when(F.size(at["cut", k]) > 1, F.transform(at["cut", k], F.length)) for k in kinds})
+    out = out.withColumns({at["at", k]: F.when(F.col(at["len", k]).isNotNull(), _starts(F.col(at["len", k]))) for k in kinds})
+    spans = [F.when(F.col(at["at", k]).isNotNull(), _spans(k, F.col(at["cut", k]), F.col(at["at", k]))).otherwise(_none()) for k in kinds]
     return out.select(*names, F.concat(*spans).alias("pii"))
 
 

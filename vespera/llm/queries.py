@@ -37,7 +37,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = lambda k: F.filter("pii", lambda s: s["kind"] == k)
     digest = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
-    return found.select("doc_id", *[F.size(kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS], F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda s: F.format_number(s["score"], 2)), ",")
+    counts = [F.size(kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.size("pii").cast("long").alias("n_spans"), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("pii")).alias("spans"), scores.alias("scores"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
