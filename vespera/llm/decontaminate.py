@@ -19,8 +19,8 @@ from vespera.llm.common import LOWER, UPPER, durable, id_key, without
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 5
 COLUMNS = ("n_words", "n_hit", "n_items", "item_ids", "contaminated")
-#: The benchmark's fingerprints are broadcast up to this many, and shuffled beyond.
-BROADCAST_PRINTS = 200_000
+#: The benchmark's fingerprints are broadcast up to this many, with the words around them up to so many bytes, and shuffled beyond.
+BROADCAST_PRINTS, BROADCAST_BYTES = 200_000, 64 << 20
 #: A kept k-gram is packed as 32 bits of hash above 31 bits of position.
 POSITION = 31
 
@@ -111,7 +111,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     counts = found.filter("kind = -1").groupBy("__doc", "__text").agg(F.max(F.col("pos").cast("long")).alias("n_words"))
 
     # The second takes the words of those documents alone, and extends their hits.
-    hits = found.filter("kind >= 0").distinct().join(marks, ["kind", "hash"])
+    around = sum(F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 8), F.lit(0).cast("long")) for c in ("gram", "before", "after"))
+    held = marks.agg(F.count("*").alias("n"), F.sum(around).alias("bytes")).first()
+    light = held.n <= BROADCAST_PRINTS and (held.bytes or 0) <= BROADCAST_BYTES  # then a k-gram that many documents have isn't gathered
+    hits = found.filter("kind >= 0").distinct().join(F.broadcast(marks) if light else marks, ["kind", "hash"])
     hits = hits.groupBy("__doc", "__text").agg(F.collect_list(F.struct("pos", "kind", "gram", "before", "after", "item_id")).alias("__hits"))
     texts = docs.select(id_key("doc_id").alias("__doc"), F.xxhash64(text).alias("__text"), F.col(text).alias("__t"))
     spans = hits.join(texts, ["__doc", "__text"]).withColumn("__w", words(F.col("__t")))

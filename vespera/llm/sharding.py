@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vespera.llm.common import durable
+from vespera.llm.common import durable, spread_join
 
 SHARDS, ROUNDS = 24, 8
 #: A shard takes members only while more than this share of its capacity is free; rounds end when fewer than this share move.
@@ -73,8 +73,9 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, text: str = "text",
     base = docs.select("doc_id", (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("g1"), F.xxhash64(F.lit("g2"), t).alias("g2"))
     base = durable(base.withColumn("row", F.monotonically_increasing_id()), "sizes")
     groups = durable(base.groupBy(*GROUP).agg(F.count("*").alias("n_copies")).filter("n_copies > 1"), "groups")
-    all_rows = durable(base.join(groups, GROUP, "left").withColumn("n_copies", F.coalesce("n_copies", F.lit(1).cast("long"))), "grouped")
-    total = all_rows.count()
+    total = base.count()
+    copies = spread_join(base, groups.withColumn("n", F.col("n_copies")), GROUP, total, how="left")
+    all_rows = durable(copies.withColumn("n_copies", F.coalesce("n_copies", F.lit(1).cast("long"))), "grouped")
     quota = {s: total // n_shards + (s < total % n_shards) for s in range(n_shards)}
     linked, single = all_rows.filter("n_copies > 1"), all_rows.filter("n_copies = 1")
 
@@ -85,11 +86,12 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, text: str = "text",
     # Members take the places of their group's cells in order, the fullest cell first.
     placed = ranked(linked, [*GROUP, "doc_id", "row"], "members")
     first = placed.groupBy(*GROUP).agg(F.min("rank").alias("first"))
-    places = cells.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("n", "shard")), asc=False).alias("places")).join(first, GROUP)  # n_shards at most in a list
+    places = cells.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("n", "shard")), asc=False).alias("places"), F.sum("n").alias("n"))  # n_shards at most in a list
+    places = durable(places.join(first, GROUP), "places")
     at = F.col("rank") - F.col("first")
     upto = F.aggregate("places", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("shard")), lambda acc, c: F.struct(
         (acc["sum"] + c["n"]).alias("sum"), F.when(acc["shard"].isNull() & (at < acc["sum"] + c["n"]), c["shard"]).otherwise(acc["shard"]).alias("shard")))["shard"]
-    placed = placed.join(places, GROUP).withColumn("shard", upto).drop("places", "first", "rank")
+    placed = spread_join(placed, places, GROUP, total).withColumn("shard", upto).drop("places", "first", "rank")
     placed = ranked(placed, ["shard", *GROUP, "doc_id", "row"], "placed")
     held = {s: 0 for s in range(n_shards)} | {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     before = {s: sum(held[x] for x in range(s)) for s in range(n_shards)}

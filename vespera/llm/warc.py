@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vespera.llm.common import bounded_batches, id_key, shared_dir
+from vespera.llm.common import bounded_batches, durable, id_key, kept_path, spread_join
 
 #: Fixed values of the format: a dictionary's skippable frame, and an empty one of another number as separator.
 DICTIONARY_MAGIC = b"\x5d\x2a\x4d\x18"
@@ -96,19 +96,31 @@ def _sources(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id"), F.col("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.sha1("payload"))
 
 
-def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """key, sha, refers_to of the records whose payload another record holds. Only digests are grouped and joined."""
-    seen = _sources(pages).filter(F.length("payload") >= min_bytes).select(id_key("page_id").alias("key"), "sha", "page_id")
-    first = seen.groupBy("sha").agg(F.min("page_id").alias("refers_to"))  # ignores null ids
-    return seen.join(first, "sha").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull()).select("key", "sha", "refers_to").distinct()
+def _seen(pages: DataFrame, min_bytes: int) -> DataFrame:
+    """key, sha, page_id of the records that take part in deduplication, as a durable table: digests alone."""
+    return durable(_sources(pages).filter(F.length("payload") >= min_bytes).select(id_key("page_id").alias("key"), "sha", "page_id"), "digests")
+
+
+def revisits(seen: DataFrame) -> DataFrame:
+    """key, sha, refers_to of the records whose payload another record holds. Only digests are grouped and joined; a payload that much of all rows have stays where it is."""
+    first = seen.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 AND refers_to IS NOT NULL")  # min ignores null ids
+    return spread_join(seen, first, ["sha"], seen.count()).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("key", "sha", "refers_to").distinct()
+
+
+def sampled(pages: DataFrame, seen: DataFrame) -> list[bytes]:
+    """Records to build the dictionary from: the heads of the SAMPLE_RECORDS different payloads with the least digests. Digests are sorted alone."""
+    least = [r.sha for r in seen.select("sha").distinct().orderBy("sha").limit(SAMPLE_RECORDS).collect()]
+    one = F.min(F.struct(id_key("page_id").alias("key"), "page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")))
+    rows = _sources(pages).filter(F.col("sha").isin(least)).groupBy("sha").agg(one.alias("r")).orderBy("sha").select("r.*").collect() if least else []
+    return [record(r.page_id, r.url, bytes(r.payload)) for r in rows]
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL, date: str = DATE) -> None:
     """Archives of pages (page_id, url, html) under path, which must not exist."""
     bounded_batches(pages.sparkSession)
     source = _sources(pages)
-    sample = source.orderBy("sha", id_key("page_id")).limit(SAMPLE_RECORDS).select("page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).collect()
-    dictionary = build_dictionary([record(r.page_id, r.url, bytes(r.payload), None, date) for r in sample])
+    seen = _seen(pages, min_bytes)
+    dictionary = build_dictionary(sampled(pages, seen))
     opening = DICTIONARY_MAGIC + len(dictionary).to_bytes(4, "little") + dictionary if dictionary else b""
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +134,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, archive_
 
     total = source.agg(F.sum(F.length("payload") + 512)).first()[0] or 0
     n = max(1, -(-total // archive_bytes))
-    refers = revisits(pages, min_bytes).repartition(n, "key", "sha")
+    refers = revisits(seen).repartition(n, "key", "sha")
     rows = source.withColumn("key", id_key("page_id")).repartition(n, "key", "sha").join(refers, ["key", "sha"], "left")
     rows.select("page_id", "url", "payload", "refers_to").mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
@@ -168,6 +180,6 @@ def restore(records: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """The records of pages as archives in the shared folder give them back."""
-    path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = kept_path(pages.sparkSession, "warc")
     write_warc(pages, path, **options)
     return read_warc(pages.sparkSession, path)
