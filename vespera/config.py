@@ -8,7 +8,7 @@ from dataclasses import MISSING, dataclass, fields
 
 @dataclass(frozen=True)
 class PipelineConfig:
-    """Named scalars of a run. The last seven have defaults; the others must be given."""
+    """Named scalars of a run. The last five have defaults; the others must be given."""
 
     refraction_coefficient_k: float
     earth_radius_m: float

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vespera.config import PipelineConfig
 
@@ -51,28 +51,30 @@ def map_tile(unit: Column, zoom: int) -> Column:
     return F.least(F.greatest(F.floor(unit * 2**zoom), F.lit(0)), F.lit(2**zoom - 1)).cast("int")
 
 
-def sunset_azimuth(day: Column, lat: Column, lon: float = -122.5) -> Column:
-    """Compass azimuth of the sunset seen at lat on a date, by the usual low-precision almanac; null where the sun does not set.
+def sunset_azimuths(days: DataFrame, lon: float = -122.5) -> DataFrame:
+    """days (day, lat, ...) with azimuth, the compass azimuth of the sunset, by the usual low-precision almanac; null where the sun does not set.
 
-    Noon is taken at UTC-8.
+    Noon is taken at UTC-8. Each step is a column of its own: as one expression they would be written out again and again.
     """
     r = math.pi / 180
-    d = F.datediff(day, F.lit("1970-01-01").cast("date")) + F.lit(20 / 24) + F.lit(2440587.5 - 2451545)
     tilt, j0, lw = r * 23.4397, 0.0009, -lon * r
-    n = F.round(d - j0 - lw / (2 * math.pi))
-    ds = n + (j0 + lw / (2 * math.pi))
-    anomaly = lambda x: (x * 0.98560028 + 357.5291) * r
-
-    def longitude(x: Column) -> Column:
-        m = anomaly(x)
-        return m + (F.sin(m) * 1.9148 + F.sin(m * 2) * 0.02 + F.sin(m * 3) * 0.0003) * r + (102.9372 * r + math.pi)
-
-    declination = lambda x: F.asin(F.sin(longitude(x)) * math.sin(tilt))
-    phi = lat * r
-    cosw = (F.lit(math.sin(-0.833 * r)) - F.sin(phi) * F.sin(declination(ds))) / (F.cos(phi) * F.cos(declination(ds)))
-    w = F.when(cosw.between(-1.0, 1.0), F.acos(cosw))
-    sets = (w + lw) / (2 * math.pi) + n + j0 + F.sin(anomaly(ds)) * 0.0053 - F.sin(longitude(ds) * 2) * 0.0069
-    ascension = F.atan2(F.sin(longitude(sets)) * math.cos(tilt), F.cos(longitude(sets)))
-    hour = (sets * 360.9856235 + 280.16) * r - lw - ascension
-    az = F.atan2(F.sin(hour), F.cos(hour) * F.sin(phi) - F.tan(declination(sets)) * F.cos(phi)) / r + 180
-    return F.pmod(az, F.lit(360.0))
+    c = F.col
+
+    def sun(out: DataFrame, at: str, to: str) -> DataFrame:
+        """Anomaly, ecliptic longitude and declination at a time."""
+        m, l = c(f"__m{to}"), c(f"__l{to}")  # noqa: E741
+        out = out.withColumn(f"__m{to}", (c(at) * 0.98560028 + 357.5291) * r)
+        out = out.withColumn(f"__l{to}", m + (F.sin(m) * 1.9148 + F.sin(m * 2) * 0.02 + F.sin(m * 3) * 0.0003) * r + (102.9372 * r + math.pi))
+        return out.withColumn(f"__d{to}", F.asin(F.sin(l) * math.sin(tilt)))
+
+    noon = F.datediff("day", F.lit("1970-01-01").cast("date")) + F.lit(20 / 24) + F.lit(2440587.5 - 2451545)
+    out = days.withColumn("__phi", c("lat") * r).withColumn("__n", F.round(noon - j0 - lw / (2 * math.pi)))
+    out = sun(out.withColumn("__t1", c("__n") + (j0 + lw / (2 * math.pi))), "__t1", "1")
+    out = out.withColumn("__cosw", (F.lit(math.sin(-0.833 * r)) - F.sin("__phi") * F.sin("__d1")) / (F.cos("__phi") * F.cos("__d1")))
+    w = F.when(c("__cosw").between(-1.0, 1.0), F.acos("__cosw"))
+    out = out.withColumn("__t2", (w + lw) / (2 * math.pi) + c("__n") + j0 + F.sin("__m1") * 0.0053 - F.sin(c("__l1") * 2) * 0.0069)
+    out = sun(out, "__t2", "2")
+    ascension = F.atan2(F.sin("__l2") * math.cos(tilt), F.cos("__l2"))
+    out = out.withColumn("__hour", (c("__t2") * 360.9856235 + 280.16) * r - lw - ascension)
+    az = F.atan2(F.sin("__hour"), F.cos("__hour") * F.sin("__phi") - F.tan("__d2") * F.cos("__phi")) / r + 180
+    return out.withColumn("azimuth", F.pmod(az, F.lit(360.0))).drop("__phi", "__n", "__t1", "__m1", "__l1", "__d1", "__cosw", "__t2", "__m2", "__l2", "__d2", "__hour")

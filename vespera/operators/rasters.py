@@ -127,8 +127,8 @@ def reproject(pixels: DataFrame, south: float, west: float, north: float, east:
     return out.select(F.lit(zoom).alias("z"), F.col("__row").alias("row"), F.col("__col").alias("col"), *words)
 
 
-def without_cells(cells: DataFrame, *others: DataFrame) -> DataFrame:
-    """Cells (row, col) that none of the others hold: the difference of polygons on the grid."""
+def without_cells(cells: DataFrame, *others: DataFrame, key: tuple[str, ...] = ("row", "col")) -> DataFrame:
+    """Cells that none of the others hold: the difference of polygons on the grid."""
     for other in others:
-        cells = cells.join(other.select("row", "col"), ["row", "col"], "left_anti")
+        cells = cells.join(other.select(*key), list(key), "left_anti")
     return cells

@@ -181,11 +181,11 @@ def slice_pixels(row, config: PipelineConfig, elevation: Lookup, water: Lookup)
     return out
 
 
-def sweep_packed(boxes: DataFrame, config: PipelineConfig, elevation: Lookup, water: Lookup) -> DataFrame:
+def sweep_packed(boxes: DataFrame, config: PipelineConfig, elevation: Lookup, water: Lookup, tasks: int | None = None) -> DataFrame:
     """box_idx, strip, row and mask: the bytes of the row's pixels, pixel by pixel, as the relational tier's words hold them.
 
     The lookups are sent to the executors and called with arrays of points; they may open tiles there and
-    keep some. Every strip and azimuth is a row of its own, dealt evenly; a task holds one slice at a time
+    keep some. Every strip and azimuth is a row of its own, dealt to so many tasks, by default as many as there are rows; a task holds one slice at a time
     and emits its rows as packed bits. The OR sees one row for each azimuth of a pixel row.
     """
     layout = layout_of(config)
@@ -208,7 +208,9 @@ def sweep_packed(boxes: DataFrame, config: PipelineConfig, elevation: Lookup, wa
         mask = np.packbits(flags, axis=1, bitorder="little").tobytes()
         return pd.DataFrame({"box_idx": group.box_idx.iloc[:1].to_numpy(), "strip": group.strip.iloc[:1].to_numpy(), "row": group.row.iloc[:1].to_numpy(), "mask": [mask]})
 
-    work = slices(strips(boxes, config), config).repartition("box_idx", "strip", "az")
+    work = slices(strips(boxes, config), config)
+    # A number of partitions that is given is kept: tiny rows would else be put together in one task, whatever work they stand for.
+    work = work.repartition(tasks or max(1, work.count()), "box_idx", "strip", "az")
     rows = work.mapInPandas(swept, "box_idx int, strip int, row int, az int, width int, west double, lat double, seen binary")
     return rows.groupBy("box_idx", "strip", "row").applyInPandas(merged, "box_idx int, strip int, row int, mask binary")
 

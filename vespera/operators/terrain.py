@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from vespera.functions.geo import along_perp, ray_of
+
 RAY = ("strip", "az", "j")
 
 
@@ -31,9 +33,29 @@ def flips(judged: DataFrame, ray: tuple[str, ...] = RAY) -> DataFrame:
     return judged.withColumn("__b", before).groupBy(*ray).agg(F.count_if(F.col("__b").isNotNull() & (F.col("__b") != F.col("visible"))).alias("flips"))
 
 
-def trace(judged: DataFrame, target: Column, before: int, after: int) -> DataFrame:
-    """The samples of a ray around its crossing."""
-    return judged.filter(target & (F.col("k") - F.col("k0")).between(-before, after))
+def trace(samples: DataFrame, judged: DataFrame, target: Column, before: int, after: int, spacing: float, curvature: float, eye: float, ray: tuple[str, ...] = RAY, skip: float = 0.0) -> DataFrame:
+    """A ray around its crossing: step, side, water, h, and inland x, in_skip, max_reach and obs_reach in metres and visible.
+
+    samples are all of the ray's, judged what verdicts made of them; target picks the ray. Steps count from the crossing;
+    seaward ones were never judged and are not visible. With a flat earth reaches stay unscaled.
+    """
+    root = math.sqrt(max(0.0, curvature))
+    metres = 1 / root if root else 1.0
+    own = judged.filter(target).select(*ray, "k", "k0", "x", "highest", "visible")
+    crossing = own.select(*ray, "k0").distinct()
+    rows = samples.filter(target).join(F.broadcast(crossing), list(ray)).withColumn("step", (F.col("k") - F.col("k0")).cast("int")).filter(F.col("step").between(-before, after))  # one ray
+    out = rows.drop("k0").join(own.drop("k0"), [*ray, "k"], "left")
+    h = F.coalesce(F.nanvl(F.col("h").cast("double"), F.lit(0.0)), F.lit(0.0))
+    reach = F.sqrt(F.greatest(h + F.lit(eye), F.lit(0.0))) - F.col("x") * F.lit(root)
+    return out.select(
+        *ray, "step", F.when(F.col("step") < 0, "sea").otherwise("land").alias("side"), "water", "h", (F.col("step") * F.lit(spacing)).alias("x"),
+        F.when(F.col("step") >= 0, F.col("x") < skip).alias("in_skip"), (F.col("highest") * metres).alias("max_reach"), (reach * metres).alias("obs_reach"), F.coalesce("visible", F.lit(False)).alias("visible"),
+    )
+
+
+def target_ray(lat: Column, lon: Column, lat0: float, lon0: float, azimuth: float, config) -> Column:
+    """The ray of a strip's frame that a point takes its verdicts from, as the gather chooses it."""
+    return ray_of(along_perp(lat, lon, lat0, lon0, azimuth, config)[1], F.lit(config.spacing_m))
 
 
 def west_edge(samples: DataFrame, tolerance: float) -> DataFrame:

@@ -67,13 +67,18 @@ def transitions_w6(spark, sf_dir):
     return terrain.flips(judged(spark, sf_dir), ("j",))
 
 
-@query(SAMPLES_SQL + "SELECT j, k::INT AS k, visible FROM v WHERE j = 7 AND k - k0 BETWEEN -3 AND 40")
+@query(SAMPLES_SQL + """SELECT c.j, (c.k - c.k0)::INT AS step, CASE WHEN c.k < c.k0 THEN 'sea' ELSE 'land' END AS side, c.water, ((c.k - c.k0) * 10.0)::DOUBLE AS x, CASE WHEN c.k >= c.k0 THEN 'no' ELSE '-' END AS in_skip,
+  round(v.highest * 1000, 3) AS max_reach, round((sqrt(greatest(v.h + 0.5, 0)) - v.x * 0.001::DOUBLE) * 1000, 3) AS obs_reach, coalesce(v.visible, false) AS visible
+FROM c LEFT JOIN v ON v.j = c.j AND v.k = c.k WHERE c.j = 5 AND c.k - c.k0 BETWEEN -3 AND 40""")
 def trace_o6_k13(spark, sf_dir):
-    return terrain.trace(judged(spark, sf_dir), F.col("j") == 7, 3, 40).select("j", "k", "visible")
+    """A ray whose first samples are water, from three steps before its crossing on."""
+    out = terrain.trace(samples(spark, sf_dir), judged(spark, sf_dir), F.col("j") == 5, 3, 40, SPACING, CURVATURE, EYE, ray=("j",))
+    skip = F.when(F.col("in_skip").isNull(), "-").when(F.col("in_skip"), "yes").otherwise("no").alias("in_skip")
+    return out.select("j", "step", "side", "water", "x", skip, F.round("max_reach", 3).alias("max_reach"), F.round("obs_reach", 3).alias("obs_reach"), "visible")
 
 
 @query(SAMPLES_SQL + "SELECT j, array_to_string(list(CASE WHEN visible THEN '1' ELSE '0' END ORDER BY k), '') AS verdicts FROM v GROUP BY j")
-def ray_lists_a12_a11(spark, sf_dir):
+def ray_lists_a12(spark, sf_dir):
     rows = judged(spark, sf_dir).groupBy("j").agg(F.sort_array(F.collect_list(F.struct("k", F.when(F.col("visible"), "1").otherwise("0").alias("v")))).alias("l"))
     return rows.select("j", F.array_join("l.v", "").alias("verdicts"))
 
@@ -138,7 +143,7 @@ def keys_p18_p21_p36(spark, sf_dir):
 
 @query("""SELECT DISTINCT la::INT AS lat, lo::INT AS lon FROM (SELECT 30 + (s_suppkey % 20) * 0.7 - 0.65 AS s, 30 + (s_suppkey % 20) * 0.7 + 0.75 AS n, -125 + s_suppkey % 13 * 0.9 AS w, -125 + s_suppkey % 13 * 0.9 + 1.3 AS e FROM supplier),
 LATERAL (SELECT unnest(range(floor(s)::INT, floor(n - 1e-9)::INT + 1)) AS la), LATERAL (SELECT unnest(range(floor(w)::INT, floor(e - 1e-9)::INT + 1)) AS lo)""")
-def working_set_p24_j6_j12_u5(spark, sf_dir):
+def covered_tiles_j6_u5(spark, sf_dir):
     k = F.col("s_suppkey")
     south, west = 30 + k % 20 * F.lit(0.7), -125 + k % 13 * F.lit(0.9)
     boxes = _table(spark, sf_dir, "supplier").select((south - 0.65).alias("south"), (south + 0.75).alias("north"), west.alias("west"), (west + 1.3).alias("east"))
@@ -146,17 +151,11 @@ def working_set_p24_j6_j12_u5(spark, sf_dir):
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS newest FROM orders GROUP BY o_custkey")
-def newest_s2_a8_w3(spark, sf_dir):
+def newest_a8_w3(spark, sf_dir):
     o = _table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("newest"), "o_orderdate")
     return runs.newest(o, ["o_custkey"], [F.col("o_orderdate"), F.col("newest")]).select("o_custkey", "newest")
 
 
-@query("SELECT user_id, arg_max(event_id, (ts, -event_id)) AS kept, min(event_id) AS first_seen FROM events GROUP BY user_id")
-def dedupe_downloads_s16_w7(spark, sf_dir):
-    e = _table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", -F.col("event_id"))).alias("kept"), F.min("event_id").alias("first_seen"))
-
-
 @query("""SELECT l_suppkey AS box, count(*)::BIGINT AS n, count(*) FILTER (l_partkey % 20 = 0)::BIGINT AS land, min(CASE WHEN l_partkey % 20 = 0 THEN l_orderkey END) AS land_min,
 max(CASE WHEN l_partkey % 20 = 0 THEN l_orderkey END) AS land_max, count(*) FILTER (l_partkey % 20 = 0) <= count(*) * 0.05::DOUBLE AS passes FROM lineitem GROUP BY l_suppkey""")
 def west_edge_a4(spark, sf_dir):
@@ -177,18 +176,18 @@ def due_boxes_j10_p40_p41(spark, sf_dir):
 
 
 @query("SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
-def orphans_j11_u4(spark, sf_dir):
+def orphans_j11(spark, sf_dir):
     return runs.orphans(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name")), _table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("name")))
 
 
 @query("SELECT s_nationkey AS box, s_suppkey AS strip, coalesce(sum(1 + s_suppkey % 9) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS row_off FROM supplier")
-def strip_offsets_p25_w5(spark, sf_dir):
+def strip_offsets_w5(spark, sf_dir):
     strips = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("box"), F.col("s_suppkey").alias("strip"), (F.col("s_suppkey") % 9 + 1).alias("rows"))
     return runs.offsets(strips, "rows", "strip", "box").select("box", "strip", "row_off")
 
 
 @query("""SELECT l_suppkey AS ray, round(least(greatest(d / 10.0, 0), 40))::BIGINT AS idx, count(*)::BIGINT AS n FROM (SELECT l_suppkey, l_partkey % 500 - 30 + 0.25::DOUBLE AS d FROM lineitem) WHERE d >= -10 GROUP BY ALL""")
-def gather_j4_p15_p16(spark, sf_dir):
+def nearest_sample_p16(spark, sf_dir):
     d = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ray"), (F.col("l_partkey") % 500 - 30 + F.lit(0.25)).alias("d"))
     return d.withColumn("idx", geo.sample_of(F.col("d"), F.lit(10.0), F.lit(40).cast("long"))).filter("idx IS NOT NULL").groupBy("ray", "idx").agg(F.count("*").alias("n"))
 
@@ -207,7 +206,7 @@ def fill_mask_p33_j5_o3(spark, sf_dir):
 
 @query("""SELECT c_custkey, greatest(0, least(4095, floor((lon + 180) / 360 * 4096)))::INT AS x, greatest(0, least(4095, floor((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 4096)))::INT AS y
 FROM (SELECT c_custkey, -60 + (c_custkey * 37 % 12000) / 100.0::DOUBLE + 0.003 AS lat, -170 + (c_custkey * 91 % 30000) / 100.0::DOUBLE + 0.003 AS lon FROM customer)""")
-def map_tiles_p29_p32(spark, sf_dir):
+def map_tiles_p32(spark, sf_dir):
     k = F.col("c_custkey")
     c = _table(spark, sf_dir, "customer").select("c_custkey", (-60 + k * 37 % 12000 / F.lit(100.0) + 0.003).alias("lat"), (-170 + k * 91 % 30000 / F.lit(100.0) + 0.003).alias("lon"))
     return c.select("c_custkey", geo.map_tile(geo.unit_x(F.col("lon")), 12).alias("x"), geo.map_tile(geo.unit_y(F.col("lat")), 12).alias("y"))
@@ -235,55 +234,3 @@ def bilinear_p19_j1(spark, sf_dir):
     cells = cells.withColumn("h", (F.col("r") * 10 + F.col("c") * 3).cast("float"))
     points = _table(spark, sf_dir, "customer").select("c_custkey", (36 + k % 100 / F.lit(100.0) + 0.003).alias("lat"), (-122 + k * 7 % 100 / F.lit(100.0) + 0.004).alias("lon"))
     return terrain.bilinear(points, cells, 10).select("c_custkey", F.round(F.col("h").cast("double"), 2).alias("h"))
-
-
-@query("SELECT o_orderkey, coalesce(c_acctbal > 0, true) AS water FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) ON o_custkey = c_custkey")
-def water_lookup_j2_p20(spark, sf_dir):
-    """Points without a water tile are sea."""
-    tiles = _table(spark, sf_dir, "customer").filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") > 0).alias("w"))
-    return _table(spark, sf_dir, "orders").join(tiles, "o_custkey", "left").select("o_orderkey", F.coalesce("w", F.lit(True)).alias("water"))
-
-
-@query("SELECT c_custkey, arg_min(n_nationkey, (4 + n_nationkey % 9) * 100 + n_nationkey)::INT AS box FROM customer JOIN nation ON c_custkey % 100 BETWEEN n_nationkey * 3 AND n_nationkey * 3 + 4 + n_nationkey % 9 GROUP BY c_custkey")
-def smallest_box_a13_o5(spark, sf_dir):
-    k = F.col("n_nationkey")
-    boxes = _table(spark, sf_dir, "nation").select(k.alias("box"), (k % 9 + 4).alias("size"), F.explode(F.sequence(k * 3, k * 3 + 4 + k % 9)).alias("at"))
-    clicks = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 100).alias("at"))
-    return clicks.join(boxes, "at").groupBy("c_custkey").agg(F.min_by("box", F.struct("size", "box")).alias("box"))
-
-
-@query("""SELECT DISTINCT o_orderdate::DATE AS day, 233 + ((floor(az - 233 + 0.5))::INT) AS azimuth FROM (
-SELECT o_orderdate, az % 360 AS az FROM (SELECT o_orderdate, atan2(sin(h), cos(h) * sin(phi) - tan(dec2) * cos(phi)) / r + 180 AS az FROM (
-SELECT *, (jset * 360.9856235 + 280.16) * r - lw - atan2(sin(l2) * cos(23.4397 * r), cos(l2)) AS h, asin(sin(l2) * sin(23.4397 * r)) AS dec2 FROM (
-SELECT *, m2 + r * (1.9148 * sin(m2) + 0.02 * sin(2 * m2) + 0.0003 * sin(3 * m2)) + 102.9372 * r + pi() AS l2 FROM (
-SELECT *, r * (357.5291 + 0.98560028 * jset) AS m2 FROM (
-SELECT *, 0.0009 + (acos((sin(-0.833 * r) - sin(phi) * sin(dec)) / (cos(phi) * cos(dec))) + lw) / (2 * pi()) + n + 0.0053 * sin(m) - 0.0069 * sin(2 * l) AS jset FROM (
-SELECT *, asin(sin(l) * sin(23.4397 * r)) AS dec FROM (
-SELECT *, m + r * (1.9148 * sin(m) + 0.02 * sin(2 * m) + 0.0003 * sin(3 * m)) + 102.9372 * r + pi() AS l FROM (
-SELECT *, r * (357.5291 + 0.98560028 * (0.0009 + lw / (2 * pi()) + n)) AS m FROM (
-SELECT *, round(datediff('day', DATE '1970-01-01', o_orderdate::DATE) + 20 / 24.0::DOUBLE + 2440587.5 - 2451545 - 0.0009 - lw / (2 * pi())) AS n FROM (
-SELECT o_orderdate, pi() / 180 AS r, 122.5 * pi() / 180 AS lw, 38 * pi() / 180 AS phi FROM orders)))))))))))""")
-def sunset_p34_p37(spark, sf_dir):
-    day = _table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
-    az = geo.sunset_azimuth(F.col("day"), F.lit(38.0))
-    return day.select("day", (233 + F.floor(az - 233 + F.lit(0.5)).cast("int")).alias("azimuth"))
-
-
-@query("SELECT s_nationkey, count(*)::BIGINT AS n, count(DISTINCT s_suppkey % 3) = 1 AS same FROM supplier GROUP BY s_nationkey")
-def contract_check_j9(spark, sf_dir):
-    """Whether all sources of a group share one format contract."""
-    contract = F.col("s_suppkey") % 3
-    return _table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), (F.min(contract) == F.max(contract)).alias("same"))
-
-
-@query("""SELECT c_custkey, round_even((c_custkey % 40 - 7) / 2.0::DOUBLE, 0)::BIGINT AS row_off, min(c_custkey % 40 - 7) OVER () AS north FROM customer""")
-def lattice_p28_a7_a14(spark, sf_dir):
-    c = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 40 - 7).alias("o"))
-    least = c.agg(F.min("o")).first()[0]
-    return c.select("c_custkey", F.bround(F.col("o") / F.lit(2.0)).cast("long").alias("row_off"), F.lit(least).cast("long").alias("north"))
-
-
-@query("""SELECT 'box_' || lpad(c_custkey::VARCHAR, 7, '0') AS name, round(greatest(a, b), 6) AS north, round(least(a, b), 6) AS south FROM (SELECT c_custkey, c_acctbal / 100 AS a, c_custkey % 90 AS b FROM customer) WHERE abs(a - b) >= 1e-4""")
-def box_editor_p39(spark, sf_dir):
-    c = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 100).alias("a"), (F.col("c_custkey") % 90).cast("double").alias("b"))
-    return c.filter(F.abs(F.col("a") - F.col("b")) >= 1e-4).select(F.concat(F.lit("box_"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("name"), F.round(F.greatest("a", "b"), 6).alias("north"), F.round(F.least("a", "b"), 6).alias("south"))

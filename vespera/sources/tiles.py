@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vespera.config import BitLayout
+from vespera.sources.files import emptied
+from vespera.sources.geodata import write_tiff
 
 TILE, FORMAT_VERSION = 512, 1
 TILEJSON = "tilejson string, tiles array<string>, format string, format_version int, scheme string, bounds array<double>, minzoom int, maxzoom int, tile_size int, azimuth_min_deg double, azimuth_max_deg double, azimuth_step_deg double, bit_count int, bytes_per_pixel int"
@@ -59,7 +61,11 @@ def unpack_tiles(tiles: DataFrame, layout: BitLayout, size: int = TILE) -> DataF
 
 
 def write_tile_files(tiles: DataFrame, root: str) -> None:
-    """root/z/x/y.bin of every tile, by the executors; root must be a folder that all of them share. A file appears whole or not at all."""
+    """root/z/x/y.bin of every tile, by the executors; root must be a folder that all of them share, and is emptied first: no tile of an earlier run stays.
+
+    A file appears whole or not at all.
+    """
+    emptied(tiles.sparkSession, root)
 
     def write(rows) -> None:
         for t in rows:
@@ -81,6 +87,30 @@ def read_tile_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(part(1).alias("z"), part(2).alias("x"), part(3).alias("y"), F.col("content").alias("payload"))
 
 
+def tile_of(tiles: DataFrame, z: int, x: int, y: int, layout: BitLayout, size: int = TILE) -> DataFrame:
+    """z, x, y, data of one tile: its bytes, or an empty tile's where there is none. The filter on the ids reaches the scan of a stored table."""
+    spark = tiles.sparkSession
+    wanted = spark.createDataFrame([(z, x, y)], "z int, x int, y int")
+    found = tiles.filter((F.col("z") == z) & (F.col("x") == x) & (F.col("y") == y)).select("z", "x", "y", "payload")
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            empty = bytes(size * size * layout.bytes_per_pixel)
+            yield batch.assign(data=[empty if p is None else gzip.decompress(p) for p in batch.payload]).drop(columns="payload")
+
+    return wanted.join(found, ["z", "x", "y"], "left").mapInPandas(opened, "z int, x int, y int, data binary")
+
+
+def checked(minzoom: int, maxzoom: int, level: int, workers: int) -> None:
+    """Raises ValueError for arguments of a tile run that make no sense."""
+    if not 0 <= minzoom <= maxzoom:
+        raise ValueError("zooms must be ordered and not negative")
+    if not 0 <= level <= 9:
+        raise ValueError("gzip levels are 0 to 9")
+    if workers < 1:
+        raise ValueError("at least one worker is needed")
+
+
 def tilejson(layout: BitLayout, bounds: tuple[float, float, float, float], minzoom: int, maxzoom: int, size: int = TILE) -> dict:
     """The document that describes a tile set; bounds are west, south, east, north."""
     if not 0 <= minzoom <= maxzoom:
@@ -117,6 +147,11 @@ def slice_png(visible: np.ndarray) -> bytes:
     return grey_png(np.where(visible[::-1], 255, 0))
 
 
+def slice_tiff(visible: np.ndarray, west: float, north: float, cell: float) -> bytes:
+    """visible with row 0 in the south, as a raster of 0 and 1 with north on top; its corner is that of the box."""
+    return write_tiff(visible[::-1].astype(np.uint8)[None], west, north, cell)
+
+
 def rays_png(rays: DataFrame) -> bytes:
     """rays (j, verdicts as an array of booleans) of one slice as an image: a line each, 255 visible, 96 hidden, 0 past its end."""
     rows = rays.select("j", "verdicts").orderBy("j").collect()  # one slice's grid, an image's worth
