@@ -4,19 +4,24 @@ A tree builder reads tags, closes elements whose end tags are implied, and track
 visible. Blocks stand on lines of their own, with blank lines where their margins are; lists get
 bullets or numbers and are indented; table cells are aligned in columns; pre keeps its spaces.
 
-Unseen are UNSEEN (scripts, templates, and what shows only if something else fails to), FOREIGN_UNSEEN, and what is hidden by
-an attribute or its own style. All options of a select are rendered, a line each; so are textarea, xmp and plaintext.
+Unseen are UNSEEN (scripts, templates, and what shows only if something else fails to), FOREIGN_UNSEEN, closed dialogs and
+details, and what display or visibility hide: the hidden attribute, an element's own style, and rules of the page's style
+elements whose selectors are a tag, a class, an id, or a tag with one of those (other selectors and at-rules are not read).
+What is visible again inside a part that visibility hides is rendered. All options of a select are rendered, a line each;
+so are textarea, xmp and plaintext.
 
 Null pages have null text and empty pages the empty text. Anything can follow a "<": what is no tag is
-text. Nesting depth and page length are not limited: there is no recursion, each piece of a page is read
-once, and blanks that indentation and alignment add are bounded by MAX_INDENT and MAX_CELL. Rows are
-independent. Input columns that clash with the operator's are replaced.
+text; NUL characters become U+FFFD. Nesting depth and page length are not limited: there is no recursion, the open
+elements are found by name, and work grows with the page's length. Indentation ends at MAX_INDENT, markers stay. Columns are
+aligned while that takes at most PADDING blanks and as many characters as the table has, times PADDED; else those up to
+MAX_CELL, else none. Rows are independent. Input columns that clash with the operator's are replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -46,10 +51,15 @@ ENDS = {
 }
 IN_HEAD = frozenset("head title base link meta style script noscript template html".split())
 MAX_INDENT, MAX_CELL, BULLET = 40, 60, "- "
+PADDING, PADDED = 65_536, 8
+LISTS = ("ul", "ol", "menu", "dir")
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+(?=>)|[^>]*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"(\*|[a-z][\w-]*)?([.#][\w-]+)?", re.I)
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -62,6 +72,7 @@ class _Flow:
         self.gap = False  # a blank line is due before the next text
         self.space = False  # a space is due before the next word
         self.indent = ""
+        self.lead = ""  # what stands before the marker
         self.marker = ""
 
     def text(self, s: str) -> None:
@@ -87,7 +98,7 @@ class _Flow:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
-        lead = self.indent[: len(self.indent) - len(self.marker)] + self.marker if self.marker else self.indent
+        lead = self.lead + self.marker if self.marker else self.indent
         self.marker = ""
         self.lines.append((lead + body).rstrip(" ") if body else lead.rstrip(" "))
 
@@ -109,120 +120,237 @@ class _Flow:
         return self.lines
 
 
-def _aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (lines, columns spanned) with columns as wide as their widest cell, up to MAX_CELL."""
-    width: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                width[at] = max(width.get(at, 0), min(MAX_CELL, max(map(len, lines), default=0)))
+class _Grid:
+    """Where cells stand: columns that a cell of an earlier row still covers are left out. Runs of them are kept in order."""
+
+    def __init__(self):
+        self.runs: list[list[int]] = []  # first column, column after the last, row after the last
+
+    def place(self, row: int, cells: list[tuple[list[str], int, int]]) -> list[tuple[int, int, list[str]]]:
+        """(first column, columns spanned, lines) of a row's cells."""
+        out, at, k, added = [], 0, 0, []
+        for lines, span, deep in cells:
+            while k < len(self.runs) and self.runs[k][0] <= at:
+                first, end, until = self.runs[k]
+                if until <= row:
+                    del self.runs[k]
+                    continue
+                at = max(at, end)
+                k += 1
+            out.append((at, span, lines))
+            if deep != 1:
+                added.append([at, at + span, row + deep if deep else 1 << 62])
             at += span
+        if added:
+            self.runs = sorted([r for r in self.runs if r[2] > row] + added)
+        return out
+
+
+def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells (lines, columns spanned, rows spanned) with columns as wide as their widest cell."""
+    grid = _Grid()
+    placed = [grid.place(k, row) for k, row in enumerate(rows)]
+    wide: dict[int, int] = {}
+    for row in placed:
+        for at, span, lines in row:
+            if span == 1:
+                wide[at] = max(wide.get(at, 0), max(map(len, lines), default=0))
+    columns = sorted(wide)
+    size = sum(len(x) + 3 for row in placed for _, _, lines in row for x in lines)
+    for limit in (None, MAX_CELL, 0):
+        ends = [0]
+        for c in columns:  # a column's width and the bar before it
+            ends.append(ends[-1] + (wide[c] if limit is None else min(limit, wide[c])) + 3)
+        upto = lambda at: ends[bisect_left(columns, at)]
+        if not limit and limit is not None:
+            break
+        if sum(max((len(lines) for *_, lines in row), default=0) * upto(row[-1][0]) for row in placed if row) <= PADDING + PADDED * size:
+            break
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            parts, at = [], 0
-            for lines, span in row:
-                wide = sum(width.get(c, 0) for c in range(at, at + min(span, 64))) + 3 * (min(span, 64) - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(wide))
-                at += span
-            out.append(" | ".join(parts).rstrip(" ") if any(p.strip() for p in parts) else "")
-    return [x for x in out if x]
+    for row in placed:
+        for k in range(max((len(lines) for *_, lines in row), default=0)):
+            parts, done = [], 0
+            if not any(k < len(lines) and lines[k].strip() for *_, lines in row):
+                continue
+            for at, span, lines in row:
+                if limit != 0 and upto(at) > done:  # columns that are covered or missing
+                    parts.append(" " * (upto(at) - done - 3))
+                    done = upto(at)
+                parts.append((lines[k] if k < len(lines) else "").ljust(max(0, upto(at + span) - done - 3) if limit != 0 else 0))
+                done = max(done, upto(at + span))
+            out.append(" | ".join(parts).rstrip(" "))
+    return out
+
+
+def _declared(style: str) -> dict[str, tuple[bool, bool]]:
+    """property -> (whether it hides, whether it is important): what a style says of display and visibility; the last counts."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for m in _DECLARED.finditer(style):
+        name, value, important = m[1].lower(), m[2].lower(), bool(m[3])
+        if important or not out.get(name, (False, False))[1]:
+            out[name] = (value == "none" if name == "display" else value in ("hidden", "collapse")), important
+    return out
+
+
+def _rules(page: str) -> dict[tuple[str, str], list[tuple[tuple[bool, int, int], str, bool]]]:
+    """(tag or "", class or id or "") -> (importance, weight of the selector, order), property, whether it hides; of the page's style elements."""
+    out: dict = {}
+    low, at, order = page.lower(), 0, 0
+    while (at := low.find("<style", at)) >= 0:
+        begin = low.find(">", at) + 1
+        end = low.find("</style", begin)
+        if not begin or end < 0:
+            break
+        text, at = page[begin:end], end
+        parts, k = [], 0
+        while (c := text.find("/*", k)) >= 0:
+            parts.append(text[k:c])
+            k = text.find("*/", c + 2)
+            k = len(text) if k < 0 else k + 2
+        depth, kept, start = 0, [], 0
+        text = "".join([*parts, text[k:]])
+        for m in re.finditer(r"[{}]", text):  # blocks inside blocks belong to at-rules
+            depth = depth + 1 if m[0] == "{" else max(0, depth - 1)
+            if depth == 0:
+                block, start = text[start : m.end()], m.end()
+                if block.count("{") == 1 and not block.lstrip().startswith("@"):
+                    kept.append(block)
+        for m in _RULE.finditer("".join(kept)):
+            if not (found := _declared(m[2])):
+                continue
+            for selector in m[1].split(","):
+                s = _SIMPLE.fullmatch(selector.strip())
+                if not s or not s[0]:
+                    continue
+                tag, mark = (s[1] or "").lower().replace("*", ""), s[2] or ""
+                weight = (100 if mark[:1] == "#" else 10 if mark else 0) + bool(tag)
+                for name, (hides, important) in found.items():
+                    order += 1
+                    held = out.setdefault((tag, mark), {})
+                    if name not in held or important >= held[name][0][0]:
+                        held[name] = ((important, weight, order), name, hides)
+    return {key: list(held.values()) for key, held in out.items()}
 
 
 class _Page:
-    def __init__(self):
-        self.open: list[tuple[str, bool, object]] = []  # element, whether it is seen, what to restore at its end
-        self.counts: dict[str, int] = {}
+    def __init__(self, rules: dict):
+        self.open: list[tuple[str, bool, bool, object]] = []  # element, whether display shows it and visibility, what to restore at its end
+        self.places: dict[str, list[int]] = {}  # of open elements, by name
         self.flows, self.tables = [_Flow()], []
         self.blocks = self.links = self.pre = 0
         self.title: list[str] = []
-        self.head_over = False
+        self.rules, self.counted = rules, []  # items of reversed lists, which are numbered at the end
 
     @property
     def flow(self) -> _Flow:
         return self.flows[-1]
 
-    def seen(self) -> bool:
-        return not self.open or self.open[-1][1]
+    def counts(self, name: str) -> int:
+        return len(self.places.get(name, ()))
+
+    def last(self, names) -> int:
+        """The place of the innermost open element of names, -1 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def styled(self, name: str, found: dict[str, str], shown: bool, visible: bool) -> tuple[bool, bool]:
+        """Whether display and visibility show an element, from what its attributes and its parent say, and the rules."""
+        said = []
+        if self.rules:
+            marks = ["", *("." + c for c in found.get("class", "").split()), *(["#" + found["id"]] if found.get("id") else [])]
+            said = [r for mark in dict.fromkeys(marks) for tag in ("", name) for r in self.rules.get((tag, mark), ())]
+        if found.get("style"):
+            said += [((important, 1000, 0), prop, hides) for prop, (hides, important) in _declared(found["style"]).items()]
+        for _, prop, hides in sorted(said):
+            if prop == "display":
+                shown = not hides
+            else:
+                visible = not hides
+        return shown, visible
 
     def start(self, name: str, attributes: str, closed: bool) -> None:
-        if name not in IN_HEAD and self.counts.get("head"):
+        if name not in IN_HEAD and self.counts("head"):
             self.pop_until({"head"}, set())
-        if name in CLOSES_P and self.counts.get("p"):
+        if name in CLOSES_P and self.counts("p"):
             self.pop_until({"p"}, {"td", "th", "table", "button"})
         if rule := ENDS.get(name):
-            while any(self.counts.get(x) for x in rule[0]) and self.pop_until(*rule):
+            while any(self.counts(x) for x in rule[0]) and self.pop_until(*rule):
                 pass
-        foreign = [x for x in FOREIGN_UNSEEN if self.counts.get(x)]
+        foreign = [x for x in FOREIGN_UNSEEN if self.counts(x)]
         if closed and (foreign or name in FOREIGN_UNSEEN):
             return
-        seen = self.seen() and name not in UNSEEN and not any(name in FOREIGN_UNSEEN[x] for x in foreign)
-        if name == "text" and foreign and seen:
+        above, visible = self.open[-1][1:3] if self.open else (True, True)
+        above = above and name not in UNSEEN and not any(name in FOREIGN_UNSEEN[x] for x in foreign)
+        if self.open and self.open[-1][0] == "details" and name != "summary" and not self.open[-1][3]:
+            above = False
+        if name == "text" and foreign and above:
             self.characters(" ")
-        link = False
-        start = 1
-        kind = "disc"
-        span = 1
-        if seen and attributes.strip(" /\t\n"):
-            found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
-            seen = not ("hidden" in found and found["hidden"].lower() != "until-found" or "style" in found and _HIDDEN.search(found["style"]))
-            link = "href" in found
-            start = int(found["start"]) if re.fullmatch(r"-?[0-9]{1,9}", found.get("start", "")) else 1
-            span = max(1, min(1000, int(found["colspan"]))) if re.fullmatch(r"[0-9]{1,6}", found.get("colspan", "")) else 1
-            closed = closed or name == "dialog" and "open" not in found
-            if name == "input" and found.get("type", "text").lower() in ("submit", "button", "reset") and seen:
-                self.flow.text(found.get("value", ""))
-            if name == "img" and seen and found.get("alt"):
-                self.flow.text(found["alt"])
-        elif name == "dialog":
-            seen = False
-        if self.open and self.open[-1][0] == "details" and name != "summary" and not self.open[-1][2]:
-            seen = False
+        found: dict[str, str] = {}
+        if above and attributes.strip(" /\t\n"):
+            for m in _ATTRIBUTE.finditer(attributes):
+                found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+        shown = above
+        if above and (found or self.rules or name == "dialog"):
+            own = not ("hidden" in found and found["hidden"].lower() != "until-found") and (name != "dialog" or "open" in found)
+            own, visible = self.styled(name, found, own, visible)
+            shown = own
+        seen = shown and visible
+        number = lambda key, otherwise: int(found[key]) if re.fullmatch(r"[+-]?[0-9]{1,9}", found.get(key, "").strip()) else otherwise
+        if name == "input" and seen and found.get("type", "text").lower() in ("submit", "button", "reset"):
+            self.flow.text(found.get("value", ""))
+        if name == "img" and seen and found.get("alt"):
+            self.flow.text(found["alt"])
         if name in VOID:
-            if seen and name == "br":
+            if shown and name == "br":
                 if self.flow.line or self.flow.marker:
                     self.flow.end_line()
                 else:
                     self.flow.end_line(True)
-            elif seen and name == "hr":
+            elif shown and name == "hr":
                 self.flow.margin()
-            elif seen and name == "wbr":
-                pass
             return
         kept = None
-        if seen:
-            self.links += name == "a" and link
+        if shown:
+            self.links += name == "a" and seen and "href" in found
             if name in BLOCK:
-                if name in MARGIN and not (name in ("ul", "ol") and self.counts.get("li")):
+                if name in MARGIN and not (name in ("ul", "ol") and self.counts("li")):
                     self.flow.margin()
                 elif name not in ("td", "th"):
                     self.flow.end_line()
-                self.blocks += 1
-            kept = self.enter(name, start, kind, span)
+                self.blocks += seen
+            kept = self.enter(name, number, "reversed" in found, visible)
         if name == "details":
-            kept = bool(re.search(r"(?:^|\s)open(?:\s|=|/|$)", attributes.lower()))
-        self.open.append((name, seen, kept))
-        self.counts[name] = self.counts.get(name, 0) + 1
+            kept = "open" in found
+        self.places.setdefault(name, []).append(len(self.open))
+        self.open.append((name, shown, visible, kept))
 
-    def enter(self, name: str, start: int, kind: str, span: int) -> object:
+    def enter(self, name: str, number, backwards: bool, visible: bool) -> object:
         flow = self.flow
-        if name in ("ul", "ol", "menu", "dir"):
-            return [start if name == "ol" else None, flow.indent]
+        if name in LISTS:
+            first = number("start", None if backwards else 1) if name == "ol" else None
+            kept = {"next": first, "step": -1 if backwards else 1, "count": None}
+            if name == "ol" and first is None:  # numbered down to 1: the first number is known at the end
+                kept["count"] = len(self.counted)
+                self.counted.append(0)
+            return kept
         if name == "li":
-            own = next((x for x in reversed(self.open) if x[0] in ("ul", "ol", "menu", "dir")), None)
+            at = self.last(LISTS)
+            own = self.open[at][3] if at >= 0 else None
             if flow.marker:
                 flow.emit("")
             mark = BULLET
-            if own and isinstance(own[2], list) and own[2][0] is not None:
-                mark = f"{own[2][0]}. "
-                own[2][0] += 1
-            before = flow.indent
-            if len(before) < MAX_INDENT:
-                flow.indent = before + " " * len(mark)
-                flow.marker = mark
-            else:
-                flow.marker = ""
+            if own and self.open[at][0] == "ol":
+                if (value := number("value", None)) is not None:
+                    own["next"], own["count"] = value, None
+                if own["count"] is not None:
+                    mark = f"\0{own['count']}:{self.counted[own['count']]}. "
+                    self.counted[own["count"]] += 1
+                else:
+                    mark = f"{own['next']}. "
+                    own["next"] += own["step"]
+            before = flow.indent, flow.lead
+            flow.lead, flow.marker = flow.indent, mark if visible else ""
+            if len(flow.indent) < MAX_INDENT:
+                flow.indent += " " * (len(mark) if mark[0] != "\0" else 3)
             return before
         if name in ("blockquote", "dd"):
             before = flow.indent
@@ -239,17 +367,18 @@ class _Page:
             if not self.tables[-1]:
                 self.tables[-1].append([])
             self.flows.append(_Flow())
-            return span
+            deep = number("rowspan", 1)
+            return max(1, min(1000, number("colspan", 1))), deep if 0 <= deep <= 65534 else 1
         return None
 
-    def leave(self, name: str, seen: bool, kept: object) -> None:
-        if not seen:
+    def leave(self, name: str, shown: bool, kept: object) -> None:
+        if not shown:
             return
         flow = self.flow
         if name in ("td", "th") and self.tables and kept:
             lines = self.flows.pop().rendered()
             if self.tables[-1]:
-                self.tables[-1][-1].append((lines, kept))
+                self.tables[-1][-1].append((lines, *kept))
             return
         if name == "table" and self.tables:
             loose = self.flows.pop().rendered()
@@ -261,45 +390,42 @@ class _Page:
         if name == "pre":
             self.pre = max(0, self.pre - 1)
         if name in BLOCK:
-            if name in MARGIN and not (name in ("ul", "ol") and self.counts.get("li")):
+            if name in MARGIN and not (name in ("ul", "ol") and self.counts("li")):
                 flow.margin()
             else:
                 flow.end_line()
         if name == "li":
             if flow.marker:
                 flow.emit("")
-            flow.indent = kept
+            flow.indent, flow.lead = kept
         elif name in ("blockquote", "dd"):
             flow.indent = kept
 
-    def pop(self) -> str:
-        name, seen, kept = self.open.pop()
-        self.counts[name] -= 1
-        self.leave(name, seen, kept)
-        return name
+    def pop(self) -> None:
+        name, shown, _, kept = self.open.pop()
+        self.places[name].pop()
+        self.leave(name, shown, kept)
 
     def pop_until(self, names: set[str], limits: set[str]) -> bool:
         """End the innermost open element of names, and all inside it, unless one of limits is in between."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in names:
-                while len(self.open) > i:
-                    self.pop()
-                return True
-            if self.open[i][0] in limits:
-                return False
-        return False
+        at = self.last(names)
+        if at < 0 or self.last(limits) > at:
+            return False
+        while len(self.open) > at:
+            self.pop()
+        return True
 
     def end(self, name: str) -> None:
         if name == "br":
             return self.start("br", "", False)
-        if name == "p" and not self.counts.get("p"):
+        if name == "p" and not self.counts("p"):
             self.start("p", "", False)
-        if self.counts.get(name):
+        if self.counts(name):
             inside = {"td", "th", "table"} if name not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html") else {"table"} if name != "table" else set()
             self.pop_until({name}, inside - {name})
 
     def characters(self, s: str) -> None:
-        if not self.seen() or self.open and self.open[-1][0] == "details" and not self.open[-1][2]:
+        if self.open and not (self.open[-1][1] and self.open[-1][2]) or self.open and self.open[-1][0] == "details" and not self.open[-1][3]:
             return
         if self.pre:
             self.flow.verbatim(s)
@@ -309,7 +435,8 @@ class _Page:
 
 def render(page: str) -> tuple[str, str | None, int, int]:
     """Text, title, number of blocks and of links of a page."""
-    p, at, n = _Page(), 0, len(page)
+    page = page.replace("\0", "\ufffd")
+    p, at, n = _Page(_rules(page) if "<style" in page.lower() else {}), 0, len(page)
     last = page.rfind(">")
     while at < n:
         if at > last and page[at] == "<" and page[at + 1 : at + 2] not in ("!", "?"):  # no tag can end any more
@@ -321,12 +448,12 @@ def render(page: str) -> tuple[str, str | None, int, int]:
             name = m[2].lower()
             if m[1]:
                 p.end(name)
-                if name == "text" and p.counts.get("svg"):
+                if name == "text" and p.counts("svg"):
                     p.characters(" ")
                 continue
             p.start(name, m[3], m[3].endswith("/"))
             if name in RAW:
-                close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at) if name != "plaintext" else None
+                close = _CLOSE[name].search(page, at) if name != "plaintext" else None
                 inner = page[at : close.start() if close else n]
                 if name in RAW_SEEN:
                     p.pre += 1
@@ -344,7 +471,10 @@ def render(page: str) -> tuple[str, str | None, int, int]:
         lines = p.flows.pop().rendered()
         for line in lines:
             p.flow.emit(line)
-    return "\n".join(p.flow.rendered()).strip("\n"), p.title[0] if p.title else None, p.blocks, p.links
+    text = "\n".join(p.flow.rendered()).strip("\n")
+    if p.counted:
+        text = re.sub(r"\0([0-9]+):([0-9]+)", lambda m: str(p.counted[int(m[1])] - int(m[2])), text)
+    return text, p.title[0] if p.title else None, p.blocks, p.links
 
 
 def _render():
