@@ -172,3 +172,37 @@ def test_boxes_enter_the_ledger_after_their_run(spark, tmp_path):
     go(1, lambda todo: ran.extend(r.name for r in todo.collect()))
     go(2, lambda todo: ran.append("again"))
     assert sorted(ran) == ["box_000", "box_001"] and {r.version for r in spark.read.parquet(str(tmp_path / "ledger")).collect()} == {1}
+
+
+def test_vectors_cache_and_frozen_tiles(spark, tmp_path):
+    from vespera.sources import vectors
+
+    rows = vectors.bit_vectors(spark, {"production": LAYOUT, "wide": BitLayout(200, 360, 2)}, [233, 270, 310, 203])
+    got = {(r.config, r.azimuth): (r.bit_index, r.byte_offset, r["mask"]) for r in rows.collect()}
+    assert got["production", 270.0] == (37, 4, 32) and got["production", 310.0] == (None, None, None) and got["production", None] == (77, 9, 32)
+    assert got["wide", 203.0] == (2, 0, 4) and got["wide", None] == (81, 10, 2)
+    vectors.write_vectors_header(spark, rows, str(tmp_path / "v.h"))
+    assert '{"production", 270, 37, 4, 32},' in (tmp_path / "v.h").read_text()
+    loads, counter = [], spark.sparkContext.accumulator(0)
+    cache = vectors.TileCache(lambda k: loads.append(k) or k, 2, counter)
+    assert [cache(k) for k in ((1, 1), (2, 2), (1, 1), (3, 3), (1, 1), (2, 2))][-1] == (2, 2)
+    assert loads == [(1, 1), (2, 2), (3, 3), (2, 2)] and cache.missed == counter.value == 4
+    tiles_of = spark.createDataFrame([(1, 1, 5), (2, 2, 6)], "south int, west int, v int")
+    assert [r.v for r in vectors.frozen(tiles_of, spark.createDataFrame([(1, 1), (9, 9)], "south int, west int")).collect()] == [5]
+
+
+def test_rasterised_runs_are_the_cells_of_fill(spark):
+    ring = [(36.05, -121.95), (36.05, -121.1), (36.7, -120.4), (36.95, -121.9)]
+    edges = spark.createDataFrame([(1, a[1], a[0], b[1], b[0]) for a, b in zip(ring, ring[1:] + ring[:1])], "poly int, x0 double, y0 double, x1 double, y1 double")
+    index = water.tile_index(spark.createDataFrame([(1, -121.95, 36.05, -120.4, 37.0)], "poly int, west double, south double, east double, north double"))
+    assert {(r.south, r.west) for r in index.collect()} == {(36, -122), (36, -121)}
+    rows = {(r.west, r.r, c) for r in water.rasterised(edges, index, 20).collect() for c in range(20) if r.words[c // 32] >> c % 32 & 1}
+    inside = set()
+    for west in (-122, -121):
+        for r in range(20):
+            for c in range(20):
+                y, x = 37 - (r + 0.5) / 20, west + (c + 0.5) / 20
+                crossings = sum((a[0] > y) != (b[0] > y) and x < a[1] + (y - a[0]) * (b[1] - a[1]) / (b[0] - a[0]) for a, b in zip(ring, ring[1:] + ring[:1]))
+                if crossings % 2:
+                    inside.add((west, r, c))
+    assert rows == inside

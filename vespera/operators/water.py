@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vespera.operators.rasters import without_cells
+from vespera.operators.rasters import cover, fill_runs, without_cells
 
 TILE_CELLS = 10_800
 
@@ -27,6 +29,36 @@ def pack_rows(cells: DataFrame) -> DataFrame:
     return rows.select("south", "west", "r", full.alias("words"))
 
 
+def tile_index(polygons: DataFrame) -> DataFrame:
+    """poly, south, west of the one-degree tiles that the bounds of polygons (poly, west, south, east, north) overlap; an edge on a tile's border doesn't reach into the next."""
+    return cover(polygons.select("poly", "south", "north", "west", "east")).select("poly", F.col("lat").alias("south"), F.col("lon").alias("west"))
+
+
+def rasterised(edges: DataFrame, index: DataFrame, cells: int = TILE_CELLS) -> DataFrame:
+    """south, west, r, words: the cells of tiles whose centres lie in polygons, as pack_rows has them; rows without any have no row.
+
+    edges: poly, x0, y0, x1, y1 in degrees; index: poly, south, west. Polygons meet tiles by an equi-join, and a tile's row is
+    set run by run, never cell by cell.
+    """
+    at = edges.join(index, "poly")
+    px, py = lambda c: (F.col(c) - F.col("west")) * cells, lambda c: (F.col("south") + 1 - F.col(c)) * cells
+    at = at.select("poly", "south", "west", px("x0").alias("x0"), py("y0").alias("y0"), px("x1").alias("x1"), py("y1").alias("y1"))
+    runs = fill_runs(at, cells, cells, ("poly", "south", "west"))
+
+    @F.arrow_udf("array<long>")
+    def packed(rows: pa.Array) -> pa.Array:
+        out = []
+        for row in rows:
+            bits = np.zeros(-(-cells // 32) * 32, np.uint8)
+            for r in row.as_py():
+                bits[r["a"] : r["b"] + 1] = 1
+            out.append(np.packbits(bits, bitorder="little").view("<u4").astype(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    rows = runs.groupBy("south", "west", F.col("row").alias("r")).agg(F.collect_list(F.struct("a", "b")).alias("g"))  # a row's runs: half its cells at most for each polygon
+    return rows.select("south", "west", "r", packed("g").alias("words"))
+
+
 def water_at(points: DataFrame, rows: DataFrame, tiles: DataFrame, cells: int = TILE_CELLS) -> DataFrame:
     """points (lat, lon, ...) with water. A tile that is not among tiles (south, west) is all water; a row without words has none."""
     out = points.withColumns({"south": F.floor("lat").cast("int"), "west": F.floor("lon").cast("int")})

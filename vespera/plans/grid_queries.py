@@ -253,3 +253,16 @@ def left_over_files_j11(spark, sf_dir):
     k = F.col("c_custkey")
     ending = F.when(k % 3 == 0, ".tif").when(k % 3 == 1, ".tif.json").otherwise(".txt")
     return runs.left_over(_table(spark, sf_dir, "customer").select(F.concat(F.lit("box_"), F.lpad(k.cast("string"), 4, "0"), ending).alias("name")), 40)
+
+
+@query("""WITH p AS (SELECT n_nationkey AS poly, -122.83 + n_nationkey % 5 * 0.37::DOUBLE AS w, 36.11 + n_nationkey % 7 * 0.29::DOUBLE AS s, 0.31 + n_nationkey % 4 * 0.22::DOUBLE AS size FROM nation), c AS (SELECT la, lo, r, c, la + 1 - (r + 0.5) / 40.0::DOUBLE AS y, lo + (c + 0.5) / 40.0::DOUBLE AS x FROM range(35, 40) a(la), range(-124, -119) b(lo), range(0, 40) d(r), range(0, 40) e(c))
+SELECT la::INT AS south, lo::INT AS west, count(DISTINCT (r, c))::BIGINT AS n_water FROM c JOIN p ON x > w AND x < w + size AND y > s AND y < s + size GROUP BY la, lo""")
+def ocean_tiles_s6_j5_j6_a10(spark, sf_dir):
+    """Water cells of the tiles that squares overlap."""
+    k = F.col("n_nationkey")
+    p = _table(spark, sf_dir, "nation").select(k.alias("poly"), (F.lit(-122.83) + k % 5 * F.lit(0.37)).alias("west"), (F.lit(36.11) + k % 7 * F.lit(0.29)).alias("south"), (F.lit(0.31) + k % 4 * F.lit(0.22)).alias("size"))
+    p = p.withColumns({"east": F.col("west") + F.col("size"), "north": F.col("south") + F.col("size")})
+    ring = [F.struct(F.col(a).alias("x0"), F.col(b).alias("y0"), F.col(c).alias("x1"), F.col(d).alias("y1")) for a, b, c, d in (("west", "south", "east", "south"), ("east", "south", "east", "north"), ("east", "north", "west", "north"), ("west", "north", "west", "south"))]
+    rows = water.rasterised(p.select("poly", F.explode(F.array(*ring)).alias("e")).select("poly", "e.*"), water.tile_index(p), 40)
+    wet = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
+    return rows.groupBy("south", "west").agg(F.sum(wet).alias("n_water"))

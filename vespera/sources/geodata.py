@@ -181,12 +181,20 @@ def _shapes(data: bytes) -> Iterator[tuple]:
 
 
 def _polygons(spark: SparkSession, path: str, parse) -> DataFrame:
+    names = ["poly", "west", "south", "east", "north", "rings"]
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for f in batch.itertuples():
                 try:
+                    held = []
                     for p in parse(f.content):
-                        yield pd.DataFrame([p], columns=["poly", "west", "south", "east", "north", "rings"])
+                        held.append(p)
+                        if len(held) == 500:
+                            yield pd.DataFrame(held, columns=names)
+                            held = []
+                    if held:
+                        yield pd.DataFrame(held, columns=names)
                 except ValueError as e:
                     raise ValueError(f"cannot read polygons of {f.path}: {e}") from e
 
