@@ -22,10 +22,11 @@ SEPARATORS = b" \t\n\x0b\x0c\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COLUMNS = (*COUNTS, "base_failed", "host_rate", "kept")
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: A host goes when its shrunk failure rate is over the prior's mean by this many of the prior's standard deviations. That
+#: A host goes when its shrunk failure rate is over the prior's mean by this many of the prior's standard deviations (bad
+#: hosts widen it themselves). That
 #: limit is kept between these rates: where most of its documents fail, those that pass are not trusted either, and a prior
 #: so wide that no rate stands out from it excuses no host that fails nearly always.
-MAX_SPREAD, LEAST_RATE, MOST_RATE = 3.0, 0.5, 0.9
+MAX_SPREAD, LEAST_RATE, MOST_RATE = 2.0, 0.5, 0.9
 #: Verdicts are broadcast up to this many rejected hosts, and joined by a shuffle beyond.
 BROADCAST_HOSTS = 50_000
 

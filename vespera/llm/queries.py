@@ -103,7 +103,7 @@ WITH w AS (
 ), strength AS (
   SELECT m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS s FROM prior
 ), verdicts AS (
-  SELECT source, (f + m * s) / (n + s) >= least(0.9, greatest(0.5, m + 3 * sqrt(m * (1 - m) / (s + 1)))) AS bad FROM hosts, strength
+  SELECT source, (f + m * s) / (n + s) >= least(0.9, greatest(0.5, m + 2 * sqrt(m * (1 - m) / (s + 1)))) AS bad FROM hosts, strength
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source

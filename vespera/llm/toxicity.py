@@ -4,8 +4,8 @@ Texts are TF-IDF vectors over all words of a bounded sample of labelled document
 (1 + ln tf) * idf * |delta|: idf from document frequencies over all documents, and delta the smoothed log
 ratio of the word's document frequencies in the two classes, as in Delta TF-IDF. No word of the sample
 is left out, and any other word has a delta of zero. Examples are kept in an inverted index whose
-postings are cut into blocks with the greatest weight of each, so that blocks that cannot reach the best
-K are skipped while the K largest cosines stay exact. The neighbours' votes, weighted by squared cosine
+postings are cut into blocks with the greatest weight of each, so that blocks and examples that cannot
+reach the best K are skipped while the K largest cosines stay exact. The neighbours' votes, weighted by squared cosine
 and by how often their class occurs, are their evidence.
 
 A logistic curve maps votes to scores. It is fitted on the examples, each voted on by the others, so a
@@ -30,10 +30,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vespera.llm.common import bounded_batches, durable, unused, without
 
 #: Bounds of the labelled sample, by class.
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
+MAX_TOXIC, MAX_CLEAN = 1000, 2000
 #: Examples that a class frequency is smoothed with; neighbours; examples in a block of the index.
 SMOOTHING, K, BLOCK, THRESHOLD = 5.0, 16, 64, 0.7
 COLUMNS = ("held_out", "score", "predicted", "evidence")
+#: Terms that one in so many examples has are common, and how many of these are held as dense rows.
+COMMON, COMMON_TERMS = 8, 1024
 #: Bytes that belong to words: digits, lower-case letters and all of other scripts.
 _SPACED = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 #: Votes that a worker remembers, for copies of texts.
@@ -51,49 +53,62 @@ def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over sparse unit vectors: each term's postings in blocks of examples, each block with its greatest weight."""
+    """Exact top-k cosine over sparse unit vectors.
+
+    Terms that one in COMMON examples has are rows of a dense matrix, COMMON_TERMS at most: one product gives what they add to
+    every cosine. Postings of the others stand in blocks of examples, each with its greatest weight. No cosine falls as terms
+    are added, so the k-th greatest sum so far rules out the blocks whose bounds stay below it.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         """vectors: terms and weights of each example."""
-        sizes = [len(t) for t, _ in vectors]
+        self.n, self.blocks, self.block = len(vectors), -(-len(vectors) // block), block
         term = np.concatenate([np.empty(0, np.int64), *[t for t, _ in vectors]])
-        example = np.repeat(np.arange(len(vectors)), sizes)
+        example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
         weight = np.concatenate([np.empty(0), *[w for _, w in vectors]])
+        held = np.bincount(term, minlength=n_terms)
+        common = np.argsort(-held, kind="stable")[:COMMON_TERMS]
+        common = common[held[common] * COMMON >= max(1, self.n)]
+        self.row = np.full(n_terms, -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n))
+        dense = self.row[term] >= 0
+        self.dense[self.row[term[dense]], example[dense]] = weight[dense]
+        term, example, weight = term[~dense], example[~dense], weight[~dense]
         order = np.lexsort((example, term))
         term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
         number = self.example // block
         starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (number[1:] != number[:-1])]) if len(term) else np.empty(0, np.int64)
-        self.begin, self.length = starts, np.diff(np.r_[starts, len(term)])
-        self.number = number[starts]
+        self.begin, self.length, self.number = starts, np.diff(np.r_[starts, len(term)]), number[starts]
         self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.empty(0)
         self.first = np.searchsorted(term[starts], np.arange(n_terms + 1))  # a term's blocks
-        self.n, self.blocks, self.block = len(vectors), -(-len(vectors) // block), block
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k greatest cosines over 0, best first; equal ones by example. skip: an example that is left out."""
-        size = self.first[terms + 1] - self.first[terms]
-        parts, scale = _spread(self.first[terms], size), np.repeat(weights, size)
-        bound = np.bincount(self.number[parts], self.most[parts] * scale, self.blocks) * (1 + 1e-9)
-        order = np.argsort(-bound, kind="stable")
-        found, scores, at, step = np.empty(0, np.int64), np.empty(0), 0, max(1, -(-4 * k // self.block))
-        while at < len(order) and bound[order[at]] > 0:
-            least = scores[-1] if len(found) == k else 0.0
-            if bound[order[at]] < least:
-                break  # no block that follows can reach the best k
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[at : at + step]] = True
-            keep = chosen[self.number[parts]] & (bound[self.number[parts]] >= least)
-            own = parts[keep]
-            places = _spread(self.begin[own], self.length[own])
-            cosine = np.bincount(self.example[places], self.weight[places] * np.repeat(scale[keep], self.length[own]), self.n)
-            if 0 <= skip < self.n:
-                cosine[skip] = 0.0
-            new = np.flatnonzero(cosine)
-            found, scores = np.r_[found, new], np.r_[scores, cosine[new]]
-            best = np.lexsort((found, -scores))[:k]
-            found, scores = found[best], scores[best]
-            at, step = at + step, self.blocks  # what can still reach them, at once
-        return list(zip(scores.tolist(), found.tolist()))
+        if not self.n:
+            return []
+        row = self.row[terms]
+        query = np.zeros(len(self.dense))
+        query[row[row >= 0]] = weights[row >= 0]
+        cosine = query @ self.dense
+        if skip >= 0:
+            cosine[skip] = 0.0
+        least = float(np.partition(cosine, self.n - k)[self.n - k]) * (1 - 1e-9) if self.n > k else 0.0
+        rare, scale = terms[row < 0], weights[row < 0]
+        size = self.first[rare + 1] - self.first[rare]
+        parts, scale = _spread(self.first[rare], size), np.repeat(scale, size)
+        bound = np.maximum.reduceat(cosine, np.arange(0, self.n, self.block)) + np.bincount(self.number[parts], self.most[parts] * scale, self.blocks)
+        keep = bound[self.number[parts]] >= least
+        own = parts[keep]
+        places = _spread(self.begin[own], self.length[own])
+        cosine += np.bincount(self.example[places], self.weight[places] * np.repeat(scale[keep], self.length[own]), self.n)
+        if skip >= 0:
+            cosine[skip] = 0.0
+        if self.n > k:
+            least = max(least, float(np.partition(cosine, self.n - k)[self.n - k]))
+        near = np.flatnonzero((cosine >= least) & (cosine > 0))
+        near = near[np.lexsort((near, -cosine[near]))[:k]]
+        return list(zip(cosine[near].tolist(), near.tolist()))
 
 
 class NearestExamples:
@@ -113,8 +128,10 @@ class NearestExamples:
         self.slope, self.offset = self.fitted(vectors) if all(mass) else (1.0, 0.0)
 
     def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        found = [i for i in map(self.words.get, split_words(text)) if i is not None]
-        return np.unique(np.array(found, np.int64), return_counts=True)
+        found = np.array([i for i in map(self.words.get, split_words(text)) if i is not None], np.int64)
+        found.sort()
+        at = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else found
+        return found[at], np.diff(np.r_[at, len(found)])
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.weight[terms]
