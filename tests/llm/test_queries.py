@@ -267,3 +267,25 @@ def test_written_tables_can_be_released(spark):
 def test_scratch_names_avoid_those_of_the_input(spark):
     df = spark.createDataFrame([(1, "a", "b")], "doc_id long, __doc string, __DOC_ string")
     assert common.unused(df, "doc") == "___doc" or common.unused(df, "doc").lower() not in {c.lower() for c in df.columns}
+
+
+# Pipeline
+
+
+def test_pipeline_with_nulls_repeats_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    text = lambda n=40: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    lost, twice, copied, passage = [text() for _ in range(3)], text(), text(60), text(12)
+    rows = [(None, t, "en", None, None) for t in lost] + [(1, twice, None, "s", 3)] * 2 + [(2, None, "en", "s", 0), (3, "", "en", "s", 0), (None, None, None, None, None)]
+    rows += [(5, copied, "en", "s", 1), (4, copied + " one", "en", "s", 1), (None, copied, "en", "s", 1), (6, text(9) + " " + passage + " " + text(9), "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    put(spark, tmp_path / "a", "documents", rows, schema)
+    put(spark, tmp_path / "a", "benchmark", [(1, passage), (2, None), (None, "")], "item_id long, text string")
+    library = pieces.PieceModel(pieces.load_model()).library
+    want = sorted([(None, library.encode(t)) for t in lost] + [(1, library.encode(twice)), (4, library.encode(copied + " one"))], key=repr)
+    assert sorted(((r.doc_id, r.ids) for r in corpus_pipeline.run(spark, str(tmp_path / "a")).collect()), key=repr) == want
+    put(spark, tmp_path / "b", "documents", [], schema)
+    put(spark, tmp_path / "b", "benchmark", [], "item_id long, text string")
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).collect() == []
