@@ -104,7 +104,7 @@ def _seen(pages: DataFrame, min_bytes: int) -> DataFrame:
 def revisits(seen: DataFrame) -> DataFrame:
     """key, sha, refers_to of the records whose payload another record holds. Only digests are grouped and joined; a payload that much of all rows have stays where it is."""
     first = seen.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 AND refers_to IS NOT NULL")  # min ignores null ids
-    return spread_join(seen, first, ["sha"], seen.count()).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("key", "sha", "refers_to").distinct()
+    return spread_join(seen, durable(first, "payloads"), ["sha"], seen.count()).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("key", "sha", "refers_to").distinct()
 
 
 def sampled(pages: DataFrame, seen: DataFrame) -> list[bytes]:
@@ -134,7 +134,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, archive_
 
     total = source.agg(F.sum(F.length("payload") + 512)).first()[0] or 0
     n = max(1, -(-total // archive_bytes))
-    refers = revisits(seen).repartition(n, "key", "sha")
+    refers = durable(revisits(seen), "revisits").repartition(n, "key", "sha")  # of known size: the join is not planned anew, which would shuffle payloads again
     rows = source.withColumn("key", id_key("page_id")).repartition(n, "key", "sha").join(refers, ["key", "sha"], "left")
     rows.select("page_id", "url", "payload", "refers_to").mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
