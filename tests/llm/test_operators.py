@@ -211,6 +211,15 @@ def test_links_and_crowded_buckets(spark, crowd):
     assert {r.node: r.label for r in simhash.components(edges).collect()} == {n: want[n] for p in pairs for n in p}
 
 
+def test_exploded_tables_are_not_broadcast(spark, tmp_path):
+    spark.range(1, 100).selectExpr("id * 7919 AS fp").write.parquet(str(tmp_path / "fps"))
+    fps = spark.read.parquet(str(tmp_path / "fps"))  # its size is known, and far below the threshold
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    for df in (simhash.links(fps), simhash._through_centres(fps)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_decontamination(docs, none, spark):
     items = [(1, ITEM), (2, ITEM), (10, "short item"), (11, None), (12, "..."), (1, ITEM)]
     def words(t):

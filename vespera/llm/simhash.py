@@ -11,6 +11,9 @@ MAX_BUCKET fingerprints emits no pairs: its members link through the values with
 which gives the same components (two fingerprints share such a value exactly if they are within 4 bits)
 with rows in proportion to the members.
 
+Spark takes an exploded table for as small as what it is made of, and would broadcast it where that is below
+spark.sql.autoBroadcastJoinThreshold; so joins of such tables are merge joins by a hint.
+
 Null texts have no words, and texts without words have fingerprint 0. Rows with the same doc_id but
 several texts keep a row each and are one node apiece. A null doc_id stays null and names a component
 only if no other id is in it. Only doc_id and the text column of the input are used.
@@ -74,7 +77,7 @@ def _through_centres(fps: DataFrame) -> DataFrame:
     near = F.transform(pairs, lambda mask: F.col("fp").bitwiseXOR(mask))
     listed = fps.select("fp", F.explode(F.concat(F.array("fp"), near)).alias("centre"))
     least = listed.groupBy("centre").agg(F.min("fp").alias("least"))
-    return listed.join(least, "centre").filter("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    return listed.join(least.hint("merge"), "centre").filter("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -100,7 +103,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET
     own = F.when(apart == 0, F.col("key") == F.shiftrightunsigned("fp", 32)).otherwise(F.col("key") <= F.col("key").bitwiseXOR(apart))
     once = F.when(first, own).otherwise(F.bit_count(apart) > 2)
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits
-    pairs = left.join(r, "key").filter((F.col("fp") < F.col("other")) & close & once).select(F.col("fp").alias("u"), F.col("other").alias("v"))
+    pairs = left.join(r.hint("merge"), "key").filter((F.col("fp") < F.col("other")) & close & once).select(F.col("fp").alias("u"), F.col("other").alias("v"))
     if extra is not None:
         pairs = pairs.union(extra.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
     return pairs.distinct()
