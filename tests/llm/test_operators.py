@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -193,6 +194,45 @@ def test_near_dedup_stage_is_brute_force_jaccard(spark, frequent):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()) == want
 
 
+def test_near_dedup_stage_goes_through_simhash(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(3000)]
+    texts = [" ".join(base[:i] + [word()] + base[i:]) for i in range(300, 3000, 700)] + [" ".join(word() for _ in range(50)) for _ in range(3)] + ["one two", "One two"]
+    fps = {simhash.fingerprint(t, 5) for t in texts}
+    near = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4}
+    assert near
+    asked, found, links = [], [], simhash.links
+
+    def spied(fps, *options):
+        out = links(fps, *options)
+        asked.extend(r.fp & (2**64 - 1) for r in fps.collect())
+        found.extend(tuple(sorted((r.u & (2**64 - 1), r.v & (2**64 - 1)))) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(simhash, "links", spied)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()) == [0, *range(len(texts) - 5, len(texts) - 1)]
+    assert sorted(asked) == sorted(fps) and set(found) == near
+
+
+def test_near_dedup_stores_less_than_its_input(spark, tmp_path):
+    """A passage that all texts share has frequent shingles; the sets of all these texts are not stored for that."""
+    from vespera.llm import common
+
+    rng = random.Random(19)
+    passage = " ".join(f"shared{i}" for i in range(300))
+    texts = [passage + " " + " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(700)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    common.release(spark)
+    assert near_copies.drop_near_copies(df).count() == len(texts)
+    stored = sum(f.stat().st_size for path in common._WRITTEN[spark.sparkContext.applicationId] for f in Path(path.removeprefix("file://")).rglob("*.parquet"))
+    common.release(spark)
+    assert stored < sum(map(len, texts))
+
+
 @pytest.mark.parametrize("crowd", [2048, 3])
 def test_links_and_crowded_buckets(spark, crowd):
     rng = random.Random(5)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -62,6 +63,18 @@ def kept_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession):
+    """Inside, Spark deletes the shuffle files of a query when that has run, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
 def release(spark: SparkSession) -> int:
     """Deletes what the operators have written in the shared folder and returns the number of paths. For when all results are stored: DataFrames that operators returned can't be read afterwards."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])

@@ -33,20 +33,27 @@ MAX_BUCKET = 2048
 SEGMENT = (1 << 32) - 1
 
 
-def fingerprint(text: str | None, k: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    """A hash for each of the text's shingles, repeats included."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and the six separators
     n = len(words)
     if not n:
-        return 0
+        return np.empty(0, np.uint64)
     k, joined, ends = min(k, n), b" ".join(words), np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[: n - k].tolist()]
-    stops = (ends[k - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    total, half = np.zeros(64, np.int64), n - k + 1
-    for i in range(0, half, 1 << 16):  # very long texts a piece at a time
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + (1 << 16)], stops[i : i + (1 << 16)])], np.uint64)
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > half, bitorder="little").tobytes(), "little")
+    starts, stops, digest = [0, *ends[: n - k].tolist()], (ends[k - 1 :] - 1).tolist(), xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n - k + 1)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):  # very long texts a piece at a time
+        total += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(h), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, k: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, k))
 
 
 def _fingerprints(k: int):
