@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import pstats
 import random
 import re
 import time
@@ -125,6 +126,32 @@ def test_pieces_with_clashing_names(spark):
     assert sorted((r.doc_id or 0, r.ids or [], r.n_ids or 0, r["__row"] or "") for r in out) == sorted((d or 0, library.encode(t) if t else [], len(library.encode(t)) if t else 0, r or "") for d, t, _, _, r in rows)
 
 
+def test_texts_are_encoded_once(spark, tmp_path):
+    """Decoding reads the ids of the same batch; its texts aren't encoded a second time."""
+    rows = [(i, f"some words and number {i}" if i % 7 else None) for i in range(50)]
+    spark.conf.set("spark.sql.pyspark.udf.profiler", "perf")
+    try:
+        out = pieces.decode_pieces(pieces.encode_pieces(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))).collect()
+        spark.profile.dump(str(tmp_path), type="perf")
+    finally:
+        spark.conf.unset("spark.sql.pyspark.udf.profiler")
+        spark.profile.clear()
+    calls = [(*key, n) for f in tmp_path.rglob("*.pstats") for key, (n, *_) in pstats.Stats(str(f)).stats.items()]
+    assert sorted((r.doc_id, r.decoded) for r in out) == rows
+    assert sum(n for file, _, name, n in calls if file.endswith("pieces.py") and name == "encode") == 1
+
+
+def test_words_side_by_side_are_the_library():
+    model = pieces.PieceModel(pieces.load_model())
+    rng = random.Random(8)
+    letters = ["abcdeth", "theingon", "aé字😀\nb", "zzzz0123", "ab \u2581", "\t▁a"]
+    words = list({"".join(rng.choice(x) for _ in range(rng.randint(1, 60))) for x in letters for _ in range(400)})
+    words = [w for w in words if w.rstrip(" \u2581") == w]
+    assert any(len(w) >= pieces.SHORT for w in words)
+    assert [np.frombuffer(x, np.int32).tolist() for x in model.segmented(words)] == model.library.encode(words)
+    assert model.segmented([]) == [] and model.segmented(words[:1]) == model.segmented(words)[:1]
+
+
 # Quality, lines
 
 

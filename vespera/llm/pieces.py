@@ -14,9 +14,9 @@ stand that test and has no weight (minus infinity) otherwise, and one path is le
 No piece goes on across a space that follows another character (the model is checked for that). Inside a
 chunk the lattice therefore narrows to one state at each such place: the matrix is the sweep from the left
 boundary to the first of them, plus the weight of the words in between, plus the sweep from the last of
-them to the right boundary. Words in between are segmented by the merges (long ones and those of unigram
-models by a sweep) and remembered. A chunk without such a place is swept whole. The library encodes
-documents of CHUNK code points or fewer, and those alone.
+them to the right boundary. Words in between are segmented by the merges, those of a batch of chunks side by
+side (long ones and those of unigram models by a sweep), and remembered. A chunk without such a place is swept
+whole. The library encodes documents of CHUNK code points or fewer, and those alone.
 
 Null texts have null ids, empty texts none. Encoding is that of the model's options (dummy prefix, byte
 fallback); decoding gives the text back if the model's normalisation is the identity, except that a
@@ -29,8 +29,8 @@ from __future__ import annotations
 import re
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -45,7 +45,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, FAN = 16_384, 64
 #: Words that an encoder remembers, and the longest remembered; words up to SHORT are segmented by the merges alone.
 CACHE, REMEMBERED, SHORT = 200_000, 256, 48
-#: Chunks that a task of the scan takes, and up to how many chunks their states, 20 bytes each, are broadcast.
+#: Chunks that a task of the scan takes and whose words it holds at once, and up to how many chunks their states, 20 bytes each, are broadcast.
 CHUNKS_A_TASK, BROADCAST_CHUNKS = 64, 500_000
 BPE, UNIGRAM = 2, 1
 SPACE = "▁"
@@ -84,7 +84,8 @@ class PieceModel:
         self.raw_bytes = pa.array(self.raw, pa.binary())
         self.fits = lru_cache(1 << 16)(self._fits)
         self._stable: dict[str, bool] = {}
-        self.words: dict[str, tuple[float, bytes]] = {}
+        self.weighed: dict[str, tuple[float, bytes]] = {}
+        self.words = Words(self.segmented)
         #: whether a piece begins with the space
         self.heads = np.array([p.startswith(SPACE) for p in self.pieces])
 
@@ -171,21 +172,101 @@ class PieceModel:
         return total, parts
 
     def word(self, s: str) -> tuple[float, bytes]:
-        """Weight and ids of a text between two places that no piece crosses; remembered."""
-        if (known := self.words.get(s)) is not None:
+        """Weight and ids of a text between two places that no piece crosses, by a sweep; remembered."""
+        if (known := self.weighed.get(s)) is not None:
             return known
-        if self.kind == BPE and len(s) <= SHORT:
-            found = 0.0, array("i", [x for p in self.merged(s) for x in self.spelled(self.scores[p][1] if p in self.scores else -1, p)]).tobytes()
-        else:
-            ends = self.sweep(s, 0, len(s), [START])[len(s)]
-            node = max(ends, key=lambda k: ends[k][0][0])
-            found = ends[node][0][0], array("i", self.backtrace(s, 0, len(s), START, node)).tobytes()
+        ends = self.sweep(s, 0, len(s), [START])[len(s)]
+        node = max(ends, key=lambda k: ends[k][0][0])
+        found = ends[node][0][0], array("i", self.backtrace(s, 0, len(s), START, node)).tobytes()
         if len(s) <= REMEMBERED:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[s] = found
+            if len(self.weighed) >= CACHE:
+                self.weighed.clear()
+            self.weighed[s] = found
         return found
 
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two symbols in one number, ascending, and the piece that they merge into. A symbol is a piece's id, or len(pieces) more than a code point that is no piece."""
+        n, found = len(self.pieces), {}
+        symbol = lambda s: x[1] if (x := self.scores.get(s)) else n + ord(s) if len(s) == 1 else None
+        for s, (_, i) in self.scores.items():
+            for k in range(1, len(s)):
+                if (left := symbol(s[:k])) is not None and (right := symbol(s[k:])) is not None:
+                    found[left << 32 | right] = i
+        keys = np.array(sorted(found), np.int64)
+        return keys, np.array([found[k] for k in keys.tolist()] + [-1], np.int32)
+
+    @cached_property
+    def characters(self) -> np.ndarray:
+        """The symbol of each code point."""
+        symbols = np.arange(len(self.pieces), len(self.pieces) + 0x110000, dtype=np.int32)
+        for s, (_, i) in self.scores.items():
+            if len(s) == 1:
+                symbols[ord(s)] = i
+        return symbols
+
+    @cached_property
+    def merits(self) -> np.ndarray:
+        """Score by piece; the last is that of no merge."""
+        merits = np.full(len(self.pieces) + 1, -np.inf)
+        for score, i in self.scores.values():
+            merits[i] = score
+        return merits
+
+    def joint(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two symbols merge into, or -1."""
+        keys, made = self.pairs
+        pair = left << 32 | right
+        at = np.searchsorted(keys, pair)
+        return np.where(keys[np.minimum(at, len(keys) - 1)] == pair, made[at], -1) if len(keys) else np.full(pair.shape, -1)
+
+    def segmented(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each behind one space, by the merges; those of SHORT code points or fewer side by side."""
+        texts = [SPACE + w.replace(" ", SPACE) for w in words]
+        out: list[bytes] = [b""] * len(words)
+        lengths: dict[int, list[int]] = defaultdict(list)
+        for i, s in enumerate(texts):
+            lengths[len(s)].append(i)
+        # Rows of symbols of one width. A merge makes a row narrower by one, and the words of that width join it.
+        rows, symbols, made = np.empty(0, np.int64), np.empty((0, SHORT), np.int64), np.empty((0, SHORT - 1), np.int64)
+        for width in range(SHORT, 0, -1):
+            if fresh := lengths.pop(width, None):
+                points = np.frombuffer("".join([texts[i] for i in fresh]).encode("utf-32-le"), np.uint32)
+                more = self.characters[points].astype(np.int64).reshape(-1, width)
+                rows, symbols = np.concatenate([rows, fresh]), np.concatenate([symbols, more])
+                made = np.concatenate([made, self.joint(more[:, :-1], more[:, 1:])])
+            if not len(rows):
+                symbols, made = symbols[:, 1:], made[:, 1:]
+                continue
+            here = np.arange(len(rows))
+            scores = self.merits[made]
+            at = scores.argmax(axis=1) if width > 1 else np.zeros(len(rows), np.int64)  # of equals the leftmost
+            going = scores[here, at] > -np.inf if width > 1 else np.zeros(len(rows), bool)
+            if not going.all():
+                self._put(out, rows[~going], symbols[~going])
+                rows, symbols, made, at = rows[going], symbols[going], made[going], at[going]
+                here = np.arange(len(rows))
+            if width == 1:
+                break
+            symbols[here, at] = made[here, at]
+            symbols = symbols[np.arange(width) != at[:, None] + 1].reshape(len(rows), width - 1)
+            made = made[np.arange(width - 1) != at[:, None]].reshape(len(rows), width - 2)
+            for some, x in ((at > 0, at - 1), (at < width - 2, at)):
+                r, c = here[some], x[some]
+                made[r, c] = self.joint(symbols[r, c], symbols[r, c + 1])
+        for left in lengths.values():  # longer ones
+            for i in left:
+                out[i] = self.word(texts[i])[1]
+        return out
+
+    def _put(self, out: list[bytes], rows: np.ndarray, symbols: np.ndarray) -> None:
+        """Symbols of one width as ids, into the places of their rows."""
+        n, size = len(self.pieces), 4 * symbols.shape[1]
+        odd = (symbols >= n).any(axis=1)
+        raw = symbols.astype(np.int32).tobytes()
+        for k, (i, o) in enumerate(zip(rows.tolist(), odd.tolist())):
+            out[i] = raw[k * size : (k + 1) * size] if not o else array("i", [x for c in symbols[k].tolist() for x in ([c] if c < n else self.spelled(-1, chr(c - n)))]).tobytes()
+
     def transfer(self, text: str, begin: int, end: int) -> np.ndarray:
         """The matrix of best weights from the states at a chunk's begin to those at its end; text reaches beyond both."""
         entries, exits = self.states(text, begin), self.states(text, end)
@@ -218,15 +299,24 @@ class PieceModel:
                     matrix[e, j] = x
         return matrix
 
-    def trace(self, text: str, begin: int, end: int, entry: State, exit_: State) -> bytes:
-        """Ids of the pieces that start in the chunk, on the best path between two states."""
-        if (places := self.narrow(text, begin, end)) is None:
+    def traces(self, chunks: list[tuple[str, int, int, State, State]]) -> list[bytes]:
+        """Ids of the pieces that start in each chunk, on the best path between two states. Chunks: text, begin, end and both states."""
+        places = [self.narrow(text, begin, end) for text, begin, end, *_ in chunks]
+        if self.kind == BPE:  # what lies between starts with a space
+            middles = self.words.ids([split_stretches(c[0][p[0] + 1 : p[1]].replace(SPACE, " ")) if p and p[0] < p[1] else [] for c, p in zip(chunks, places)])
+        else:
+            middles = [b"".join(self.inside(c[0], *p)[1]) if p else b"" for c, p in zip(chunks, places)]
+        return [self.trace(*c, p, middle) for c, p, middle in zip(chunks, places, middles)]
+
+    def trace(self, text: str, begin: int, end: int, entry: State, exit_: State, places: tuple[int, int] | None, middle: bytes) -> bytes:
+        """Ids of the pieces that start in a chunk, middle being those between its narrow places."""
+        if places is None:
             return array("i", self.backtrace(text, begin, end, entry, exit_)).tobytes()
         first, last = places
         ends = self.sweep(text, begin, first, [entry]).get(first, {})
         node = max(ends, key=lambda k: ends[k][0][0])
         head = [] if begin + entry[0] == first else self.backtrace(text, begin, first, entry, node)
-        return b"".join([array("i", head).tobytes(), *self.inside(text, first, last)[1], array("i", self.backtrace(text, last, end, START, exit_)).tobytes()])
+        return b"".join([array("i", head).tobytes(), middle, array("i", self.backtrace(text, last, end, START, exit_)).tobytes()])
 
     def backtrace(self, text: str, begin: int, end: int, entry: State, exit_: State) -> list[int]:
         """Ids of the pieces that start in a swept stretch, on the best path between two states."""
@@ -255,7 +345,7 @@ class PieceModel:
         ends = [(0, int(np.argmax(levels[-1][0][0])))]
         for level in reversed(levels[:-1]):
             ends = [x for k, (b, e) in enumerate(ends) for x in between(level[k * fan : (k + 1) * fan], b, e)]
-        ids = [self.trace(text, a, b, self.states(text, a)[s], self.states(text, b)[e]) for (a, b), (s, e) in zip(chunks, ends)]
+        ids = self.traces([(text, a, b, self.states(text, a)[s], self.states(text, b)[e]) for (a, b), (s, e) in zip(chunks, ends)])
         return np.frombuffer(b"".join(ids), np.int32).tolist()
 
     def decode(self, ids) -> str:
@@ -304,25 +394,53 @@ def between(matrices: list[np.ndarray], begin: int, end: int) -> list[tuple[int,
     return out
 
 
+class Words:
+    """Ids of lists of words by a function that segments new ones; those of a bounded number are remembered."""
+
+    def __init__(self, segmented: Callable[[list[str]], list[bytes]]):
+        self.segmented, self.known = segmented, {}
+
+    def ids(self, lists: list[list[str]]) -> list[bytes]:
+        """Ids of each list as 32-bit numbers. Words that are new are segmented once."""
+        words = set().union(*lists)
+        if len(self.known) > CACHE:  # what these lists have is kept
+            self.known = {w: ids for w in words if (ids := self.known.get(w)) is not None}
+        known, new = self.known, list(words.difference(self.known))
+        known.update(zip(new, self.segmented(new), strict=True))
+        out = [b"".join(map(known.__getitem__, x)) for x in lists]
+        for w in new:
+            if len(w) > REMEMBERED:
+                del known[w]
+        return out
+
+
 class Encoder:
     """Encodes texts by the library; the ids of a bounded number of words are remembered."""
 
     def __init__(self, model: bytes):
-        self.model, self.known = PieceModel(model), {}
+        self.model = PieceModel(model)
+        self.words = Words(self.segmented)
+        self.last: tuple[pa.Array, pa.Array] | None = None
+
+    def encoded(self, texts: pa.Array) -> pa.Array:
+        """Lists of the texts' ids. Those of the last batch are kept: where ids go on to another Python function, Spark has a batch encoded for each of the two."""
+        if self.last is None or not self.last[0].equals(texts):
+            self.last = None
+            found = self.encode([t or "" for t in texts.to_pylist()])
+            self.last = texts, _ids([x if t.is_valid else None for x, t in zip(found, texts)])
+        return self.last[1]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit numbers. Words that are new are encoded once, in one text."""
+        """Ids of each text as 32-bit numbers."""
         if not self.model.dummy:
             return [array("i", ids).tobytes() for ids in self.model.library.encode(texts, num_threads=1)]
-        lists = [split_stretches(t) if t else [] for t in texts]
-        words = set().union(*lists)
-        if len(self.known) > CACHE:  # what these texts have is kept
-            self.known = {w: ids for w in words if (ids := self.known.get(w)) is not None}
-        known, library = self.known, self.model.library
-        known[""] = array("i", [self.model.scores[SPACE][1]]).tobytes()  # nothing after a space: the space alone
-        new = words.difference(known)
-        odd = [w for w in new if " " in w or SPACE in w]
-        plain = list(new.difference(odd)) if odd else list(new)
+        return self.words.ids([split_stretches(t) if t else [] for t in texts])
+
+    def segmented(self, words: list[str]) -> list[bytes]:
+        """Ids of words, many in one text."""
+        library, known = self.model.library, {"": array("i", [self.model.scores[SPACE][1]]).tobytes()}  # nothing after a space: the space alone
+        odd = [w for w in words if " " in w or SPACE in w]
+        plain = list(set(words).difference(odd, known))
         for i in range(0, len(plain), 1000):
             part = plain[i : i + 1000]
             ids = np.array(library.encode(" ".join(part)), np.int32)
@@ -331,11 +449,7 @@ class Encoder:
             known.update((w, raw[a:b]) for w, a, b in zip(part, at.tolist(), [*at[1:].tolist(), len(raw)], strict=True))
         for w, ids in zip(odd, library.encode(odd, num_threads=1) if odd else ()):
             known[w] = array("i", ids).tobytes()
-        out = [b"".join(map(known.__getitem__, x)) for x in lists]
-        for w in new:
-            if len(w) > REMEMBERED:
-                del known[w]
-        return out
+        return [known[w] for w in words]
 
 
 _ENCODERS: dict[bytes, Encoder] = {}
@@ -382,8 +496,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL, chunk
 
     @F.arrow_udf("array<int>")
     def whole(texts: pa.Array) -> pa.Array:
-        found = encoder().encode([t or "" for t in texts.to_pylist()])
-        return _ids([x if t.is_valid else None for x, t in zip(found, texts)])
+        return encoder().encoded(texts)
 
     out = without(docs, COLUMNS)
     row = unused(out, "row")
@@ -445,11 +558,11 @@ def scan_giants(rows: DataFrame, encoder, chunk: int, fan: int) -> DataFrame:
         return pa.array([[{"begin": b, "end": e} for b, e in x] for x in out], pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, m = [], encoder().model
-            for r in batch.to_pylist():
-                ids.append(m.trace(r["t"], r["a"], r["b"], m.states(r["t"], r["a"])[r["begin"]], m.states(r["t"], r["b"])[r["end"]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ids(ids)], names=["row", "k", "part"])
+        m = encoder().model
+        for whole in batches:
+            for batch in (whole.slice(i, CHUNKS_A_TASK) for i in range(0, whole.num_rows, CHUNKS_A_TASK)):
+                ids = m.traces([(r["t"], r["a"], r["b"], m.states(r["t"], r["a"])[r["begin"]], m.states(r["t"], r["b"])[r["end"]]) for r in batch.to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ids(ids)], names=["row", "k", "part"])
 
     def groups(level: DataFrame, what: str) -> DataFrame:
         """The matrices of a level by their parent, in order: fan at most in a list."""
