@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vespera.llm import decontaminate, html_text, line_dedup, pieces, pii, quality, sharding, simhash, toxicity, warc
+from vespera.llm import align, decontaminate, html_text, line_dedup, pieces, pii, quality, resample, secret_scan, sharding, simhash, toxicity, warc
 from vespera.llm.common import table
 
 
@@ -67,8 +67,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kind = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(kind(k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
+    scores = F.array_join(F.transform("secrets", lambda s: F.format_number(s["score"], 2)), ",")
+    base = F.sha2(secret_scan.spelled(kind(*secret_scan.BASE)), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), secret_scan.spelled(F.col("secrets")).alias("spans"), scores.alias("scores"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_html_extraction, op2_sentencepiece, op3_quality_rules, op4_line_dedup, op5_pii, op6_warc, op7_simhash, op8_decontamination, op9_toxicity, op10_sharding)
+    ops = (op1_html_extraction, op2_sentencepiece, op3_quality_rules, op4_line_dedup, op5_pii, op6_warc, op7_simhash, op8_decontamination, op9_toxicity, op10_sharding, op11_resampling, op12_alignment, op13_secret_scan)
     return {f.__name__: f for f in ops}
 
 
@@ -148,5 +165,39 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP11_SQL = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps FROM range(256) t(i)
+), texts AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), split AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts
+), features AS (
+  SELECT side, id, unnest(words) AS w FROM split
+), hexed AS (
+  SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM features)
+), buckets AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM hexed, crc_table
+), counted AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM features JOIN buckets USING (w) GROUP BY bucket
+), totals AS (
+  SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM counted
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM counted, totals
+), weights AS (
+  SELECT id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM features JOIN buckets USING (w) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id
+), scored AS (
+  SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || id), 1, 8))::BIGINT + 0.5) / 4294967296.0)))::BIGINT AS score, len(words) >= 20 AS fit
+  FROM split LEFT JOIN weights USING (id) WHERE side = 'd'
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) FILTER (fit) OVER () AS n_fit FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 10 * n_fit // 100 THEN place END AS rank FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_decontamination": OP8_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_resampling": OP11_SQL}
