@@ -11,54 +11,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vespera.config import BitLayout
+from vespera.sources.tiff import BITS, COMPRESSION, GEO_KEYS, HEIGHT, METADATA, NODATA, PHOTOMETRIC, PLANAR, ROWS, SAMPLE_FORMAT, SAMPLES, SCALE, STRIP_AT, STRIP_BYTES, TIEPOINT, WIDTH, Tiff
 
 BLOCK = 512
 POLYGONS = "poly long, west double, south double, east double, north double, rings array<struct<x:array<double>,y:array<double>>>"
 
-# TIFF tags and field types, fixed by the format.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
-TILE_W, TILE_H, TILE_AT, TILE_BYTES, SAMPLE_FORMAT, SCALE, TIEPOINT, GEO_KEYS, METADATA, NODATA = 322, 323, 324, 325, 339, 33550, 33922, 34735, 42112, 42113
-FIELD = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
-
 
 def read_tiff(data: bytes) -> tuple[np.ndarray, dict]:
-    """The bands (band, row, col) of a plain TIFF and its tags: strips or tiles, uncompressed or deflated, predictors 1 to 3."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise ValueError("not a TIFF file")
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    tags: dict[int, tuple] = {}
-    for i in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-        code = FIELD.get(kind)
-        if code:
-            where = at + 10 + 12 * i
-            if struct.calcsize(code) * n > 4:
-                where = struct.unpack_from(order + "I", data, where)[0]
-            tags[tag] = (data[where : where + n].rstrip(b"\0"),) if kind == 2 else struct.unpack_from(f"{order}{n}{code}", data, where)
-    one = lambda tag, default: tags.get(tag, (default,))[0]
-    w, h, bands, predictor, planar = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(PREDICTOR, 1), one(PLANAR, 1) == 2
-    kind = np.dtype({1: "u", 2: "i", 3: "f"}[one(SAMPLE_FORMAT, 1)] + str(one(BITS, 8) // 8))
-    if one(COMPRESSION, 1) not in (1, 8, 32946):
-        raise ValueError("only plain and deflated TIFF files are read")
-    tiled = TILE_AT in tags
-    bw, bh = (one(TILE_W, 0), one(TILE_H, 0)) if tiled else (w, min(h, one(ROWS, h)))
-    across, down, deep = -(-w // bw), -(-h // bh), 1 if planar else bands
-    out = np.zeros((bands, h, w), kind)
-    for i, (start, size) in enumerate(zip(tags[TILE_AT if tiled else STRIP_AT], tags[TILE_BYTES if tiled else STRIP_BYTES])):
-        raw = data[start : start + size]
-        raw = raw if one(COMPRESSION, 1) == 1 else zlib.decompress(raw)
-        band, r0, c0 = i // (across * down), i // across % down * bh, i % across * bw
-        rows = bh if tiled else min(bh, h - r0)
-        if predictor == 3:  # bytes of a row by significance, then differences of bytes
-            planes = np.add.accumulate(np.frombuffer(raw, np.uint8, rows * bw * deep * kind.itemsize).reshape(rows, -1, deep), axis=1, dtype=np.uint8)
-            block = np.ascontiguousarray(planes.reshape(rows, kind.itemsize, bw * deep).transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, bw, deep)
-        else:
-            block = np.frombuffer(raw, kind.newbyteorder(order), rows * bw * deep).reshape(rows, bw, deep)
-            block = np.add.accumulate(block, axis=1, dtype=kind) if predictor == 2 else block
-        block = block[: h - r0, : w - c0]
-        out[band if planar else slice(None), r0 : r0 + block.shape[0], c0 : c0 + block.shape[1]] = block[:, :, 0] if planar else block.transpose(2, 0, 1)
-    return out, tags
+    """The bands (band, row, col) of a TIFF file that is held whole, and its tags."""
+    file = Tiff(lambda at, size: data[at : at + size])
+    _, h, w = file.shape
+    return file.window(0, h, 0, w), file.tags
 
 
 def write_tiff(bands: np.ndarray, west: float, north: float, cell: float, metadata: dict[str, str] | None = None, point: bool = False) -> bytes:
