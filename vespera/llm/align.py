@@ -72,8 +72,9 @@ class ByteModel:
         raw = {i: t for t, i in ranks.items()}
         self.raw = pa.array([raw.get(i, b"") for i in range(max(model["vocab"].values()) + 1)], pa.binary())
 
-    def encode(self, text: str) -> list[int]:
-        return self.library(text) if LONG_BLANK.search(text) else self.fast.encode_ordinary(text)
+    def encode(self, text: str) -> np.ndarray:
+        ids = self.library(text) if LONG_BLANK.search(text) else self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.asarray(ids, np.int64)
 
     def library(self, text: str) -> list[int]:
         if self.slow is None:
@@ -114,19 +115,20 @@ def label_string(end_a: np.ndarray, end_b: np.ndarray, size: int) -> bytes:
 
 
 class _Counts(dict):
-    """Of a span: tokens of A and of B."""
+    """Of a span: tokens of A above 32 bits, tokens of B below."""
 
-    def __missing__(self, span: bytes) -> tuple[int, int]:
-        a, b = span.count(b"a") + 1, span.count(b"b") + 1
+    def __missing__(self, span: bytes) -> int:
+        n = (span.count(b"a") + 1 << 32) + span.count(b"b") + 1
         if len(span) <= 16:
-            self[span] = a, b
-        return a, b
+            self[span] = n
+        return n
 
 
 def groups_of(labels: bytes) -> np.ndarray:
     """A row for each group: tokens of A, tokens of B. Bytes where nothing ends add to no count and are left out before the scan."""
-    counts = _Counts()
-    return np.array([counts[s] for s in SPAN.findall(labels.translate(None, b"n"))], np.int64).reshape(-1, 2)
+    spans = SPAN.findall(labels.translate(None, b"n"))
+    n = np.fromiter(map(_Counts().__getitem__, spans), np.int64, len(spans))
+    return np.stack([n >> 32, n & 0xFFFFFFFF], axis=1)
 
 
 def _spread(size: np.ndarray) -> np.ndarray:
@@ -182,30 +184,29 @@ class Aligner:
         if held:
             yield held
 
-    def tokens(self, texts: list[str]) -> tuple[list[list[int]], list[np.ndarray]]:
-        """Ids of A and of B of each text; none where either's bytes are not the text's."""
-        # A text without ids is empty or the model's output differs from it; both have no tokens here.
-        plain = pa.array(texts, pa.string())
-        lists = self.b.encoded(plain)
+    def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of A and of B of each text; none of a null or empty text and where either's bytes are not the text's."""
+        lists = self.b.encoded(pa.array(texts, pa.string()))
         at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        out_a, out_b = [], []
         data, ends = _bytes(flat[at[0] : at[-1]], self.raw_b)
+        none, out_a, out_b, wholes = flat[:0].astype(np.int64), [], [], []
         for k, t in enumerate(texts):
-            ids, low, high = [], at[k] - at[0], at[k + 1] - at[0]
             whole = (" " + t).encode()
-            if t and data[ends[low] : ends[high]] == whole:
-                ids = self.a.encode(" " + t)
-                if _bytes(np.array(ids, np.int64), self.a.raw)[0] != whole:
-                    ids = []
-            out_a.append(ids)
-            out_b.append(flat[at[k] : at[k + 1]] if ids else flat[:0])
+            same = t and data[ends[at[k] - at[0]] : ends[at[k + 1] - at[0]]] == whole
+            out_a.append(self.a.encode(" " + t) if same else none)
+            out_b.append(flat[at[k] : at[k + 1]] if same else none)
+            wholes.append(whole if same else b"")
+        if _bytes(np.concatenate(out_a), self.a.raw)[0] != b"".join(wholes):
+            for k, whole in enumerate(wholes):
+                if _bytes(out_a[k], self.a.raw)[0] != whole:
+                    out_a[k] = out_b[k] = none
         return out_a, out_b
 
     def aligned(self, texts: list[str]) -> Iterator[dict]:
         """For each text its counts, digest and distinct pairs."""
         list_a, list_b = self.tokens(texts)
         sizes_a, sizes_b = np.array([len(x) for x in list_a]), np.array([len(x) for x in list_b])
-        a, b = np.concatenate([np.array(x, np.int64) for x in list_a]), np.concatenate(list_b).astype(np.int64)
+        a, b = np.concatenate(list_a), np.concatenate(list_b).astype(np.int64)
         (_, ends_a), (_, ends_b) = _bytes(a, self.a.raw), _bytes(b, self.raw_b)
         groups = groups_of(label_string(ends_a[1:], ends_b[1:], int(ends_a[-1])))
         upto_a, upto_b = np.cumsum(groups[:, 0]), np.cumsum(groups[:, 1])
