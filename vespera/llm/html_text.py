@@ -6,15 +6,17 @@ bullets or numbers and are indented; table cells are aligned in columns; pre kee
 
 Unseen are UNSEEN (scripts, templates, and what shows only if something else fails to), FOREIGN_UNSEEN, closed dialogs and
 details, and what display or visibility hide: the hidden attribute, an element's own style, and rules of the page's style
-elements whose selectors are a tag, a class, an id, or a tag with one of those (other selectors and at-rules are not read).
+elements whose selectors are made of tags, classes and ids, joined in any number (p.a.b) and by descent or childhood (div p, ul > li);
+other selectors and at-rules are not read.
 What is visible again inside a part that visibility hides is rendered. All options of a select are rendered, a line each;
 so are textarea, xmp and plaintext.
 
 Null pages have null text and empty pages the empty text. Anything can follow a "<": what is no tag is
 text; NUL characters become U+FFFD. Nesting depth and page length are not limited: there is no recursion, the open
-elements are found by name, and work grows with the page's length. Indentation ends at MAX_INDENT, markers stay. Columns are
-aligned while that takes at most PADDING blanks and as many characters as the table has, times PADDED; else those up to
-MAX_CELL, else none. Rows are independent. Input columns that clash with the operator's are replaced.
+elements are found by name, and work grows with the page's length. Three parameters bound what layout adds, alike for pages of any size:
+indentation ends at max_indent blanks, markers stay; a table's column is as wide as its widest line of max_cell characters or fewer, and
+what follows a longer line stands right behind it; columns that would begin beyond max_row characters are not aligned. Items of reversed lists
+are counted by a first pass over pages that have such lists. Rows are independent. Input columns that clash with the operator's are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from bisect import bisect_left
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vespera.llm.common import bounded_batches, without
+from vespera.llm.common import bounded_batches, unused, without
 
 COLUMNS = ("text", "title", "n_blocks", "n_links")
 #: Element groups as HTML defines them.
@@ -50,15 +52,15 @@ ENDS = {
     "body": ({"head"}, set()),
 }
 IN_HEAD = frozenset("head title base link meta style script noscript template html".split())
-MAX_INDENT, MAX_CELL, BULLET = 40, 60, "- "
-PADDING, PADDED = 65_536, 8
+MAX_INDENT, MAX_CELL, MAX_ROW, BULLET = 40, 60, 400, "- "
 LISTS = ("ul", "ol", "menu", "dir")
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+(?=>)|[^>]*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 _RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"(\*|[a-z][\w-]*)?([.#][\w-]+)?", re.I)
+_SELECTOR = re.compile(r"(?:(?:\*|[a-z][\w-]*)(?:[.#][\w-]+)*|(?:[.#][\w-]+)+)(?:(?:\s*>\s*|\s+)(?:(?:\*|[a-z][\w-]*)(?:[.#][\w-]+)*|(?:[.#][\w-]+)+))*", re.I)
+_COMPOUND = re.compile(r"(\s*>\s*|\s+)?(\*|[a-z][\w-]*)?((?:[.#][\w-]+)*)", re.I)
 _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -146,37 +148,30 @@ class _Grid:
         return out
 
 
-def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Rows of cells (lines, columns spanned, rows spanned) with columns as wide as their widest cell."""
+def _aligned(rows: list[list[tuple[list[str], int, int]]], max_cell: int, max_row: int) -> list[str]:
+    """Rows of cells (lines, columns spanned, rows spanned) with columns as wide as their widest line that is not over max_cell."""
     grid = _Grid()
     placed = [grid.place(k, row) for k, row in enumerate(rows)]
     wide: dict[int, int] = {}
     for row in placed:
         for at, span, lines in row:
             if span == 1:
-                wide[at] = max(wide.get(at, 0), max(map(len, lines), default=0))
-    columns = sorted(wide)
-    size = sum(len(x) + 3 for row in placed for _, _, lines in row for x in lines)
-    for limit in (None, MAX_CELL, 0):
-        ends = [0]
-        for c in columns:  # a column's width and the bar before it
-            ends.append(ends[-1] + (wide[c] if limit is None else min(limit, wide[c])) + 3)
-        upto = lambda at: ends[bisect_left(columns, at)]
-        if not limit and limit is not None:
-            break
-        if sum(max((len(lines) for *_, lines in row), default=0) * upto(row[-1][0]) for row in placed if row) <= PADDING + PADDED * size:
-            break
+                wide[at] = max(wide.get(at, 0), max((len(x) for x in lines if len(x) <= max_cell), default=0))
+    columns, ends = sorted(wide), [0]
+    for c in columns:  # a column's width and the bar before it
+        ends.append(ends[-1] + wide[c] + 3)
+    upto = lambda at: min(ends[bisect_left(columns, at)], max_row)
     out = []
     for row in placed:
         for k in range(max((len(lines) for *_, lines in row), default=0)):
-            parts, done = [], 0
             if not any(k < len(lines) and lines[k].strip() for *_, lines in row):
                 continue
+            parts, done = [], 0
             for at, span, lines in row:
-                if limit != 0 and upto(at) > done:  # columns that are covered or missing
+                if upto(at) > done:  # columns that are covered or missing
                     parts.append(" " * (upto(at) - done - 3))
                     done = upto(at)
-                parts.append((lines[k] if k < len(lines) else "").ljust(max(0, upto(at + span) - done - 3) if limit != 0 else 0))
+                parts.append((lines[k] if k < len(lines) else "").ljust(max(0, upto(at + span) - done - 3)))
                 done = max(done, upto(at + span))
             out.append(" | ".join(parts).rstrip(" "))
     return out
@@ -192,10 +187,56 @@ def _declared(style: str) -> dict[str, tuple[bool, bool]]:
     return out
 
 
-def _rules(page: str) -> dict[tuple[str, str], list[tuple[tuple[bool, int, int], str, bool]]]:
-    """(tag or "", class or id or "") -> (importance, weight of the selector, order), property, whether it hides; of the page's style elements."""
-    out: dict = {}
-    low, at, order = page.lower(), 0, 0
+class _Rules:
+    """Selectors of a page's style elements that say something of display or visibility.
+
+    A selector is a list of parts (whether it must be a child, tag or "", classes and ids). Each part is listed under one of its own marks, so
+    an element looks at the parts under its id, its classes and its tag alone.
+    """
+
+    def __init__(self, page: str):
+        self.known: dict[tuple, dict[str, tuple]] = {}  # of a selector, by property: (importance, weight, order), property, whether it hides
+        self.listed: dict[str, list[tuple]] = {}
+        self.order = 0
+        for block in _style_blocks(page):
+            for m in _RULE.finditer(block):
+                if not (found := _declared(m[2])):
+                    continue
+                for selector in m[1].split(","):
+                    if _SELECTOR.fullmatch(selector := selector.strip()):
+                        parts = tuple(((c[1] or "").strip() == ">", (c[2] or "").lower().replace("*", ""), frozenset(re.findall(r"[.#][\w-]+", c[3]))) for c in _COMPOUND.finditer(selector) if c[2] or c[3])
+                        self.add(parts, found)
+
+    def add(self, parts: tuple, found: dict[str, tuple[bool, bool]]) -> None:
+        marks = [m for _, _, of in parts for m in of]
+        weight = (sum(m[0] == "#" for m in marks), sum(m[0] == "." for m in marks), sum(bool(tag) for _, tag, _ in parts))
+        held = self.known.setdefault(parts, {})
+        if not held:
+            for i, (child, tag, of) in enumerate(parts):
+                key = min(of, key=lambda m: (m[0] != "#", m)) if of else tag
+                self.listed.setdefault(key, []).append((parts, i, child, tag, of))
+        for prop, (hides, important) in found.items():  # of equal selectors the last counts, but for what an earlier one calls important
+            self.order += 1
+            if prop not in held or important >= held[prop][0][0]:
+                held[prop] = ((important, weight, self.order), prop, hides)
+
+    def met(self, name: str, attributes: dict[str, str], parent: tuple[frozenset, frozenset]) -> tuple[list, tuple[frozenset, frozenset]]:
+        """What the selectors that an element meets say, as (importance, weight, order), property, whether it hides; and what its children need: the parts met by it, and by it and what holds it."""
+        own = {*("." + c for c in attributes.get("class", "").split()), *(["#" + attributes["id"]] if attributes.get("id") else [])}
+        here, said = [], []
+        for key in (*own, name, ""):
+            for parts, i, child, tag, of in self.listed.get(key, ()):
+                if (not tag or tag == name) and of <= own and (not i or (id(parts), i - 1) in parent[not child]):
+                    here.append((id(parts), i))
+                    if i + 1 == len(parts):
+                        said += self.known[parts].values()
+        below = parent[1] if parent[1].issuperset(here) else parent[1].union(here)
+        return said, (frozenset(here), below)
+
+
+def _style_blocks(page: str) -> list[str]:
+    """The text of each rule outside at-rules, of all style elements, without comments."""
+    out, low, at = [], page.lower(), 0
     while (at := low.find("<style", at)) >= 0:
         begin = low.find(">", at) + 1
         end = low.find("</style", begin)
@@ -207,39 +248,27 @@ def _rules(page: str) -> dict[tuple[str, str], list[tuple[tuple[bool, int, int],
             parts.append(text[k:c])
             k = text.find("*/", c + 2)
             k = len(text) if k < 0 else k + 2
-        depth, kept, start = 0, [], 0
+        depth, start = 0, 0
         text = "".join([*parts, text[k:]])
         for m in re.finditer(r"[{}]", text):  # blocks inside blocks belong to at-rules
             depth = depth + 1 if m[0] == "{" else max(0, depth - 1)
             if depth == 0:
                 block, start = text[start : m.end()], m.end()
                 if block.count("{") == 1 and not block.lstrip().startswith("@"):
-                    kept.append(block)
-        for m in _RULE.finditer("".join(kept)):
-            if not (found := _declared(m[2])):
-                continue
-            for selector in m[1].split(","):
-                s = _SIMPLE.fullmatch(selector.strip())
-                if not s or not s[0]:
-                    continue
-                tag, mark = (s[1] or "").lower().replace("*", ""), s[2] or ""
-                weight = (100 if mark[:1] == "#" else 10 if mark else 0) + bool(tag)
-                for name, (hides, important) in found.items():
-                    order += 1
-                    held = out.setdefault((tag, mark), {})
-                    if name not in held or important >= held[name][0][0]:
-                        held[name] = ((important, weight, order), name, hides)
-    return {key: list(held.values()) for key, held in out.items()}
+                    out.append(block)
+    return out
 
 
 class _Page:
-    def __init__(self, rules: dict):
-        self.open: list[tuple[str, bool, bool, object]] = []  # element, whether display shows it and visibility, what to restore at its end
+    def __init__(self, rules: _Rules | None, counted: list[int] | None, bounds: tuple[int, int, int]):
+        """counted: the items of each list that is numbered down to 1, as a first pass has found them."""
+        self.open: list[tuple[str, bool, bool, object, tuple]] = []  # element, whether display shows it and visibility, what to restore at its end, parts of selectors met
         self.places: dict[str, list[int]] = {}  # of open elements, by name
         self.flows, self.tables = [_Flow()], []
         self.blocks = self.links = self.pre = 0
         self.title: list[str] = []
-        self.rules, self.counted = rules, []  # items of reversed lists, which are numbered at the end
+        self.rules, self.known, self.counted = rules, counted, []
+        self.max_indent, self.max_cell, self.max_row = bounds
 
     @property
     def flow(self) -> _Flow:
@@ -252,14 +281,10 @@ class _Page:
         """The place of the innermost open element of names, -1 if there is none."""
         return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
 
-    def styled(self, name: str, found: dict[str, str], shown: bool, visible: bool) -> tuple[bool, bool]:
+    def styled(self, found: dict[str, str], said: list, shown: bool, visible: bool) -> tuple[bool, bool]:
         """Whether display and visibility show an element, from what its attributes and its parent say, and the rules."""
-        said = []
-        if self.rules:
-            marks = ["", *("." + c for c in found.get("class", "").split()), *(["#" + found["id"]] if found.get("id") else [])]
-            said = [r for mark in dict.fromkeys(marks) for tag in ("", name) for r in self.rules.get((tag, mark), ())]
         if found.get("style"):
-            said += [((important, 1000, 0), prop, hides) for prop, (hides, important) in _declared(found["style"]).items()]
+            said = said + [((important, (1000, 0, 0), 0), prop, hides) for prop, (hides, important) in _declared(found["style"]).items()]
         for _, prop, hides in sorted(said):
             if prop == "display":
                 shown = not hides
@@ -279,6 +304,7 @@ class _Page:
         if closed and (foreign or name in FOREIGN_UNSEEN):
             return
         above, visible = self.open[-1][1:3] if self.open else (True, True)
+        met, said = self.open[-1][4] if self.open else (frozenset(), frozenset()), []
         above = above and name not in UNSEEN and not any(name in FOREIGN_UNSEEN[x] for x in foreign)
         if self.open and self.open[-1][0] == "details" and name != "summary" and not self.open[-1][3]:
             above = False
@@ -291,8 +317,9 @@ class _Page:
         shown = above
         if above and (found or self.rules or name == "dialog"):
             own = not ("hidden" in found and found["hidden"].lower() != "until-found") and (name != "dialog" or "open" in found)
-            own, visible = self.styled(name, found, own, visible)
-            shown = own
+            if self.rules:
+                said, met = self.rules.met(name, found, met)
+            shown, visible = self.styled(found, said, own, visible)
         seen = shown and visible
         number = lambda key, otherwise: int(found[key]) if re.fullmatch(r"[+-]?[0-9]{1,9}", found.get(key, "").strip()) else otherwise
         if name == "input" and seen and found.get("type", "text").lower() in ("submit", "button", "reset"):
@@ -321,15 +348,16 @@ class _Page:
         if name == "details":
             kept = "open" in found
         self.places.setdefault(name, []).append(len(self.open))
-        self.open.append((name, shown, visible, kept))
+        self.open.append((name, shown, visible, kept, met))
 
     def enter(self, name: str, number, backwards: bool, visible: bool) -> object:
         flow = self.flow
         if name in LISTS:
             first = number("start", None if backwards else 1) if name == "ol" else None
             kept = {"next": first, "step": -1 if backwards else 1, "count": None}
-            if name == "ol" and first is None:  # numbered down to 1: the first number is known at the end
+            if name == "ol" and first is None:  # numbered down to 1
                 kept["count"] = len(self.counted)
+                kept["next"] = self.known[kept["count"]] if self.known else 0
                 self.counted.append(0)
             return kept
         if name == "li":
@@ -339,22 +367,19 @@ class _Page:
                 flow.emit("")
             mark = BULLET
             if own and self.open[at][0] == "ol":
-                if (value := number("value", None)) is not None:
-                    own["next"], own["count"] = value, None
                 if own["count"] is not None:
-                    mark = f"\0{own['count']}:{self.counted[own['count']]}. "
                     self.counted[own["count"]] += 1
-                else:
-                    mark = f"{own['next']}. "
-                    own["next"] += own["step"]
+                own["next"] = number("value", own["next"])
+                mark = f"{own['next']}. "
+                own["next"] += own["step"]
             before = flow.indent, flow.lead
             flow.lead, flow.marker = flow.indent, mark if visible else ""
-            if len(flow.indent) < MAX_INDENT:
-                flow.indent += " " * (len(mark) if mark[0] != "\0" else 3)
+            if len(flow.indent) < self.max_indent:
+                flow.indent += " " * len(mark)
             return before
         if name in ("blockquote", "dd"):
             before = flow.indent
-            flow.indent = (before + "  ") if len(before) < MAX_INDENT else before
+            flow.indent = (before + "  ") if len(before) < self.max_indent else before
             return before
         if name == "pre":
             self.pre += 1
@@ -383,7 +408,7 @@ class _Page:
         if name == "table" and self.tables:
             loose = self.flows.pop().rendered()
             rows = self.tables.pop()
-            for line in [*loose, *_aligned(rows)]:
+            for line in [*loose, *_aligned(rows, self.max_cell, self.max_row)]:
                 self.flow.emit(line)
             self.flow.margin()
             return
@@ -402,7 +427,7 @@ class _Page:
             flow.indent = kept
 
     def pop(self) -> None:
-        name, shown, _, kept = self.open.pop()
+        name, shown, _, kept, _ = self.open.pop()
         self.places[name].pop()
         self.leave(name, shown, kept)
 
@@ -433,10 +458,18 @@ class _Page:
             self.flow.text(s)
 
 
-def render(page: str) -> tuple[str, str | None, int, int]:
+def render(page: str, max_indent: int = MAX_INDENT, max_cell: int = MAX_CELL, max_row: int = MAX_ROW) -> tuple[str, str | None, int, int]:
     """Text, title, number of blocks and of links of a page."""
     page = page.replace("\0", "\ufffd")
-    p, at, n = _Page(_rules(page) if "<style" in page.lower() else {}), 0, len(page)
+    rules, bounds = _Rules(page) if "<style" in page.lower() else None, (max_indent, max_cell, max_row)
+    p = _built(page, rules, None, bounds)
+    if p.counted:
+        p = _built(page, rules, p.counted, bounds)
+    return "\n".join(p.flow.rendered()).strip("\n"), p.title[0] if p.title else None, p.blocks, p.links
+
+
+def _built(page: str, rules: _Rules | None, counted: list[int] | None, bounds: tuple[int, int, int]) -> _Page:
+    p, at, n = _Page(rules, counted, bounds), 0, len(page)
     last = page.rfind(">")
     while at < n:
         if at > last and page[at] == "<" and page[at + 1 : at + 2] not in ("!", "?"):  # no tag can end any more
@@ -471,26 +504,24 @@ def render(page: str) -> tuple[str, str | None, int, int]:
         lines = p.flows.pop().rendered()
         for line in lines:
             p.flow.emit(line)
-    text = "\n".join(p.flow.rendered()).strip("\n")
-    if p.counted:
-        text = re.sub(r"\0([0-9]+):([0-9]+)", lambda m: str(p.counted[int(m[1])] - int(m[2])), text)
-    return text, p.title[0] if p.title else None, p.blocks, p.links
+    return p
 
 
-def _render():
+def _render(bounds: tuple[int, int, int]):
     types = (pa.string(), pa.string(), pa.int64(), pa.int64())
 
     @F.arrow_udf("struct<text:string,title:string,n_blocks:long,n_links:long>")
     def rendered(page: pa.Array) -> pa.Array:
-        rows = [render(x.as_py()) if x.is_valid else (None,) * 4 for x in page]
+        rows = [render(x.as_py(), *bounds) if x.is_valid else (None,) * 4 for x in page]
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=list(COLUMNS))
 
     return rendered
 
 
-def extract_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, html_column: str = "html", max_indent: int = MAX_INDENT, max_cell: int = MAX_CELL, max_row: int = MAX_ROW) -> DataFrame:
     """pages without their html, with text, title, n_blocks and n_links."""
     bounded_batches(pages.sparkSession)
     names = [c for c in without(pages, COLUMNS).columns if c != html_column]
-    out = pages.select(*names, _render()(F.col(html_column)).alias("__r"))
-    return out.select(*names, *[F.col(f"__r.{c}").alias(c) for c in COLUMNS])
+    own = unused(pages, "rendered")
+    out = pages.select(*names, _render((max_indent, max_cell, max_row))(F.col(html_column)).alias(own))
+    return out.select(*names, *[F.col(own)[c].alias(c) for c in COLUMNS])
