@@ -316,3 +316,21 @@ def test_pipeline_with_nulls_repeats_and_empty_tables(spark, tmp_path):
     put(spark, tmp_path / "b", "documents", [], schema)
     put(spark, tmp_path / "b", "benchmark", [], "item_id long, text string")
     assert corpus_pipeline.run(spark, str(tmp_path / "b")).collect() == []
+
+
+def test_decontamination_and_near_dedup_keep_clashing_columns(spark):
+    names = ["__doc", "__row", "__text", "__id", "__head", "__n", "row", "label"]
+    kind = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words, *names), (2, words, *names), (3, "other words", *names), (3, "other words", *names), (None, words + " more", *names)]
+    docs = spark.createDataFrame(rows, kind)
+    items = spark.createDataFrame([(7, words)], "item_id long, text string")
+    out = decontaminate.contamination(docs, items)
+    assert out.columns == [*docs.columns, *decontaminate.COLUMNS]
+    assert sorted((r.doc_id or 0, r.n_hit, r["__doc"], r["__text"]) for r in out.collect()) == [(0, 30, "__doc", "__text"), (1, 30, "__doc", "__text"), (2, 30, "__doc", "__text"), (3, 0, "__doc", "__text"), (3, 0, "__doc", "__text")]
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and {tuple(r[2:]) for r in kept.collect()} == {tuple(names)}
+    from vespera.llm import near_copies
+
+    kept = near_copies.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vespera.llm.common import LOWER, UPPER, durable, id_key, without
+from vespera.llm.common import LOWER, UPPER, durable, id_key, unused, without
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 5
@@ -126,9 +126,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
         F.array_sort(F.array_distinct(F.transform("__s", lambda s: s["item_id"].cast("string")))).alias("item_ids"),
     ).dropDuplicates(["__doc", "__text"])
     result = counts.join(spans, ["__doc", "__text"], "left")
-    out = without(docs, COLUMNS).withColumns({"__doc": id_key("doc_id"), "__text": F.xxhash64(text)})
-    return out.join(result, ["__doc", "__text"]).drop("__doc", "__text").select(
-        *[c for c in out.columns if c not in ("__doc", "__text")], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+    out = without(docs, COLUMNS)
+    doc, row = unused(out, "doc"), unused(out, "row")
+    result = result.withColumnsRenamed({"__doc": doc, "__text": row})
+    return out.withColumns({doc: id_key("doc_id"), row: F.xxhash64(text)}).join(result, [doc, row]).select(
+        *out.columns, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         (F.coalesce("n_hit", F.lit(0).cast("long")) > 0).alias("contaminated"),
     )

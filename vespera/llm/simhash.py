@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vespera.llm.common import bounded_batches, durable, spread_join
+from vespera.llm.common import bounded_batches, durable, spread_join, unused
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 MAX_BUCKET = 2048
@@ -177,12 +177,13 @@ def one_per_label(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """docs with one row of each label of labelled (doc_id, row: their row_digest, label): the least real doc_id, then the least digest."""
     counts = labelled.groupBy("label", "doc_id", "row").agg(F.count("*").alias("n"))
     least = counts.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("h"))
-    heads = durable(least.select(F.col("h.doc_id").alias("__id"), F.col("h.row").alias("__head"), F.col("h.n").alias("__n")), "heads")
-    rows = docs.withColumn("__row", row_digest(docs))
-    of = lambda h: rows.join(h, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__head")), "left_semi").drop("__row")
-    if not heads.filter("__n > 1").limit(1).count():
+    row, own, head, n = (unused(docs, c) for c in ("row", "id", "head", "n"))
+    heads = durable(least.select(F.col("h.doc_id").alias(own), F.col("h.row").alias(head), F.col("h.n").alias(n)), "heads")
+    rows = docs.withColumn(row, row_digest(docs))
+    of = lambda h: rows.join(h, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(row) == F.col(head)), "left_semi").drop(row)
+    if not heads.filter(F.col(n) > 1).limit(1).count():
         return of(heads)
-    return of(heads.filter("__n = 1")).union(of(heads.filter("__n > 1")).dropDuplicates())
+    return of(heads.filter(F.col(n) == 1)).union(of(heads.filter(F.col(n) > 1)).dropDuplicates())
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
