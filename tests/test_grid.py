@@ -57,7 +57,7 @@ def test_water_words_and_misses(spark):
 def test_lattice_contracts_and_map_tiles(spark):
     s = spark.createDataFrame([(0, 1), (1, 1), (2, 2)], "src int, bit_count int")
     assert [r.src for r in lattice.mismatches(s, ["bit_count"]).collect()] == [2] and lattice.same_contract(s.filter("src < 2"), ["bit_count"]).count() == 2
-    with pytest.raises(Exception, match="format contract mismatch: source 2"):
+    with pytest.raises(Exception, match="unlike the first in its bit layout: source 2"):
         lattice.same_contract(s, ["bit_count"]).collect()
     h = lattice.HALF
     r = lattice.base_raster(lattice.tile_range(spark.createDataFrame([(0.0, 0.0, h / 2, h / 2), (-2 * h, -2 * h, 2 * h, 2 * h)], "west double, south double, east double, north double"), 2), 2).collect()

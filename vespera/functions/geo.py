@@ -14,6 +14,11 @@ def tile_of(lat: Column, lon: Column) -> tuple[Column, Column]:
     return F.floor(lat).cast("int"), F.floor(lon).cast("int")
 
 
+def north_west_corner(south: Column, west: Column) -> tuple[Column, Column]:
+    """Northern edge and degrees west of a tile, as elevation files are named after."""
+    return south + 1, -west
+
+
 def along_perp(lat: Column, lon: Column, lat0: float, lon0: float, azimuth: float, config: PipelineConfig) -> tuple[Column, Column]:
     """Metres along the march, which heads away from an azimuth, and across it."""
     b, phi = math.radians((azimuth + 180) % 360), math.radians(lat0)

@@ -33,11 +33,23 @@ def mismatches(sources: DataFrame, columns: list[str] = CONTRACT) -> DataFrame:
     return sources.crossJoin(F.broadcast(first)).filter(~F.struct(*columns).eqNullSafe(F.col("__first"))).drop("__first")
 
 
+def unlike(sources: DataFrame, columns: list[str] = CONTRACT) -> DataFrame:
+    """src and why: what of a source (src, contract, crs, cell_x, cell_y) is not as in the first one: its contract, else its reference system, else a cell's side by more than a millionth of the larger."""
+    own = [*columns, "crs", "cell_x", "cell_y"]
+    first = sources.agg(F.min_by(F.struct(*own), "src").alias("__first"))
+    out = sources.crossJoin(F.broadcast(first))  # one row
+    other = lambda c: F.col(f"__first.{c}")
+    apart = lambda c: ~F.coalesce(F.abs(F.col(c) - other(c)) <= F.greatest(F.abs(c), F.abs(other(c))) * 1e-6, F.lit(False))
+    contract = ~F.struct(*columns).eqNullSafe(F.struct(*[other(c).alias(c) for c in columns]))
+    why = F.when(contract, "contract").when(~F.col("crs").eqNullSafe(other("crs")), "crs").when(apart("cell_x") | apart("cell_y"), "cell")
+    return out.select("src", why.alias("why")).filter("why IS NOT NULL")
+
+
 def same_contract(sources: DataFrame, columns: list[str] = CONTRACT) -> DataFrame:
     """sources, an error where one differs from the first."""
     first = sources.agg(F.min_by(F.struct(*columns), "src").alias("__first"))
     out = sources.crossJoin(F.broadcast(first))
-    wrong = F.raise_error(F.concat(F.lit("format contract mismatch: source "), F.col("src").cast("string"))).cast("string")
+    wrong = F.raise_error(F.concat(F.lit("unlike the first in its bit layout: source "), F.col("src").cast("string"))).cast("string")
     return out.filter(F.when(F.struct(*columns).eqNullSafe(F.col("__first")), F.lit("")).otherwise(wrong) == "").drop("__first")
 
 

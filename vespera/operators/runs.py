@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 BOUNDS = ["north", "west", "south", "east"]
@@ -13,10 +17,16 @@ def config_hash(text):
 
 
 def inputs_hash(boxes: DataFrame, outline: str) -> DataFrame:
-    """One row, hash: of the bounds of boxes (box_idx, north, west, south, east) in order and of an outline's text."""
+    """One row, hash: of the bounds of boxes (box_idx, north, west, south, east) in order and of an outline's text, as a JSON document with a blank behind each comma and colon."""
     rows = boxes.agg(F.sort_array(F.collect_list(F.struct("box_idx", *BOUNDS))).alias("b"))  # a manifest, as a person draws it
-    text = F.to_json(F.struct(F.transform("b", lambda x: F.array(*[x[c].cast("double") for c in BOUNDS])).alias("boxes"), F.sha2(F.lit(outline), 256).alias("us_land_sha256")))
-    return rows.select(F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("hash"))
+    land = hashlib.sha256(outline.encode()).hexdigest()
+
+    @F.arrow_udf("string")
+    def hashed(bounds: pa.Array) -> pa.Array:
+        documents = [json.dumps({"boxes": b, "us_land_sha256": land}, sort_keys=True) for b in bounds.to_pylist()]
+        return pa.array(["sha256:" + hashlib.sha256(d.encode()).hexdigest() for d in documents], pa.string())
+
+    return rows.select(hashed(F.transform("b", lambda x: F.array(*[x[c].cast("double") for c in BOUNDS]))).alias("hash"))
 
 
 def entered(boxes: DataFrame, version: int = LEDGER_VERSION) -> DataFrame:

@@ -14,13 +14,21 @@ def load_config(spark: SparkSession, path: str) -> PipelineConfig:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """box_idx, name, north, west, south, east of a JSON manifest; boxes without two full corners are an error."""
+    """box_idx, name, north, west, south, east of a JSON manifest; one without boxes, and boxes without two full corners, are an error."""
     raw = spark.read.schema(f"boxes array<struct<top_left:{CORNER},bottom_right:{CORNER}>>").json(path, multiLine=True)
-    box = raw.select(F.posexplode("boxes").alias("box_idx", "b"))
+    some = F.when(F.coalesce(F.size("boxes"), F.lit(0)) > 0, F.col("boxes")).otherwise(F.raise_error(F.lit("a manifest needs at least one box")))
+    return named_boxes(raw.select(some.alias("boxes")))
+
+
+def named_boxes(manifests: DataFrame) -> DataFrame:
+    """box_idx, name and corners of manifests (boxes, other columns that stay). Names have as many digits as the last index, three at least, so that their order is that of the boxes."""
+    others = [c for c in manifests.columns if c != "boxes"]
+    digits = F.greatest(F.length((F.size("boxes") - 1).cast("string")), F.lit(3))
+    box = manifests.select(*others, digits.alias("digits"), F.posexplode("boxes").alias("box_idx", "b"))
     bad = (F.coalesce(F.size("b.top_left"), F.lit(0)) != 2) | (F.coalesce(F.size("b.bottom_right"), F.lit(0)) != 2)
     corner = lambda c, i: F.when(bad, F.raise_error(F.lit("a box corner needs two numbers"))).otherwise(F.get(f"b.{c}", F.lit(i))).cast("double")
     return box.select(
-        "box_idx", F.concat(F.lit("box_"), F.lpad(F.col("box_idx").cast("string"), 3, "0")).alias("name"),
+        *others, "box_idx", F.concat(F.lit("box_"), F.lpad(F.col("box_idx").cast("string"), F.col("digits"), F.lit("0"))).alias("name"),
         corner("top_left", 0).alias("north"), corner("top_left", 1).alias("west"), corner("bottom_right", 0).alias("south"), corner("bottom_right", 1).alias("east"),
     )
 
