@@ -6,6 +6,8 @@ Paths go through Spark's file layer, so they may lie wherever it can read and wr
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,6 +21,33 @@ def _place(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir; only a local master may go without that setting and gets a temporary one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.getConf().get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="vespera-")
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    fs, place = _place(spark, path)
+    fs.mkdirs(place)
+    return path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in a new shared folder: it is made once, and its lineage ends there."""
+    path = scratch(df.sparkSession, label) + "/t"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mounted(path: str) -> str:
+    """A path or file URI as a path for programs; other URIs are an error."""
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"files are written to mounted folders, not to {path}")
+    return path.removeprefix("file://")
+
+
 def expand_inputs(spark: SparkSession, paths: list[str]) -> list[str]:
     """Files as they are, folders as their .tif files by name: the order decides ties of a merge. What is missing or has none is an error."""
     out = []

@@ -10,12 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from vespera.config import BitLayout
+from vespera.sources.files import mounted, stored
 from vespera.sources.geodata import GEO_KEYS, METADATA, SCALE, TIEPOINT, read_tiff
 
 FORMAT_VERSION, STRIP_ROWS = 1, 64
+#: Bytes before the first strip.
+HEAD = 8
 #: Rows of masks: row 0 in the south, mask the row's pixels byte by byte.
 ROWS = "name string, row int, mask binary"
 CONTRACT = "azimuth_min_deg double, azimuth_max_deg double, azimuth_step_deg double, bit_count int, format_version int, bytes_per_pixel int"
@@ -117,6 +120,59 @@ def write_masks(rows: DataFrame, boxes: DataFrame, layout: BitLayout, cell: floa
     return dealt.mapInPandas(written, "name string, n_rows long")
 
 
+def write_masks_in_strips(rows: DataFrame, boxes: DataFrame, layout: BitLayout, cell: float, folder: str, strip_rows: int = STRIP_ROWS) -> list[str]:
+    """What write_masks writes, with a box's strips packed and written by many tasks. Returns the names, in order.
+
+    Packed strips are stored once; a window over their sizes says where each begins in its file, and tasks write them there, in any
+    order and, after a lost executor, again. A box's directory comes last, with the rename that makes the file appear whole.
+    """
+    size, folder = layout.bytes_per_pixel, mounted(folder)
+    strips = F.explode(F.sequence(F.lit(0), F.ceil(F.col("height") / strip_rows).cast("int") - 1))
+    blank = boxes.select("name", "width", "height", strips.alias("strip"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("binary").alias("mask"))
+    north = F.col("height") - 1 - F.col("row")
+    known = rows.select("name", "row", "mask").join(F.broadcast(boxes.select("name", "width", "height")), "name").filter((F.col("row") >= 0) & (north >= 0))  # a row for each box
+    known = known.select("name", "width", "height", F.floor(north / strip_rows).cast("int").alias("strip"), (north % strip_rows).cast("int").alias("line"), "mask")
+
+    def packed(group: pd.DataFrame) -> pd.DataFrame:
+        first = group.iloc[0]
+        held = np.zeros((min(strip_rows, int(first.height) - int(first.strip) * strip_rows), int(first.width), size), np.uint8)
+        for line, mask in zip(group.line, group["mask"]):
+            if mask is not None:
+                held[int(line)] = np.frombuffer(mask, np.uint8).reshape(-1, size)
+        data = [zlib.compress(np.ascontiguousarray(held[:, :, b]).tobytes(), 6) for b in range(size)]
+        return pd.DataFrame({"name": first["name"], "strip": first.strip, "band": np.arange(size, dtype=np.int32), "bytes": [len(d) for d in data], "data": data})
+
+    parts = stored(known.unionByName(blank).groupBy("name", "strip").applyInPandas(packed, "name string, strip int, band int, bytes long, data binary"), "strips")
+    before = W.partitionBy("name").orderBy("strip", "band").rowsBetween(W.unboundedPreceding, -1)
+    places = parts.select("name", "strip", "band", "bytes").withColumn("at", F.coalesce(F.sum("bytes").over(before), F.lit(0)) + HEAD)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                file = os.open(os.path.join(folder, f"{r.name}.tif.part"), os.O_WRONLY | os.O_CREAT)
+                try:
+                    os.pwrite(file, r.data, r.at)
+                finally:
+                    os.close(file)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    def close(group: pd.DataFrame) -> pd.DataFrame:
+        box, path = group.iloc[0], os.path.join(folder, f"{group.name.iloc[0]}.tif")
+        with open(f"{path}.part", "r+b") as file:
+            out = StripWriter(file, int(box.width), int(box.height), layout, box.west, box.north, cell, strip_rows)
+            for strip, band, at, n in zip(group.strip, group.band, group["at"], group["bytes"]):
+                out.at[band * out.strips + strip], out.size[band * out.strips + strip] = int(at), int(n)
+            file.truncate(int((group["at"] + group["bytes"]).max()))
+            file.seek(0, os.SEEK_END)
+            out.close()
+        os.replace(f"{path}.part", path)
+        return pd.DataFrame({"name": [box["name"]]})
+
+    parts.join(places.select("name", "strip", "band", "at"), ["name", "strip", "band"]).mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    known_boxes = places.join(F.broadcast(boxes.select("name", "west", "north", "width", "height")), "name")
+    return sorted(r["name"] for r in known_boxes.groupBy("name").applyInPandas(close, "name string").collect())  # boxes of a manifest
+
+
 def read_masks(spark: SparkSession, folder: str) -> DataFrame:
     """name, west, north, cell, width, height, the contract's columns, row (0 in the south) and mask of mask rasters."""
 
