@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vespera.config import BitLayout
 from vespera.functions import geo
-from vespera.operators import lattice, packed, runs
+from vespera.operators import lattice, packed, rings, runs
 from vespera.plans.queries import _table, query
 from vespera.sources import text, tiles
 
@@ -94,3 +94,20 @@ def inputs_hashes_p40(spark, sf_dir) -> DataFrame:
         one = runs.inputs_hash(boxes.filter(F.col("n_regionkey") == region), f"outline {region}").select(F.lit(region).alias("r_regionkey"), "hash")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("""WITH RECURSIVE s AS (SELECT c_custkey AS k FROM customer), cells AS (SELECT DISTINCT k * 7919 % 40 AS r, k * 104729 // 7 % 40 AS c FROM s WHERE k % 10 < 9 UNION SELECT r, c FROM range(10, 20) x(r), range(12, 30) y(c) WHERE NOT (r BETWEEN 13 AND 16 AND c BETWEEN 15 AND 20)),
+e AS (SELECT c AS x0, r AS y0, c + 1 AS x1, r AS y1, 0 AS way FROM cells UNION ALL SELECT c + 1, r, c + 1, r + 1, 1 FROM cells UNION ALL SELECT c + 1, r + 1, c, r + 1, 2 FROM cells UNION ALL SELECT c, r + 1, c, r, 3 FROM cells),
+b AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.x0 = e.x1 AND o.y0 = e.y1 AND o.x1 = e.x0 AND o.y1 = e.y0)),
+n AS (SELECT b.x0, b.y0, b.x1, b.y1, b.way, arg_min(o.way, CASE WHEN o.way = (b.way + 1) % 4 THEN 0 ELSE 1 END) AS then_way FROM b JOIN b o ON o.x0 = b.x1 AND o.y0 = b.y1 GROUP BY ALL),
+corners AS (SELECT x1 AS x, y1 AS y, then_way AS way FROM n WHERE then_way <> way),
+walk AS (SELECT x, y, way, x AS cx, y AS cy, way AS cway, 0 AS step, 0::BIGINT AS turns, 0.0::DOUBLE AS area FROM corners
+  UNION ALL SELECT w.x, w.y, w.way, n.x1, n.y1, n.then_way, step + 1, turns + CASE WHEN n.then_way <> n.way THEN 1 ELSE 0 END, area + (n.x0 * n.y1 - n.x1 * n.y0) / 2.0::DOUBLE FROM walk w JOIN n ON n.x0 = w.cx AND n.y0 = w.cy AND n.way = w.cway
+    WHERE (step = 0 OR (w.cx, w.cy, w.cway) <> (w.x, w.y, w.way)) AND ((w.cy << 34) + (w.cx << 2) + w.cway) >= ((w.y << 34) + (w.x << 2) + w.way))
+SELECT ((y << 34) + (x << 2) + way)::BIGINT AS ring, turns AS corners, area FROM walk WHERE step > 0 AND (cx, cy, cway) = (x, y, way)""")
+def rings_k11_j14(spark, sf_dir):
+    """Rings around scattered cells and a block with a hole: their least run, corners and signed areas."""
+    k = F.col("c_custkey")
+    some = _table(spark, sf_dir, "customer").filter(k % 10 < 9).select((k * 7919 % 40).alias("row"), (F.floor(k * 104729 / 7) % 40).alias("col"))
+    block = spark.range(180).select((10 + F.floor(F.col("id") / 18)).alias("row"), (12 + F.col("id") % 18).alias("col")).filter("NOT (row BETWEEN 13 AND 16 AND col BETWEEN 15 AND 20)")
+    return rings.areas(rings.ring_points(some.unionByName(block)))
