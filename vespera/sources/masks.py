@@ -73,7 +73,7 @@ def write_masks(rows: DataFrame, boxes: DataFrame, layout: BitLayout, cell: floa
     A box's rows are sorted from the north in one task, which holds a strip at a time; folder is one that all executors share. A
     file appears whole or not at all.
     """
-    n, size = boxes.count(), layout.bytes_per_pixel
+    n, size, folder = boxes.count(), layout.bytes_per_pixel, mounted(folder)
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict = {}

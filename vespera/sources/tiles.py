@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vespera.config import BitLayout
-from vespera.sources.files import emptied
+from vespera.sources.files import emptied, mounted
 from vespera.sources.geodata import write_tiff
 
 TILE, FORMAT_VERSION = 512, 1
@@ -65,6 +65,7 @@ def write_tile_files(tiles: DataFrame, root: str) -> None:
 
     A file appears whole or not at all.
     """
+    root = mounted(root)
     emptied(tiles.sparkSession, root)
 
     def write(rows) -> None:
@@ -122,7 +123,7 @@ def tilejson(layout: BitLayout, bounds: tuple[float, float, float, float], minzo
 
 
 def write_tilejson(document: dict, path: str) -> None:
-    with open(path, "w") as f:
+    with open(mounted(path), "w") as f:
         json.dump(document, f, indent=2)
 
 
