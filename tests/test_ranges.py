@@ -85,3 +85,29 @@ def test_strips_of_a_box_by_many_tasks(spark, tmp_path):
     assert (tmp_path / "one" / "box_002.tif").read_bytes() == (tmp_path / "many" / "box_002.tif").read_bytes()
     with pytest.raises(ValueError, match="mounted"):
         masks.write_masks_in_strips(table, boxes, LAYOUT, 1 / 60, "s3://bucket/x", 32)
+
+
+def test_a_rectangle_reads_few_row_groups(spark, tmp_path):
+    """The share of row groups whose bounds meet a rectangle, along the curve and in any order; the filter gives the same rows."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from vespera.operators import lattice
+
+    rng = random.Random(7)
+    rows = [(k, x := rng.uniform(-179, 178), y := rng.uniform(-89, 88), x + rng.random(), y + rng.random()) for k in range(20_000)]
+    table = spark.createDataFrame(rows, "poly long, west double, south double, east double, north double")
+    lattice.store_by_curve(table, str(tmp_path / "curve"), 64)
+    table.repartition(64).write.parquet(str(tmp_path / "any"))
+    shares = {}
+    for name in ("curve", "any"):
+        groups = [pq.ParquetFile(f).metadata.row_group(i) for f in sorted((tmp_path / name).glob("*.parquet")) for i in range(pq.ParquetFile(f).metadata.num_row_groups)]
+        low_high = lambda g, c: (lambda s: (s.min, s.max))(next(g.column(i).statistics for i in range(g.num_columns) if g.column(i).path_in_schema == c))
+        met = [g for g in groups if low_high(g, "south")[0] < 41 and low_high(g, "north")[1] > 30 and low_high(g, "west")[0] < -110 and low_high(g, "east")[1] > -125]
+        shares[name] = len(met) / len(groups)
+    assert len(groups) >= 60 and shares["any"] == 1.0 and shares["curve"] < 0.15
+    found = geodata.within(spark.read.parquet(str(tmp_path / "curve")), 30.0, -125.0, 41.0, -110.0)
+    assert sorted(r.poly for r in found.collect()) == sorted(k for k, x, y, e, n in rows if y < 41 and n > 30 and x < -110 and e > -125)
+    assert "PushedFilters" in found._jdf.queryExecution().executedPlan().toString()
+    keys = spark.createDataFrame([(0.0, 0.0), (90.0, 180.0), (-90.0, -180.0), (-45.0, 90.0)], "lat double, lon double").select(lattice.curve_key(F.col("lat"), F.col("lon"), 2)).collect()
+    assert [r[0] for r in keys] == [12, 15, 0, 7]

@@ -66,6 +66,26 @@ def overlapping(polygons: DataFrame, area: DataFrame) -> DataFrame:
     return polygons.crossJoin(F.broadcast(of)).filter(meets).select(*polygons.columns)
 
 
+def curve_key(lat: Column, lon: Column, bits: int = 16) -> Column:
+    """Place of a point along a curve that fills the map: the bits of both coordinates by turns (Morton order), so near points mostly have near places."""
+    part = lambda v, span: F.least(F.greatest(F.floor((v / span + 0.5) * (1 << bits)), F.lit(0)), F.lit((1 << bits) - 1)).cast("long")
+
+    def spread(v: Column) -> Column:
+        """The bits of a number of up to 32 bits, an empty place behind each."""
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return spread(part(lon, 360.0)).bitwiseOR(F.shiftleft(spread(part(lat, 180.0)), 1))
+
+
+def store_by_curve(polygons: DataFrame, path: str, files: int) -> None:
+    """polygons (west, south, east, north, ...) as a table in the order of their middles along the curve, in so many files: the bounds of a row group are then a small part of the map, and filters on them skip the others."""
+    middle = curve_key((F.col("south") + F.col("north")) / 2, (F.col("west") + F.col("east")) / 2)
+    dealt = polygons.withColumn("__curve", middle).repartitionByRange(files, "__curve").sortWithinPartitions("__curve").drop("__curve")
+    dealt.write.option("parquet.block.size", 1 << 20).parquet(path)
+
+
 def metres(lat: Column, lon: Column) -> tuple[Column, Column]:
     """x and y of a point on the map, in metres."""
     s = F.sin(F.radians(lat))

@@ -209,8 +209,8 @@ def sweep_packed(boxes: DataFrame, config: PipelineConfig, elevation: Lookup, wa
         return pd.DataFrame({"box_idx": group.box_idx.iloc[:1].to_numpy(), "strip": group.strip.iloc[:1].to_numpy(), "row": group.row.iloc[:1].to_numpy(), "mask": [mask]})
 
     work = slices(strips(boxes, config), config)
-    # A number of partitions that is given is kept: tiny rows would else be put together in one task, whatever work they stand for.
-    work = work.repartition(tasks or max(1, work.count()), "box_idx", "strip", "az")
+    # Ranges of few rows hold one each, where hashes would deal some tasks several and others none; a number that is given is kept, however tiny the rows.
+    work = work.repartitionByRange(tasks or max(1, work.count()), "box_idx", "strip", "az")
     rows = work.mapInPandas(swept, "box_idx int, strip int, row int, az int, width int, west double, lat double, seen binary")
     return rows.groupBy("box_idx", "strip", "row").applyInPandas(merged, "box_idx int, strip int, row int, mask binary")
 

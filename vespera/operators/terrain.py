@@ -67,22 +67,35 @@ def west_edge(samples: DataFrame, tolerance: float) -> DataFrame:
     return out.withColumn("passes", F.col("land") <= F.col("n") * F.lit(tolerance))
 
 
+def corners(cells: DataFrame, per_degree: int) -> DataFrame:
+    """south, west, r, c and h00, h01, h10, h11: of each cell (south, west, r, c, h) its own height and those of the next column, row and both; the last ones of a tile stand for what is beyond them."""
+    at = F.struct(F.col("r").alias("r"), F.col("c").alias("c"))
+    back = lambda dr, dc: F.struct((F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), F.lit(f"h{dr}{dc}").alias("which"))
+    each = cells.select("south", "west", "h", at.alias("at"), F.explode(F.array(*[back(dr, dc) for dr in (0, 1) for dc in (0, 1)])).alias("q")).filter("q.r >= 0 AND q.c >= 0")
+    names = ("h00", "h01", "h10", "h11")
+    out = each.groupBy("south", "west", F.col("q.r").alias("r"), F.col("q.c").alias("c")).agg(*[F.max(F.when(F.col("q.which") == n, F.col("h"))).alias(n) for n in names])
+    down, right = F.col("r") < per_degree - 1, F.col("c") < per_degree - 1
+    h = lambda n: F.col(n)
+    beside = F.when(right, h("h01")).otherwise(h("h00"))
+    below = F.when(down, h("h10")).otherwise(h("h00"))
+    both = F.when(down & right, h("h11")).when(down, h("h10")).when(right, h("h01")).otherwise(h("h00"))
+    return out.select("south", "west", "r", "c", "h00", beside.alias("h01"), below.alias("h10"), both.alias("h11"))
+
+
 def bilinear(points: DataFrame, cells: DataFrame, per_degree: int) -> DataFrame:
     """points (lat, lon, ...) with h from the four cells (south, west, r, c, h) around them; null where there is no tile.
 
-    Cells are area-registered with row 0 in the north; a point near a tile's edge uses the edge's cells. The
-    cells of a tile are found by one equi-join on the tile and the cell, once for each corner.
+    Cells are area-registered with row 0 in the north; a point near a tile's edge uses the edge's cells. Each cell
+    hands its height to the four squares that it is a corner of, so points meet their square in one equi-join.
     """
     y = (F.col("south") + 1 - F.col("lat")) * per_degree - 0.5
     x = (F.col("lon") - F.col("west")) * per_degree - 0.5
-    clamp = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(per_degree - 1)).cast("int")
+    inside = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(per_degree - 1.0))
     out = points.withColumns({"south": F.floor("lat").cast("int"), "west": F.floor("lon").cast("int")})
-    out = out.withColumns({"__fy": F.least(F.greatest(y, F.lit(0.0)), F.lit(per_degree - 1.0)), "__fx": F.least(F.greatest(x, F.lit(0.0)), F.lit(per_degree - 1.0))})
-    out = out.withColumns({"__r": F.floor("__fy").cast("int"), "__c": F.floor("__fx").cast("int")})
-    for dr in (0, 1):
-        for dc in (0, 1):
-            corner = cells.select("south", "west", F.col("r").alias("__rr"), F.col("c").alias("__cc"), F.col("h").alias(f"__h{dr}{dc}"))
-            out = out.withColumns({"__rr": clamp(F.col("__r") + dr), "__cc": clamp(F.col("__c") + dc)}).join(corner, ["south", "west", "__rr", "__cc"], "left").drop("__rr", "__cc")
+    out = out.withColumns({"__fy": inside(y), "__fx": inside(x)}).withColumns({"__r": F.floor("__fy").cast("int"), "__c": F.floor("__fx").cast("int")})
+    squares = corners(cells, per_degree).withColumnsRenamed({"r": "__r", "c": "__c"} | {f"h{i}": f"__h{i}" for i in ("00", "01", "10", "11")})
+    out = out.join(squares, ["south", "west", "__r", "__c"], "left")
     ty, tx = F.col("__fy") - F.col("__r"), F.col("__fx") - F.col("__c")
     top, bottom = F.col("__h00") * (1 - tx) + F.col("__h01") * tx, F.col("__h10") * (1 - tx) + F.col("__h11") * tx
-    return out.withColumn("h", (top * (1 - ty) + bottom * ty).cast("float")).drop("__fy", "__fx", "__r", "__c", "__h00", "__h01", "__h10", "__h11")
+    out = out.withColumn("h", (top * (1 - ty) + bottom * ty).cast("float"))
+    return out.select(*[c for c in points.columns if c not in ("south", "west", "h")], "south", "west", "h")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from vespera.config import BitLayout
-from vespera.operators import polygons, sweep, terrain
+from vespera.operators import lattice, polygons, sweep, terrain
 from vespera.plans.queries import _table, query
 from vespera.plans.sweep_queries import WINDOW
 from vespera.sources import elevation, files, geodata, masks, shorelines, text, tiles
@@ -180,3 +180,13 @@ def target_rays_p17(spark, sf_dir):
     k = F.col("c_custkey")
     points = _table(spark, sf_dir, "customer").select("c_custkey", (37 + k % 97 * F.lit(0.0013)).alias("lat"), (-123 + k % 89 * F.lit(0.0047)).alias("lon"))
     return points.select("c_custkey", terrain.target_ray(F.col("lat"), F.col("lon"), 37.0, -123.0, 280.0, WINDOW).alias("ray"))
+
+
+@query("""WITH p AS (SELECT c_custkey AS poly, c_custkey * 7919 % 3570 * 0.1::DOUBLE - 179 AS west, c_custkey * 104729 % 1760 * 0.1::DOUBLE - 88 AS south FROM customer) SELECT poly, round(west, 6) AS west, round(south, 6) AS south FROM p WHERE south < 41 AND south + 0.75 > 20 AND west < -90 AND west + 0.5 > -140""")
+def water_by_curve_s9(spark, sf_dir):
+    """Polygons stored along a curve that fills the map; those that meet a rectangle, by filters that skip row groups."""
+    k = F.col("c_custkey")
+    west, south = k * 7919 % 3570 * F.lit(0.1) - 179, k * 104729 % 1760 * F.lit(0.1) - 88
+    path = files.scratch(spark, "curve") + "/t"
+    lattice.store_by_curve(_table(spark, sf_dir, "customer").select(k.alias("poly"), west.alias("west"), south.alias("south"), (west + 0.5).alias("east"), (south + 0.75).alias("north")), path, 8)
+    return geodata.within(spark.read.parquet(path), 20.0, -140.0, 41.0, -90.0).select("poly", F.round("west", 6).alias("west"), F.round("south", 6).alias("south"))

@@ -116,7 +116,7 @@ def write_masks(rows: DataFrame, boxes: DataFrame, layout: BitLayout, cell: floa
             yield finish()
 
     placed = boxes.select("name", "west", "north", "width", "height").join(rows.select("name", "row", "mask"), "name", "left").withColumn("tiff_row", F.col("height") - 1 - F.col("row"))
-    dealt = placed.repartition(max(1, n), "name").sortWithinPartitions("name", "tiff_row")
+    dealt = placed.repartitionByRange(max(1, n), "name").sortWithinPartitions("name", "tiff_row")
     return dealt.mapInPandas(written, "name string, n_rows long")
 
 
