@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vespera.llm.common import LOWER, UPPER, durable, id_key, unused, without
+from vespera.llm.common import HOT, LOWER, UPPER, durable, id_key, spread_join, unused, without
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 5
@@ -23,6 +23,8 @@ COLUMNS = ("n_words", "n_hit", "n_items", "item_ids", "contaminated")
 BROADCAST_PRINTS, BROADCAST_BYTES = 200_000, 64 << 20
 #: A kept k-gram is packed as 32 bits of hash above 31 bits of position.
 POSITION = 31
+#: Parts that the hits of a frequent fingerprint are dealt to beyond these bounds.
+SALTS = 64
 
 
 def words(text: Column) -> Column:
@@ -84,6 +86,16 @@ def _extended(w: Column, hit: Column, window: int, k: int) -> Column:
     return F.struct(hit["item_id"].alias("item_id"), F.when(same & ((kind > 0) | (end - start >= window)), start).alias("start"), end.alias("end"))
 
 
+def _salted(hits: DataFrame, marks: DataFrame) -> DataFrame:
+    """hits joined with marks on kind and hash, with the hits of frequent fingerprints in SALTS parts and their marks in each of these."""
+    total, key = hits.count(), ["kind", "hash"]
+    frequent = F.broadcast(durable(hits.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") * HOT > total).select(*key, F.lit(True).alias("__hot")), "frequent"))  # fewer than HOT
+    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64("__doc", "__text", "pos"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    each = marks.join(frequent, key, "left").withColumn("__salt", F.explode(parts)).drop("__hot")
+    return hits.join(frequent, key, "left").withColumn("__salt", salt).drop("__hot").join(each, [*key, "__salt"]).drop("__salt")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """docs with n_words, n_hit, n_items, item_ids (sorted as strings) and contaminated."""
     items = benchmark.select(F.col("item_id"), words(F.col("text")).alias("__w")).filter(F.size("__w") > 0).distinct()
@@ -105,8 +117,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     source = docs.select(id_key("doc_id").alias("__doc"), F.xxhash64(text).alias("__text"), _hashes(words(F.col(text))).alias("__h"))
     source = _with_prints(source, window, k)
     own = _prints(source, ["__doc", "__text"], lengths, whole=False)
-    known = keys.withColumn("__known", F.lit(True))
-    found = own.join(F.broadcast(known) if small else known, ["kind", "hash"], "left").filter("kind = -1 OR __known")
+    if small:
+        known = F.broadcast(keys.withColumn("__known", F.lit(True)))
+        found = own.join(known, ["kind", "hash"], "left").filter("kind = -1 OR __known")
+    else:  # fingerprints that many documents have stay where they are, the others are shuffled
+        known = durable(own.groupBy("kind", "hash").agg(F.count("*").alias("n")).join(keys, ["kind", "hash"]), "known")
+        total = known.agg(F.sum("n")).first()[0] or 0
+        found = spread_join(own.filter("kind >= 0"), known, ["kind", "hash"], total).unionByName(own.filter("kind = -1"))
     found = durable(found.select("__doc", "__text", "kind", "hash", "pos"), "found")
     counts = found.filter("kind = -1").groupBy("__doc", "__text").agg(F.max(F.col("pos").cast("long")).alias("n_words"))
 
@@ -114,7 +131,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     around = sum(F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 8), F.lit(0).cast("long")) for c in ("gram", "before", "after"))
     held = marks.agg(F.count("*").alias("n"), F.sum(around).alias("bytes")).first()
     light = held.n <= BROADCAST_PRINTS and (held.bytes or 0) <= BROADCAST_BYTES  # then a k-gram that many documents have isn't gathered
-    hits = found.filter("kind >= 0").distinct().join(F.broadcast(marks) if light else marks, ["kind", "hash"])
+    hits = found.filter("kind >= 0").distinct()
+    hits = hits.join(F.broadcast(marks), ["kind", "hash"]) if light else _salted(durable(hits, "hits"), marks)
     hits = hits.groupBy("__doc", "__text").agg(F.collect_list(F.struct("pos", "kind", "gram", "before", "after", "item_id")).alias("__hits"))
     texts = docs.select(id_key("doc_id").alias("__doc"), F.xxhash64(text).alias("__text"), F.col(text).alias("__t"))
     spans = hits.join(texts, ["__doc", "__text"]).withColumn("__w", words(F.col("__t")))

@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over all words of a bounded sample of labelled documents. A word's weight is
+Texts are TF-IDF vectors over all words of a bounded sample of labelled documents, none over MAX_EXAMPLE characters. A word's weight is
 (1 + ln tf) * idf * |delta|: idf from document frequencies over all documents, and delta the smoothed log
 ratio of the word's document frequencies in the two classes, as in Delta TF-IDF. No word of the sample
 is left out, and any other word has a delta of zero. Examples are kept in an inverted index whose
@@ -31,6 +31,8 @@ from vespera.llm.common import bounded_batches, durable, unused, without
 
 #: Bounds of the labelled sample, by class.
 MAX_TOXIC, MAX_CLEAN = 1000, 2000
+#: Longer labelled documents are no examples, so that the driver holds a bounded number of words.
+MAX_EXAMPLE = 100_000
 #: Examples that a class frequency is smoothed with; neighbours; examples in a block of the index.
 SMOOTHING, K, BLOCK, THRESHOLD = 5.0, 16, 64, 0.7
 COLUMNS = ("held_out", "score", "predicted", "evidence")
@@ -217,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_toxic: int =
     classes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pick = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
     chosen = F.broadcast(pick[0].union(pick[1]))  # max_toxic + max_clean rows at most
-    sample = docs.select("doc_id", F.col(text).alias("__t")).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("__t").alias("__t"))
+    short = F.coalesce(F.length(text) <= MAX_EXAMPLE, F.lit(True))
+    sample = docs.filter(short).select("doc_id", F.col(text).alias("__t")).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("__t").alias("__t"))
     sample = durable(sample, "examples")
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     found = sample.select("toxic", F.explode(_distinct_words()(F.col("__t"))).alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).toArrow()
