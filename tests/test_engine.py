@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vespera.config import PRODUCTION, BitLayout, PipelineConfig
 from vespera.functions import bits, geo
 from vespera.operators import rasters, terrain
-from vespera.plans import queries as plans
+from vespera.plans import file_queries, grid_queries, packed_queries, queries as plans, sweep_queries, vector_queries  # noqa: F401  register their queries
 from vespera.sources import text as sources
 
 SF = "/root/testdata/sf0.001"
@@ -102,7 +102,7 @@ def test_manifest_and_clip(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_query_matches_sql(spark, name):
     db = duckdb.connect()
-    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = plans.QUERIES[name](spark, SF)
     want = db.execute(plans.SQL[name])
