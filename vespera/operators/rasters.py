@@ -60,20 +60,25 @@ def overzoom(tiles: DataFrame, wanted: DataFrame, levels: int, size: int) -> Dat
     return joined.withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step)).select("x", "y", (F.col("r0") * n + F.col("dr")).alias("row"), (F.col("c0") * n + F.col("dc")).alias("col"), "value")
 
 
+def crossings(edges: DataFrame, height: int, key: tuple[str, ...] = ("poly",)) -> DataFrame:
+    """key, row, x: where edges (key, x0, y0, x1, y1 in pixels) cross the middles of the rows 0 to height - 1, a row for each."""
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    first, last = F.greatest(F.ceil(low - 0.5), F.lit(0)), F.least(F.ceil(high - 0.5) - 1, F.lit(height - 1))
+    rows = edges.filter("y0 <> y1").withColumn("first", first.cast("int")).withColumn("last", last.cast("int")).filter("first <= last")
+    rows = rows.withColumn("row", F.explode(F.sequence("first", "last")))
+    x = F.col("x0") + (F.col("row") + 0.5 - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
+    return rows.select(*key, "row", x.alias("x"))
+
+
 def fill_runs(edges: DataFrame, height: int, width: int, key: tuple[str, ...] = ("poly",)) -> DataFrame:
     """key, row, a, b: runs of pixels a to b whose centres lie in polygons, by the even-odd rule.
 
     edges: key, x0, y0, x1, y1 in pixels. Each edge is expanded to the rows it crosses; of a row's sorted
     crossings, every second pair bounds a run of pixels.
     """
-    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
-    first, last = F.greatest(F.ceil(low - 0.5), F.lit(0)), F.least(F.ceil(high - 0.5) - 1, F.lit(height - 1))
-    rows = edges.filter("y0 <> y1").withColumn("first", first.cast("int")).withColumn("last", last.cast("int")).filter("first <= last")
-    rows = rows.withColumn("row", F.explode(F.sequence("first", "last")))
-    x = F.col("x0") + (F.col("row") + 0.5 - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
-    crossings = rows.groupBy(*key, "row").agg(F.sort_array(F.collect_list(x)).alias("xs"))
+    met = crossings(edges, height, key).groupBy(*key, "row").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     pairs = F.transform(F.sequence(F.lit(1), F.floor(F.size("xs") / 2).cast("int")), lambda i: F.struct(F.get("xs", 2 * i - 2).alias("a"), F.get("xs", 2 * i - 1).alias("b")))
-    runs = crossings.filter("size(xs) > 1").select(*key, "row", F.explode(pairs).alias("r"))
+    runs = met.filter("size(xs) > 1").select(*key, "row", F.explode(pairs).alias("r"))
     a, b = F.greatest(F.ceil(F.col("r.a") - 0.5), F.lit(0)).cast("int"), F.least(F.ceil(F.col("r.b") - 0.5) - 1, F.lit(width - 1)).cast("int")
     return runs.select(*key, "row", a.alias("a"), b.alias("b")).filter("a <= b")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vespera.operators.rasters import cover, fill_runs, without_cells
+from vespera.operators.rasters import cover, crossings, without_cells
 
 TILE_CELLS = 10_800
 
@@ -43,20 +43,29 @@ def rasterised(edges: DataFrame, index: DataFrame, cells: int = TILE_CELLS) -> D
     at = edges.join(index, "poly")
     px, py = lambda c: (F.col(c) - F.col("west")) * cells, lambda c: (F.col("south") + 1 - F.col(c)) * cells
     at = at.select("poly", "south", "west", px("x0").alias("x0"), py("y0").alias("y0"), px("x1").alias("x1"), py("y1").alias("y1"))
-    runs = fill_runs(at, cells, cells, ("poly", "south", "west"))
+    met = crossings(at, cells, ("poly", "south", "west"))
 
     @F.arrow_udf("array<long>")
     def packed(rows: pa.Array) -> pa.Array:
-        out = []
-        for row in rows:
-            bits = np.zeros(-(-cells // 32) * 32, np.uint8)
-            for r in row.as_py():
-                bits[r["a"] : r["b"] + 1] = 1
-            out.append(np.packbits(bits, bitorder="little").view("<u4").astype(np.int64))
+        """Of a row's crossings, by polygon and from the west, every second pair bounds a run of water; runs of several polygons may overlap."""
+        begin, flat = rows.offsets.to_numpy(), rows.values
+        poly, x = flat.field("poly").to_numpy(), flat.field("x").to_numpy()
+        out, bits = [], np.zeros(-(-cells // 32) * 32, np.uint8)
+        for i in range(len(rows)):
+            bits[:] = 0
+            p, edge = poly[begin[i] : begin[i + 1]], x[begin[i] : begin[i + 1]]
+            order = np.lexsort((edge, p))
+            p, edge = p[order], np.ceil(edge[order] - 0.5).astype(np.int64)
+            place = np.arange(len(p)) - np.searchsorted(p, p)  # among its polygon's
+            first = np.flatnonzero((place[:-1] % 2 == 0) & (p[:-1] == p[1:]))
+            for a, b in zip(np.clip(edge[first], 0, cells).tolist(), np.clip(edge[first + 1], 0, cells).tolist()):
+                bits[a:b] = 1
+            words = np.packbits(bits, bitorder="little").view("<u4")
+            out.append(words.astype(np.int64) if words.any() else None)
         return pa.array(out, pa.list_(pa.int64()))
 
-    rows = runs.groupBy("south", "west", F.col("row").alias("r")).agg(F.collect_list(F.struct("a", "b")).alias("g"))  # a row's runs: half its cells at most for each polygon
-    return rows.select("south", "west", "r", packed("g").alias("words"))
+    rows = met.groupBy("south", "west", F.col("row").alias("r")).agg(F.collect_list(F.struct("poly", "x")).alias("g"))  # a row's crossings: its polygons' edges over one row of cells
+    return rows.select("south", "west", "r", packed("g").alias("words")).filter("words IS NOT NULL")
 
 
 def water_at(points: DataFrame, rows: DataFrame, tiles: DataFrame, cells: int = TILE_CELLS) -> DataFrame:
