@@ -28,9 +28,12 @@ def row_runs(spans: list[Span]) -> list[tuple[int, int, int]]:
     depth = lambda s, c: min(s[3], s[2] - c - 0.5)
     best = lambda held, c: max(held, key=lambda s: (depth(s, c), -s[0]))
     edges = sorted({e for s in spans for e in s[1:3]})
+    coming, held = sorted(spans, key=lambda s: -s[1]), []
     out: list[list[int]] = []
     for begin, end in zip(edges, edges[1:]):
-        held = [s for s in spans if s[1] <= begin < s[2]]
+        held = [s for s in held if s[2] > begin]
+        while coming and coming[-1][1] <= begin:
+            held.append(coming.pop())
         at = begin
         while held and at < end:
             won = best(held, at)
