@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vespera.llm.common import bounded_batches, durable, spread_join, without
+from vespera.llm.common import at_work, bounded_batches, durable, spread_join, without
 from vespera.llm.pieces import MODEL, encoder_of, load_model
 
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
@@ -243,7 +243,7 @@ def _table(rows: list[dict]) -> pa.Array:
 
 def align_tokens(docs: DataFrame, text: str = "text", byte_model: str = BYTE_MODEL, piece_model: str = MODEL) -> DataFrame:
     """row, own (a struct of docs' columns but the text), n_a, n_b, n_groups, n_links, groups_sha256 and links (distinct pairs and how often each is linked), stored."""
-    spark = docs.sparkSession
+    docs, spark = at_work(docs), docs.sparkSession
     bounded_batches(spark)
     first, second = load_model(byte_model), load_model(piece_model)
     shared = spark.sparkContext.broadcast(first), spark.sparkContext.broadcast(second)  # vocabulary files, which no input makes larger

@@ -122,5 +122,11 @@ def real_id(c: Column) -> Column:
     return F.when(c != F.lit(NULL_ID).cast("long"), c)
 
 
+def at_work(docs: DataFrame) -> DataFrame:
+    """docs in as many partitions at least as there are cores to work on them: a small file is one partition, however much work its texts are. Inputs of more partitions stay where they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vespera.llm.common import bounded_batches, durable, id_key, without
+from vespera.llm.common import at_work, bounded_batches, durable, id_key, without
 from vespera.llm.sharding import ranked
 
 RUNS, BUCKETS, SEED, MIN_WORDS, PERCENT = 1, 10_000, 2024, 20, 10
@@ -134,7 +134,7 @@ def upto(key: list[str], bound: tuple[int, ...]) -> Column:
 
 def resample(docs: DataFrame, target: DataFrame, text: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS, **options) -> DataFrame:
     """docs without text, with n_features, weight, score and rank: 1, 2, ... for the drawn percent of the documents of min_words or more, else null."""
-    docs = without(docs, COLUMNS)
+    docs = at_work(without(docs, COLUMNS))
     rows = weighed(docs, target, text, **options)
     fit = F.col("n_words") >= min_words
     k = rows.filter(fit).count() * percent // 100
