@@ -25,6 +25,8 @@ SLANT = math.sqrt(2) / 1000
 #: Edges in a square that are compared without dividing it; parts on a side that a square is divided into, and how often.
 CROWD, PARTS, DEPTH = 64, 4, 6
 HOW = ("union", "intersection", "difference")
+#: By how much winding numbers of either table change over a piece, and how many of its edges lie there.
+COUNTS = ("side_a", "side_b", "n_a", "n_b")
 
 
 def snapped(edges: DataFrame) -> DataFrame:
@@ -98,18 +100,28 @@ def arrangement(edges: DataFrame, key: list[str]) -> DataFrame:
 
     side: 0 (a) or 1 (b). side_a and side_b say by how much the winding numbers above a piece exceed those below, n_a and n_b how many edges lie on it.
     """
-    whole = stored(snapped(edges).withColumn("piece", F.monotonically_increasing_id()), "edges")
+    whole = stored(_once(snapped(edges), key).withColumn("piece", F.monotonically_increasing_id()), "edges")
     ends = whole.select(*key, "piece", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("p")).select(*key, "piece", "p.x", "p.y")
-    points = ends.unionByName(meetings(whole.drop("side"), key)).distinct()
+    points = ends.unionByName(meetings(whole.drop(*COUNTS), key)).distinct()
     at = points.join(whole, [*key, "piece"])
     along = (F.col("x") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y1") - F.col("y0"))
     step = W.partitionBy(*key, "piece").orderBy("along", "x", "y")
-    cut = at.withColumn("along", along).select(*key, "side", "x", "y", F.lead("x").over(step).alias("nx"), F.lead("y").over(step).alias("ny")).filter("nx IS NOT NULL")
-    east = (F.col("nx") - F.col("x")) + (F.col("ny") - F.col("y")) * SLANT > 0
-    ends = [F.when(east, F.col(a)).otherwise(F.col(b)).alias(n) for a, b, n in (("x", "nx", "x0"), ("y", "ny", "y0"), ("nx", "x", "x1"), ("ny", "y", "y1"))]
-    sign = F.when(east, 1).otherwise(-1)
-    pieces = cut.select(*key, "side", *ends, sign.alias("sign")).groupBy(*key, "x0", "y0", "x1", "y1").agg(*[F.sum(F.when(F.col("side") == s, v).otherwise(0)).alias(n) for s, v, n in ((0, F.col("sign"), "side_a"), (1, F.col("sign"), "side_b"), (0, F.lit(1), "n_a"), (1, F.lit(1), "n_b"))])
-    return pieces
+    cut = at.withColumn("along", along).select(*key, *COUNTS, "x", "y", F.lead("x").over(step).alias("x1"), F.lead("y").over(step).alias("y1")).filter("x1 IS NOT NULL")
+    return _merged(cut.withColumnsRenamed({"x": "x0", "y": "y0"}), key)
+
+
+def _once(edges: DataFrame, key: list[str]) -> DataFrame:
+    """key, x0, y0, x1, y1 and COUNTS: edges (key, side, x0, y0, x1, y1) that lie on each other from end to end are one, so that copies of a polygon meet others once."""
+    of = lambda s, v: F.when(F.col("side") == s, v).otherwise(0)
+    return _merged(edges.select(*key, "x0", "y0", "x1", "y1", *[of(s, 1).cast("long").alias(f"{n}_{'ab'[s]}") for n in ("side", "n") for s in (0, 1)]), key)
+
+
+def _merged(edges: DataFrame, key: list[str]) -> DataFrame:
+    """Edges (key, x0, y0, x1, y1, COUNTS) directed east, with equal ones as one that has the sums of their COUNTS."""
+    east = (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * SLANT > 0
+    ends = [F.when(east, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x0", "x1"), ("y0", "y1"), ("x1", "x0"), ("y1", "y0"))]
+    counts = [(F.when(east, F.col(c)).otherwise(-F.col(c)) if c.startswith("side") else F.col(c)).alias(c) for c in COUNTS]
+    return edges.select(*key, *ends, *counts).groupBy(*key, "x0", "y0", "x1", "y1").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def above(pieces: DataFrame, key: list[str], counts: list[str]) -> DataFrame:
