@@ -110,3 +110,15 @@ def test_union_of_one_table_and_empty_ones(spark):
     assert overlay.overlay(a, a.limit(0), "intersection").count() == 0 and overlay.overlay(a.limit(0), None, "union").count() == 0
     with pytest.raises(ValueError):
         overlay.overlay(a, None, "difference")
+
+
+def test_copies_of_polygons_meet_others_once(spark, monkeypatch):
+    """A hundred copies of three rectangles, as larger tables have them: no more pairs are compared than of one copy, and how often pieces are covered stays."""
+    one = [[square(0, 0, 4)], [square(1, 0, 4)], [square(2, 2, 5)[::-1]]]
+    compared, met = [], overlay._met
+    monkeypatch.setattr(overlay, "_met", lambda placed, key: compared.append(placed.count()) or met(placed, key))
+    few = overlay.compared(spark.createDataFrame(edges_of(one[:1]), EDGES), spark.createDataFrame(edges_of(one[1:]), EDGES)).collect()
+    n = compared[-1]
+    many = overlay.compared(spark.createDataFrame(edges_of(one[:1] * 100), EDGES), spark.createDataFrame(edges_of(one[1:] * 100), EDGES)).collect()
+    assert compared[-1] == n and len(many) == len(few)
+    assert {(*r[:4], *r[4:]) for r in many} == {(*r[:4], *[100 * c for c in r[4:]]) for r in few}
