@@ -113,3 +113,13 @@ def test_inputs_hash_is_of_a_document_with_blanks(spark):
     got = runs.inputs_hash(spark.createDataFrame(boxes, "box_idx int, north double, west double, south double, east double"), "land").first().hash
     document = json.dumps({"boxes": [list(b[1:]) for b in sorted(boxes)], "us_land_sha256": hashlib.sha256(b"land").hexdigest()}, sort_keys=True)
     assert got == "sha256:" + hashlib.sha256(document.encode()).hexdigest()
+
+
+def test_a_row_holds_no_more_pieces_than_its_columns_allow(spark, monkeypatch):
+    """Thousands of boxes over few columns: the sweep of a row gets the different pieces, and the runs are those of all boxes."""
+    few = [(i, i % 2, i % 3, i % 4 + 1, i % 5 + 1) for i in range(60)]
+    table = spark.createDataFrame(few, "src int, row_off int, col_off int, height int, width int")
+    many = table.crossJoin(spark.range(200)).select((F.col("src") + 60 * F.col("id")).alias("src"), "row_off", "col_off", "height", "width")
+    expected = sorted((row, a, b, s) for row in range(6) for a, b, s in packed.row_runs([(s, co, co + w, min(row - ro + 0.5, h - (row - ro) - 0.5)) for s, ro, co, h, w in few if ro <= row < ro + h]))
+    assert sorted(tuple(r) for r in packed.merge_runs(many).collect()) == expected
+    assert packed.row_pieces(many).count() == packed.row_pieces(table).count()

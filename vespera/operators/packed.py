@@ -1,13 +1,14 @@
 """Masks as rows of bytes from boxes to map tiles: no row for a pixel anywhere.
 
 Boxes are merged by runs: along a lattice row a box's depth is flat and then falls by one a column to its eastern edge, so the
-deepest box changes at few columns, found by a sweep over the row's boxes. Map rows take their bytes from the nearest source row
+deepest box changes at few columns, found by a sweep over the flat and falling pieces of the row's boxes. Map rows take their bytes from the nearest source row
 through one vector of columns. Tiles are put together from row pieces, and coarser tiles from four finer ones.
 """
 
 from __future__ import annotations
 
 import gzip
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -21,50 +22,76 @@ from vespera.sources.tiles import TILE
 
 #: A box in a lattice row: source, first column, column after the last, depth before the fall.
 Span = tuple[int, int, int, float]
+#: A part of one: whether it falls, first column, column after the last, depth at the first column, source.
+Piece = tuple[bool, int, int, float, int]
 
 
 def row_runs(spans: list[Span]) -> list[tuple[int, int, int]]:
     """(first column, last column, source) of the runs of a row that the same box is deepest in; of equals the least source."""
-    depth = lambda s, c: min(s[3], s[2] - c - 0.5)
-    best = lambda held, c: max(held, key=lambda s: (depth(s, c), -s[0]))
-    edges = sorted({e for s in spans for e in s[1:3]})
-    coming, held = sorted(spans, key=lambda s: -s[1]), []
-    out: list[list[int]] = []
+    pieces = []
+    for src, a, b, flat in spans:
+        turn = max(a, math.ceil(b - 0.5 - flat))
+        pieces += [(False, a, turn, flat, src)] * (turn > a) + [(True, turn, b, b - 0.5 - turn, src)] * (b > turn)
+    return piece_runs(pieces)
+
+
+def piece_runs(pieces: list[Piece]) -> list[tuple[int, int, int]]:
+    """The runs of a row from the flat and the falling pieces of its boxes, by a sweep over their ends that holds the pieces it is in as two heaps."""
+    coming, edges = sorted(pieces, key=lambda p: -p[1]), sorted({e for p in pieces for e in p[1:3]})
+    flats, falls, out = [], [], []
+
+    def won(at: int, until: int, src: int) -> None:
+        if at < until and out and out[-1][1] == at - 1 and out[-1][2] == src:
+            out[-1][1] = until - 1
+        elif at < until:
+            out.append([at, until - 1, src])
+
     for begin, end in zip(edges, edges[1:]):
-        held = [s for s in held if s[2] > begin]
         while coming and coming[-1][1] <= begin:
-            held.append(coming.pop())
-        at = begin
-        while held and at < end:
-            won = best(held, at)
-            # The winner is overtaken where its fall meets the flat of another: one column later if that is a later source.
-            after = [c for s in held if s is not won for c in [math.floor(won[2] - 0.5 - s[3]) + (s[0] > won[0])] if at < c < end and (depth(s, c), -s[0]) > (depth(won, c), -won[0])]
-            until = min(after, default=end)
-            if out and out[-1][1] == at - 1 and out[-1][2] == won[0]:
-                out[-1][1] = until - 1
-            else:
-                out.append([at, until - 1, won[0]])
-            at = until
+            falling, _, b, flat, src = coming.pop()
+            heapq.heappush(*((falls, (-b, src, b)) if falling else (flats, (-flat, src, b))))
+        for held in (flats, falls):
+            while held and held[0][2] <= begin:
+                heapq.heappop(held)
+        # Of the falling pieces the one that ends last is deepest until the deepest flat one overtakes it, one column earlier if of equals that is the lesser source.
+        cut = end if falls else begin
+        if falls and flats:
+            meet = falls[0][2] - 0.5 + flats[0][0]
+            cut = min(end, max(begin, math.floor(meet) + (meet != math.floor(meet) or falls[0][1] < flats[0][1])))
+        if falls:
+            won(begin, cut, falls[0][1])
+        if flats:
+            won(cut, end, flats[0][1])
     return [tuple(r) for r in out]
 
 
+def row_pieces(boxes: DataFrame) -> DataFrame:
+    """row, falls, a, b, flat, src: the flat and the falling pieces of boxes (src, row_off, col_off, height, width) in the rows of the lattice, from column a to before b, at a as deep as flat and a half.
+
+    Of pieces that begin, end and lie deep alike only the least source's is kept: a row has no more of them than its columns
+    and depths allow, however many boxes lie over it.
+    """
+    c = F.col
+    rows = boxes.filter("height > 0 AND width > 0").withColumn("r", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
+    ends = rows.select((c("r") + c("row_off")).cast("long").alias("row"), c("src").cast("long").alias("src"), c("col_off").cast("long").alias("a"), (c("col_off") + c("width")).cast("long").alias("b"), F.least(c("r"), c("height") - c("r") - 1, c("width") - 1).cast("long").alias("flat"))
+    piece = lambda falls, a, b: F.struct(F.lit(falls).alias("falls"), a.alias("a"), b.alias("b"))
+    turn = c("b") - 1 - c("flat")
+    pieces = ends.select("row", "src", "flat", F.inline(F.array(piece(False, c("a"), turn), piece(True, turn, c("b"))))).filter("a < b")
+    return pieces.groupBy("row", "falls", "a", "b", "flat").agg(F.min("src").alias("src"))
+
+
 def merge_runs(boxes: DataFrame) -> DataFrame:
     """row, a, b, src: of each row of the lattice the runs of columns a to b and the box in which they lie deepest, the least of equals.
 
-    boxes: src, row_off, col_off, height, width. A row's boxes meet in one list; work grows with boxes and rows.
+    boxes: src, row_off, col_off, height, width. A row's different pieces meet in one task; work grows with boxes and rows.
     """
-    row = F.explode(F.sequence(F.lit(0), F.col("height") - 1))
-    rows = boxes.filter("height > 0 AND width > 0").withColumn("r", row)
-    flat = F.least(F.col("r") + 0.5, F.col("height") - F.col("r") - 0.5)
-    span = F.struct(F.col("src").cast("long").alias("src"), F.col("col_off").cast("long").alias("a"), (F.col("col_off") + F.col("width")).cast("long").alias("b"), flat.cast("double").alias("flat"))
-    held = rows.groupBy((F.col("r") + F.col("row_off")).cast("long").alias("row")).agg(F.collect_list(span).alias("spans"))  # the boxes over one row
-
-    @F.arrow_udf("array<struct<a:long,b:long,src:long>>")
-    def runs(lists: pa.Array) -> pa.Array:
-        found = [[dict(zip(("a", "b", "src"), r)) for r in row_runs([(s["src"], s["a"], s["b"], s["flat"]) for s in spans])] for spans in lists.to_pylist()]
-        return pa.array(found, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("src", pa.int64())])))
-
-    return held.select("row", F.inline(runs("spans")))
+
+    def runs(row: pa.Table) -> pa.Table:
+        falls, a, b, flat, src = (row[n].to_pylist() for n in ("falls", "a", "b", "flat", "src"))
+        found = piece_runs(list(zip(falls, a, b, (f + 0.5 for f in flat), src)))
+        return pa.table({"row": pa.array([row["row"][0].as_py()] * len(found), pa.int64())} | {n: pa.array([r[i] for r in found], pa.int64()) for i, n in enumerate(("a", "b", "src"))})
+
+    return row_pieces(boxes).groupBy("row").applyInArrow(runs, "row long, a long, b long, src long")  # the pieces of one row
 
 
 def merged_rows(rows: DataFrame, boxes: DataFrame, width: int, size: int) -> DataFrame:
