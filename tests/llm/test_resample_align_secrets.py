@@ -289,3 +289,32 @@ def test_secret_columns_empty_table_and_no_corpus(spark, scanner):
     out = secret_scan.scan_secrets(docs, scanner=scanner)
     assert out.columns == ["doc_id", "text", "secrets"] and [s.kind for s in out.first().secrets] == ["access"]
     assert secret_scan.scan_secrets(docs.limit(0), made=60).count() == 0
+
+
+def test_all_findings_of_the_corpus_train_and_set_thresholds(spark, monkeypatch):
+    """More than 1,000 findings of a label: each is trained on once an epoch or held out and counted, however rows are dealt, and in several parts too."""
+    rng = random.Random(5)
+    some = lambda letters, k: "".join(rng.choices(letters, k=k))
+    docs = [(i, f"see token = '{some('abcdefghijkmnpqrstuvwxyz23456789', 30)}' and path = {'/'.join(some('bcdaeiou', 7) for _ in range(4))}") for i in range(1600)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = secret_scan.corpus_findings(table)
+    rows = [(r.label, (r.front, r.value, r.behind)) for r in found.collect()]
+    expected = set()
+    for _, t in docs:
+        base = secret_scan.base_findings(t)
+        expected |= {(y, secret_scan.window(t, f)) for f in base + secret_scan.other_candidates(t, base) if (y := secret_scan.rule_label(f[0], t[f[1] : f[2]])) is not None}
+    assert len(rows) == len(expected) and set(rows) == expected and min(sum(y == k for y, _ in rows) for k in (0, 1)) > 1200
+    monkeypatch.setattr(secret_scan, "EPOCHS", 2)
+    made = secret_scan.generated(100)
+    network = secret_scan.trained(found, made)
+    plain = secret_scan.Network()
+    plain.train([f for f in sorted(rows, key=lambda f: (f[0], secret_scan.finding_hash(f[1]))) + made if not secret_scan.is_held(f[1])], 2)
+    windows = [w for _, w in rows]
+    assert np.allclose(network.outputs(windows), plain.outputs(windows), atol=0.02)  # but for how a machine sums
+    counts = secret_scan.held_counts(found, made, network)
+    assert sum(counts.values()) == sum(secret_scan.is_held(w) for _, w in rows + made)
+    monkeypatch.setattr(secret_scan, "PART", 400)
+    parts, again = secret_scan.trained(found, made), secret_scan.trained(secret_scan.corpus_findings(table.repartition(7)), made)
+    assert all(np.array_equal(v, again.p[k]) for k, v in parts.p.items())
+    outputs, labels = parts.outputs(windows), np.array([y for y, _ in rows])
+    assert ((outputs > 0) == labels).mean() > 0.9
