@@ -22,21 +22,21 @@ def _rings(table: DataFrame, key: Column, hole: Column | None) -> DataFrame:
 
 
 def rectangles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Edges of two tables of polygons, one for each key; a key that comes twice is one polygon, which the even-odd rule would empty."""
     k, s = F.col("n_nationkey"), F.col("s_suppkey")
-    a = _table(spark, sf_dir, "nation").select("n_nationkey", (k * 7 % 30).alias("x"), (k * 11 % 30).alias("y"), (k % 5 + 3).alias("w"), (k % 7 + 2).alias("h"))
-    b = _table(spark, sf_dir, "supplier").filter(s % 4 == 1).select("s_suppkey", (s * 5 % 33).alias("x"), (s * 17 % 31).alias("y"), (s % 4 + 2).alias("w"), (s % 3 + 3).alias("h"))
+    a = _table(spark, sf_dir, "nation").select("n_nationkey").distinct().select("n_nationkey", (k * 7 % 30).alias("x"), (k * 11 % 30).alias("y"), (k % 5 + 3).alias("w"), (k % 7 + 2).alias("h"))
+    b = _table(spark, sf_dir, "supplier").filter(s % 4 == 1).select("s_suppkey").distinct().select("s_suppkey", (s * 5 % 33).alias("x"), (s * 17 % 31).alias("y"), (s % 4 + 2).alias("w"), (s % 3 + 3).alias("h"))
     return _rings(a, k, (k % 3 == 0) & (F.col("w") > 2) & (F.col("h") > 2)), _rings(b, s, None)
 
 
 @query(f"WITH {_RECTANGLES} SELECT how, count(*)::DOUBLE AS area FROM r GROUP BY how")
 def overlay_areas_s10_u3_u4_a10(spark, sf_dir):
     """Areas of set operations on rectangles, some with holes, that overlap, share edges and touch at corners."""
-    pieces, out = overlay.compared(*rectangles(spark, sf_dir)), None
+    pieces, edges = overlay.compared(*rectangles(spark, sf_dir)), None
     for how in overlay.HOW:
-        edges = overlay.picked(pieces, how)
-        one = edges.agg(overlay.area(edges).alias("area")).select(F.lit(how).alias("how"), "area")
-        out = one if out is None else out.unionByName(one)
-    return out
+        one = overlay.picked(pieces, how).withColumn("how", F.lit(how))
+        edges = one if edges is None else edges.unionByName(one)
+    return edges.groupBy("how").agg(overlay.area(edges).alias("area"))  # what holds nothing has no row
 
 
 @query(f"WITH {_RECTANGLES}, p AS (SELECT c_custkey, c_custkey * 37 % 401 * 0.1::DOUBLE + 0.03 AS px, c_custkey * 53 % 397 * 0.1::DOUBLE + 0.07 AS py FROM customer) SELECT c_custkey FROM p JOIN r ON how = 'difference' AND x = floor(px) AND y = floor(py)")
